@@ -1,3 +1,4 @@
 """Imports every catalog module so that its queries are registered."""
 
 from flowsift.plans import catalog_core  # noqa: F401
+from flowsift.plans import catalog_windows  # noqa: F401
