@@ -70,6 +70,44 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None,
     return _apply_one_row(df, stats, {c: F.coalesce(F.col(c), F.col(f"_mode{i}")) for i, c in enumerate(cols)})
 
 
+def fit_cleaning(df: DataFrame, sparse: float | None = 0.20, zeros: float | None = 0.95,
+                 mode_exclude: Sequence[str] = MODE_EXCLUDE) -> dict:
+    """D1 + D2 + D3 + D4 fitted in two small actions.
+
+    One profile pass (missing and zero counts of every column) decides which
+    columns to drop; one aggregate over the surviving columns that have
+    NULLs gives their exact medians (numeric) and modes (text). The result is
+    a plain dict (``drop``, ``fill``), so applying it is a single projection
+    over one scan, and the same fit applies to any later frame.
+    """
+    prof = column_profile(df).select("column", "rows", "missing", "zeros").collect()
+    drop = []
+    for r in prof:
+        if not r["rows"]:
+            continue
+        if sparse is not None and r["missing"] / r["rows"] > sparse:
+            drop.append(r["column"])
+        elif zeros is not None and r["zeros"] is not None and r["zeros"] / r["rows"] > zeros:
+            drop.append(r["column"])
+    need = {r["column"] for r in prof if r["missing"] and r["column"] not in drop}
+    nums = [c for c in numeric_columns(df) if c in need]
+    texts = [c for c in string_columns(df, mode_exclude) if c in need]
+    fill = {}
+    if nums or texts:
+        row = df.agg(*[F.median(F.col(c)).alias(f"m{i}") for i, c in enumerate(nums)],
+                     *[F.mode(F.col(c), True).alias(f"t{i}") for i, c in enumerate(texts)]).first()
+        fill.update({c: row[f"m{i}"] for i, c in enumerate(nums) if row[f"m{i}"] is not None})
+        fill.update({c: row[f"t{i}"] for i, c in enumerate(texts) if row[f"t{i}"] is not None})
+    return {"drop": drop, "fill": fill}
+
+
+def apply_cleaning(df: DataFrame, fitted: dict) -> DataFrame:
+    df = df.drop(*present(df, fitted["drop"]))
+    fills = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
+             for c, v in fitted["fill"].items() if c in df.columns}
+    return df.withColumns(fills) if fills else df
+
+
 # D5
 def fill_constant(df: DataFrame, value, cols: Sequence[str] | None = None) -> DataFrame:
     cols = present(df, cols) if cols is not None else None

@@ -30,10 +30,7 @@ def clean_flows(df: DataFrame, sparse: float = 0.20, zeros: float = 0.95,
                 eps_mode: str = "replace_zero") -> DataFrame:
     df = C.coerce_numeric(df)
     df = C.clean_labels(df)
-    df = D.drop_sparse_columns(df, sparse)
-    df = D.drop_constant_zero(df, zeros)
-    df = D.impute_median(df)
-    df = D.impute_mode(df)
+    df = D.apply_cleaning(df, D.fit_cleaning(df, sparse, zeros))
     if "ts" in df.columns and "event_time" not in df.columns:
         df = C.with_event_time(df, "ts")
     df = C.time_features(df)
