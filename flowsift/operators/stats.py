@@ -98,18 +98,51 @@ def _pair_corr(a: str, b: str):
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
+def _centered_corr(df: DataFrame, cols: Sequence[str], means: dict) -> DataFrame:
+    """Null-free columns: one pass of plain sums of centred products (stable,
+    cheap to generate code for), r = S_ab / sqrt(S_aa · S_bb)."""
+    z = {c: F.col(f"`{c}`").cast("double") - F.lit(float(means[c])) for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    sums = df.agg(*[F.sum(z[a] * z[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    idx = {p: k for k, p in enumerate(pairs)}
+    structs = []
+    for k, (a, b) in enumerate(pairs):
+        den = F.sqrt(F.col(f"p{idx[(a, a)]}") * F.col(f"p{idx[(b, b)]}"))
+        r = F.try_divide(F.col(f"p{k}"), F.when(den > 0, den))
+        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+        if a != b:
+            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
+    return sums.select(F.inline(F.array(*structs)))
+
+
 # E6
 def correlation_matrix(df: DataFrame, cols: Sequence[str], target: str | None = None,
                        top: int = 15) -> DataFrame:
-    """Long form (a, b, r). With more than ``top`` columns and a target, keeps
-    the ``top`` columns with the largest |r(target)| (ties by name)."""
+    """Long form (a, b, r), Pearson with pairwise-complete rows (pandas
+    ``corr``); NULL for a constant column. With more than ``top`` columns
+    and a target, keeps the ``top`` columns with the largest |r(target)|
+    (ties by name).
+
+    One small pass counts NULLs and takes means. Without NULLs the matrix is
+    one pass of centred product sums; otherwise every pair gets its own
+    masked covariance and deviations."""
     cols = present(df, cols)
+    allc = cols + ([target] if target and target not in cols else [])
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(allc)],
+                 *[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(allc)]).first()
+    no_nulls = all(one[f"c{i}"] == one["_n"] for i in range(len(allc)))
     if target is not None and len(cols) > top:
-        one = df.agg(*[_pair_corr(c, target).alias(f"r{i}") for i, c in enumerate(cols)]).first()
-        ranked = sorted(range(len(cols)),
-                        key=lambda i: (-(abs(one[f"r{i}"]) if one[f"r{i}"] is not None
-                                         and not math.isnan(one[f"r{i}"]) else -1.0), cols[i]))
-        cols = [cols[i] for i in ranked[:top]]
+        if no_nulls:
+            tr = {r["a"]: r["r"] for r in _centered_corr(df, allc, {c: one[f"m{i}"] for i, c in enumerate(allc)})
+                  .filter(F.col("b") == target).collect()}
+        else:
+            row = df.agg(*[_pair_corr(c, target).alias(f"r{i}") for i, c in enumerate(cols)]).first()
+            tr = {c: row[f"r{i}"] for i, c in enumerate(cols)}
+        ranked = sorted(cols, key=lambda c: (-(abs(tr[c]) if tr.get(c) is not None and not math.isnan(tr[c])
+                                               else -1.0), c))
+        cols = ranked[:top]
+    if no_nulls:
+        return _centered_corr(df, cols, {c: one[f"m{allc.index(c)}"] for c in cols})
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one_row = df.agg(*[_pair_corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     structs = []

@@ -3,3 +3,4 @@
 from flowsift.plans import catalog_core  # noqa: F401
 from flowsift.plans import catalog_windows  # noqa: F401
 from flowsift.plans import catalog_prep  # noqa: F401
+from flowsift.plans import catalog_models  # noqa: F401
