@@ -143,3 +143,14 @@ def q_embeddings_weighted_rf(spark, d):
     train, test = x.filter("split = 'train'"), x.filter("split = 'test'")
     model = L.random_forest(cols, "target", weight="weight", num_trees=50, max_depth=10).fit(train)
     return N.binary_metrics(L.score(model, test, "target"), "target")
+
+
+@query("smote_embeddings")
+def q_smote_embeddings(spark, d):
+    """SMOTE on the training split of the unbalanced embedding target
+    (label < 2); the minority class grows to the majority size."""
+    from flowsift.operators.smote import smote
+    wide, cols = _embeddings(spark, d)
+    x = wide.withColumn("target", (F.col("label") < 2).cast("int")).withColumn("uid", F.col("vec_id"))
+    train = I.stratified_split(x, "target").filter("split = 'train'")
+    return smote(train, cols, "target", "uid", k=5)

@@ -94,3 +94,33 @@ def test_kde_close_to_numpy(spark):
     dens = np.array([r["density"] for r in got])
     assert np.max(np.abs(dens - ref)) < 1e-3 * ref.max()
     assert abs(np.trapezoid(dens, xs) - 1) < 0.01
+
+
+def test_smote_points_on_segments(spark):
+    from flowsift.operators.smote import smote
+    from flowsift.operators.reduce import embedding_columns
+    emb = read_table(spark, SF_SMALL, "embeddings")
+    wide, cols = embedding_columns(emb, "embedding")
+    x = wide.withColumn("target", (F.col("label") < 2).cast("int")).withColumn("uid", F.col("vec_id"))
+    out = smote(x, cols[:8], "target", "uid", k=3)
+    counts = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
+    assert counts[0] == counts[1]
+    orig = np.array([[r[c] for c in cols[:8]] for r in out.filter("synthetic = 0 AND target = 1").collect()])
+    syn = np.array([[r[c] for c in cols[:8]] for r in out.filter("synthetic = 1").collect()])
+    assert len(syn) > 0
+    # brute force: every synthetic point lies on a segment between a minority row and one of its 3 nearest
+    d2 = ((orig[:, None, :] - orig[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    nn = np.argsort(d2, axis=1)[:, :3]
+    for s in syn:
+        ok = False
+        for i in range(len(orig)):
+            for j in nn[i]:
+                seg = orig[j] - orig[i]
+                lam = float(np.dot(s - orig[i], seg) / max(np.dot(seg, seg), 1e-300))
+                if -1e-9 <= lam <= 1 + 1e-9 and np.allclose(orig[i] + lam * seg, s, atol=1e-6):
+                    ok = True
+                    break
+            if ok:
+                break
+        assert ok
