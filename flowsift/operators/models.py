@@ -166,10 +166,10 @@ def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
 def training_history(model: PipelineModel) -> list[float]:
     """Per-iteration objective (loss) where MLlib records one (MLP, logistic regression)."""
     last = model.stages[-1]
-    try:
-        return list(last.summary.objectiveHistory)
-    except Exception:  # tree ensembles keep no history
+    if not getattr(last, "hasSummary", False):  # tree ensembles keep no history
         return []
+    summ = last.summary() if callable(last.summary) else last.summary
+    return list(summ.objectiveHistory)
 
 
 def f1_evaluator(label: str = "target") -> MulticlassClassificationEvaluator:

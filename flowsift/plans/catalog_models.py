@@ -154,3 +154,26 @@ def q_smote_embeddings(spark, d):
     x = wide.withColumn("target", (F.col("label") < 2).cast("int")).withColumn("uid", F.col("vec_id"))
     train = I.stratified_split(x, "target").filter("split = 'train'")
     return smote(train, cols, "target", "uid", k=5)
+
+
+@query("mlp_training_history")
+def q_mlp_training_history(spark, d):
+    """Loss per training iteration of the network."""
+    data, feats = prepare_flows(spark, d)
+    model, _ = fit_and_score("mlp", data, feats)
+    hist = L.training_history(model)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+
+
+@query("gbt_early_stopping")
+def q_gbt_early_stopping(spark, d):
+    """Boosting stopped on a validation split (not on the test rows,
+    SURVEY §2.16 row 8); test rows scored."""
+    data, feats = prepare_flows(spark, d)
+    x = I.stratified_split(data.drop("split"), "target", (0.6, 0.15, 0.25), ("train", "validation", "test"),
+                           id_col="uid")
+    x = x.withColumn("is_val", F.col("split") == "validation")
+    model = L.gradient_boosting(feats, "target", validation_col="is_val").fit(x.filter("split != 'test'"))
+    scored = L.score(model, x.filter("split = 'test'"), "target", keep=("uid",))
+    m = N.binary_metrics(scored, "target")
+    return m.withColumn("trees", F.lit(model.stages[-1].getNumTrees))

@@ -296,3 +296,25 @@ def q_best_model_per_metric(spark, d):
     a = s.select("label", "prediction", "score")
     b = s.select("label", F.col("port_prediction").alias("prediction"), F.col("port_score").alias("score"))
     return N.best_per_metric(N.comparison_table({"view_score": a, "port_score": b}, score=None))
+
+
+@query("threshold_predictions", f"""WITH {_SCORED}
+SELECT uid, CAST(score > 0.3 AS INTEGER) AS prediction FROM scored""")
+def q_threshold_predictions(spark, d):
+    """Class from a probability and a threshold."""
+    from flowsift.functions.columns import predict_label
+    return predict_label(scored(spark, d).drop("prediction"), "score", 0.3).select("uid", "prediction")
+
+
+@query("recommendation", f"""WITH {_SCORED}, t AS ({_cmp_sql('prediction', 'score', 0, 'view_score')}
+UNION ALL {_cmp_sql('port_prediction', 'port_score', 1, 'port_score')}),
+l AS (SELECT seq, model, 'f1' AS metric, f1 AS value FROM t UNION ALL SELECT seq, model, 'accuracy', accuracy FROM t)
+SELECT metric, model, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, seq) AS r FROM l) WHERE r = 1""",
+       doubles=("value",))
+def q_recommendation(spark, d):
+    """The model to recommend by F1 and by accuracy."""
+    s = scored(spark, d)
+    a = s.select("label", "prediction", "score")
+    b = s.select("label", F.col("port_prediction").alias("prediction"), F.col("port_score").alias("score"))
+    return N.recommendation(N.comparison_table({"view_score": a, "port_score": b}, score=None))

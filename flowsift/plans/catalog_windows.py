@@ -121,3 +121,18 @@ def q_low_volume_share(spark, d):
     """Bytes per packet and the low-volume share per hour."""
     return G.low_volume_share(labeled(spark, d), "event_time", "1 hour", max_bytes=500, max_pkts=2).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("scanning_flag", f"""WITH {V.RAW}, r AS (
+  SELECT uid, orig_bytes, resp_bytes, count(*) OVER (PARTITION BY orig_h ORDER BY event_time
+         RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS conn_rate FROM raw)
+SELECT uid, conn_rate,
+       CAST(conn_rate >= 3 AND coalesce(orig_bytes + resp_bytes, 0) <= 2000 AS INTEGER) AS is_scanning_behavior
+FROM r""")
+def q_scanning_flag(spark, d):
+    """Many connections in the window (G1) carrying few bytes."""
+    from flowsift.functions import columns as C
+    from flowsift.plans.catalog_core import raw
+    r = C.volume_features(raw(spark, d))
+    r = G.rolling_count(r, "orig_h", "event_time", DAY, "conn_rate")
+    return C.scanning_flag(r, 3, 2000, "conn_rate", "total_bytes").select("uid", "conn_rate", "is_scanning_behavior")
