@@ -34,9 +34,9 @@ def _names(values) -> list[str]:
 def crosstab_counts(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
     """Counts of (row, col); NULL keys dropped (pandas ``crosstab``); absent cells 0."""
     values = list(values) if values is not None else pivot_values(df, col)
-    wide = (df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-            .groupBy(row).pivot(col, values).agg(F.count(F.lit(1))))
-    return wide.fillna(0, subset=_names(values))
+    # conditional counts: one shuffle with map-side partial counts (a pivot plans two aggregations)
+    return (df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+            .groupBy(row).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(n) for v, n in zip(values, _names(values))]))
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str, values: Sequence | None = None,
@@ -77,7 +77,8 @@ def hourly_volume(df: DataFrame, ts: str = "event_time", label: str = "label",
     """Connections per hour of day × label; absent cells stay NULL (pandas unstack)."""
     values = list(values) if values is not None else pivot_values(df, label)
     return (df.filter(F.col(label).isNotNull()).groupBy(F.hour(ts).alias("hour"))
-            .pivot(label, values).agg(F.count(F.lit(1))))
+            .agg(*[F.nullif(F.count_if(F.col(label) == F.lit(v)), F.lit(0)).alias(n)
+                   for v, n in zip(values, _names(values))]))
 
 
 # E5
@@ -87,7 +88,7 @@ def volume_series(df: DataFrame, ts: str = "event_time", label: str = "label",
     values = list(values) if values is not None else pivot_values(df, label)
     return (df.filter(F.col(label).isNotNull())
             .groupBy(F.window(ts, every).start.alias("time_bin"))
-            .pivot(label, values).agg(F.count(F.lit(1))).fillna(0, subset=_names(values)))
+            .agg(*[F.count_if(F.col(label) == F.lit(v)).alias(n) for v, n in zip(values, _names(values))]))
 
 
 def _pair_corr(a: str, b: str):

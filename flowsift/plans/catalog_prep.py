@@ -181,15 +181,15 @@ _SCORED = f"""{V.LABELED}, scored AS (
   SELECT l.uid, CASE WHEN l.label = 'Malicious' THEN 1 ELSE 0 END AS label, f.score,
          CAST(f.score > 0.5 AS INTEGER) AS prediction, f.resp_p / 100.0 AS port_score,
          CAST(f.resp_p / 100.0 > 0.5 AS INTEGER) AS port_prediction
-  FROM labeled l JOIN flows f ON l.uid = f.uid)"""
+  FROM labeled l JOIN flows f ON l.uid = f.uid)"""  # the SQL may join; Spark reads the view once
 
 
 def scored(spark, d):
     """Labelled connections with a ready-made score (the view's ``score``) and
     a second, weaker scorer (destination port / 100)."""
-    f = flows(spark, d)
-    lab = C.binary_target(labeled(spark, d).select("uid", "label"), "label", "target")
-    x = lab.join(f.select("uid", "score", "resp_p"), "uid")
+    f = C.clean_labels(flows(spark, d).select("uid", "label_raw", "detailed_label", "score", "resp_p"),
+                       src="label_raw")
+    x = C.binary_target(f, "label", "target")
     x = x.select("uid", F.col("target").alias("label"), "score",
                  (F.col("resp_p") / 100.0).alias("port_score"))
     x = N.scored_with_threshold(x, "score", 0.5, "prediction")
