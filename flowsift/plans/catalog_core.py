@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -439,9 +441,20 @@ def q_histogram(spark, d):
     return S.histogram(read_table(spark, d, "lineitem"), "l_extendedprice", 10, by="l_returnflag")
 
 
-@query("kde_bytes")
+@query("kde_bytes", f"""WITH {V.CLEAN}, base AS (
+  SELECT label, log10(CASE WHEN orig_bytes = 0 THEN 0.1 ELSE orig_bytes END) AS v FROM clean
+  WHERE orig_bytes IS NOT NULL),
+st AS (SELECT label, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM base GROUP BY label),
+st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st),
+st3 AS (SELECT *, lo - 3.0 * h AS glo, hi + 3.0 * h AS ghi, greatest((hi - lo) / 4096, 1e-12) AS fw FROM st2),
+b AS (SELECT base.label, least(floor((v - lo) / fw), 4095) AS bi, count(*) AS w, avg(v) AS c
+      FROM base JOIN st3 ON base.label = st3.label GROUP BY base.label, bi),
+p AS (SELECT b.label, t.g, glo + t.g * (ghi - glo) / 199 AS x, w, c, h, n
+      FROM b JOIN st3 ON b.label = st3.label, (SELECT unnest(generate_series(0, 199)) AS g) t)
+SELECT label, x, sum(w * exp(-0.5 * ((x - c) / h) * ((x - c) / h)) / (n * h * {math.sqrt(2 * math.pi)!r}))
+       AS density FROM p GROUP BY label, g, x""", doubles=("x", "density"))
 def q_kde_bytes(spark, d):
-    """Binned Gaussian KDE of log10(orig_bytes) per class (tested against numpy)."""
+    """Binned Gaussian KDE of log10(orig_bytes) per class (also tested against numpy)."""
     return S.kde(cleaned(spark, d), "orig_bytes", by="label", grid=200)
 
 
@@ -462,3 +475,21 @@ def q_dense_view_profile(spark, d):
     return f.groupBy("conn_state", "label").agg(F.count(F.lit(1)).alias("count"),
                                                F.count_distinct("orig_h").alias("sources"),
                                                F.avg("orig_bytes").alias("mean_bytes"))
+
+
+@query("file_heads_stats", f"""WITH {V.LABELED}, h AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY uid) AS rn FROM labeled)
+  WHERE rn <= 1000)
+SELECT source_file, count(*) AS rows, count_if(label = 'Malicious') AS malicious,
+       count_if(label = 'Benign') AS benign,
+       count_if(label = 'Malicious') * 100.0 / count(*) AS malicious_pct,
+       count_if(label = 'Benign') * 100.0 / count(*) AS benign_pct,
+       CAST({" + ".join(f"(count_if({c} IS NULL) > 0)::INTEGER" for c in _RAW_COLS if c != "source_file")}
+            AS INTEGER) AS columns_with_missing,
+       CAST({" + ".join(f"count_if({c} IS NULL)" for c in _RAW_COLS if c != "source_file")} AS BIGINT)
+            AS missing_total
+FROM h GROUP BY source_file""", doubles=("malicious_pct", "benign_pct"))
+def q_file_heads_stats(spark, d):
+    """The multi-file comparison: A3 (first 1,000 rows of each file) then C9."""
+    heads = logs.head_per_group(labeled(spark, d).select(*_RAW_COLS), "source_file", "uid", 1000)
+    return P.file_stats(heads)

@@ -30,8 +30,22 @@ NOT_FEATURES = ("uid", "label", "detailed_label", "source_file", "target", "spli
 CATEGORIES = ("proto", "conn_state", "service")
 
 
+_PREPARED: dict = {}
+
+
 def prepare_flows(spark: SparkSession, sf_dir: str, window_seconds: float = 86_400,
                   test_frac: float = 0.25) -> tuple[DataFrame, list[str]]:
+    """The checkpointed modelling table and its feature names. Within one
+    session the checkpoint is reused (it lives in the reliable checkpoint
+    folder, so it survives lost executors)."""
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, window_seconds, test_frac)
+    if key not in _PREPARED:
+        _PREPARED[key] = _prepare_flows(spark, sf_dir, window_seconds, test_frac)
+    return _PREPARED[key]
+
+
+def _prepare_flows(spark: SparkSession, sf_dir: str, window_seconds: float,
+                   test_frac: float) -> tuple[DataFrame, list[str]]:
     raw = raw_log_from_view(flows(spark, sf_dir))
     w = G.source_window_features(raw, "orig_h", "event_time", "resp_p", window_seconds,
                                  "conn_rate", "port_scan_score")

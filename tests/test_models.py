@@ -101,3 +101,14 @@ def test_write_and_load_dataset(spark, prepared):
     assert train.count() + test.count() == data.count()
     assert {r["split"] for r in share.collect()} == {"train", "test"}
     assert os.path.isdir(path + "/data/split=train")
+
+
+def test_end_to_end_run(spark):
+    from flowsift.plans.end_to_end import run
+    out = tempfile.mkdtemp(prefix="flowsift-run-", dir="/tmp")
+    res = run(spark, SF_SMALL, out, kinds=("rf", "gbt"),
+              params={"rf": {"num_trees": 10, "max_depth": 8}, "gbt": {"rounds": 5}})
+    assert {r["model"] for r in res["comparison"]} == {"rf", "gbt"}
+    assert {r["metric"] for r in res["recommendation"]} == {"f1", "accuracy"}
+    assert spark.read.parquet(out + "/cleaned").count() == 1000
+    assert os.path.isdir(out + "/models/rf") and os.path.isdir(out + "/dataset/data")
