@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.columns import numeric_columns, present, string_columns
+from flowsift.functions.quantiles import exact_quantiles, quantile_row
 from flowsift.operators.profile import column_profile
 from flowsift.session import maybe_broadcast
 
@@ -54,9 +55,9 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     cols = present(df, cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    stats = df.agg(*[F.median(F.col(c)).alias(f"_med{i}") for i, c in enumerate(cols)])
-    return _apply_one_row(df, stats, {c: F.coalesce(F.col(c), F.col(f"_med{i}").cast(df.schema[c].dataType))
-                                      for i, c in enumerate(cols)})
+    med = quantile_row(df, cols, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med.get((c, 0.5))).cast(df.schema[c].dataType))
+                           for c in cols})
 
 
 # D4
@@ -66,8 +67,8 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None,
     cols = present(df, cols) if cols is not None else string_columns(df, exclude)
     if not cols:
         return df
-    stats = df.agg(*[F.mode(F.col(c), True).alias(f"_mode{i}") for i, c in enumerate(cols)])
-    return _apply_one_row(df, stats, {c: F.coalesce(F.col(c), F.col(f"_mode{i}")) for i, c in enumerate(cols)})
+    m = modes(df, cols)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m.get(c)).cast(df.schema[c].dataType)) for c in cols})
 
 
 def fit_cleaning(df: DataFrame, sparse: float | None = 0.20, zeros: float | None = 0.95,
@@ -93,14 +94,28 @@ def fit_cleaning(df: DataFrame, sparse: float | None = 0.20, zeros: float | None
     nums = [c for c in numeric_columns(df) if c in need]
     texts = [c for c in string_columns(df, mode_exclude) if c in need]
     fill = {}
-    if nums or texts:
-        row = df.agg(*[F.median(F.col(c)).alias(f"m{i}") for i, c in enumerate(nums)],
-                     *[F.mode(F.col(c), True).alias(f"t{i}") for i, c in enumerate(texts)]).first()
-        fill.update({c: row[f"m{i}"] for i, c in enumerate(nums) if row[f"m{i}"] is not None})
-        fill.update({c: row[f"t{i}"] for i, c in enumerate(texts) if row[f"t{i}"] is not None})
+    if nums:
+        med = quantile_row(df, nums, [0.5])
+        fill.update({c: med[(c, 0.5)] for c in nums if med.get((c, 0.5)) is not None})
+    if texts:
+        fill.update({c: v for c, v in modes(df, texts).items() if v is not None})
     return {"drop": drop, "fill": fill}
 
 
+def modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent value per column, the smallest on ties, NULL not counted.
+
+    Two aggregations over a long (column, value) table: counts per value with
+    map-side partial counts, then ``min_by`` per column, which is itself a
+    partial aggregate; no column's values are ever gathered in one task."""
+    cols = list(cols)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string")
+                                                 .alias("value")) for c in cols]))).filter(F.col("value").isNotNull())
+    cnt = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = cnt.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("mode"))
+    return {r["column"]: r["mode"] for r in best.collect()}  # one row per column
+
+
 def apply_cleaning(df: DataFrame, fitted: dict) -> DataFrame:
     df = df.drop(*present(df, fitted["drop"]))
     fills = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
@@ -132,17 +147,19 @@ def impute_group_median(df: DataFrame, col: str, keys: Sequence[str],
     broadcast only after its size is checked; partial aggregation keeps a hot
     key from landing in one task."""
     keys = list(keys)
-    grp = df.groupBy(*keys).agg(F.median(col).alias("_gmed"))
-    glob = df.agg(F.median(col).alias("_amed"))
+    grp = exact_quantiles(df, [col], [0.5], keys=keys).select(*keys, F.col("value").alias("_gmed"))
+    glob = quantile_row(df, [col], [0.5]).get((col, 0.5))
     out = (df.join(maybe_broadcast(grp, max_broadcast_rows), keys, "left")
-           .crossJoin(F.broadcast(glob))
-           .withColumn(col, F.coalesce(F.col(col), F.col("_gmed"), F.col("_amed"))))
+           .withColumn(col, F.coalesce(F.col(col), F.col("_gmed"), F.lit(glob).cast(df.schema[col].dataType))))
     return out.select(*df.columns)
 
 
 def _quartiles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    return df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"_q{i}") for i, c in enumerate(cols)])
+    """One row: ``_q<i>`` = [Q1, Q3] of each column (exact, distributed)."""
+    q = quantile_row(df, cols, [0.25, 0.75])
+    row = [[q.get((c, 0.25)), q.get((c, 0.75))] for c in cols]
+    schema = ", ".join(f"_q{i} array<double>" for i in range(len(cols)))
+    return df.sparkSession.createDataFrame([tuple(row)], schema)
 
 
 # D8

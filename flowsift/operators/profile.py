@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.functions.columns import numeric_columns, string_columns
+from flowsift.functions.quantiles import exact_quantiles
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -35,25 +36,33 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
                      accuracy: int = 100_000) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per column.
 
-    ``exact`` uses ``percentile`` (a value->count map per column, merged once);
-    for high-cardinality doubles at scale use ``exact=False`` (quantile sketch).
+    ``exact``: distributed exact quantiles (``functions.quantiles``);
+    ``exact=False``: the quantile sketch, fused into the same single pass.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, probs) if exact else F.percentile_approx(x, probs, accuracy)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
+                        .alias(f"q{i}"))
     one = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
                         F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                        F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].cast("double").alias("q25"),
-                        F.col(f"q{i}")[1].cast("double").alias("q50"),
-                        F.col(f"q{i}")[2].cast("double").alias("q75"), F.col(f"hi{i}").alias("max"))
+                        F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+                        *([F.col(f"q{i}")[j].cast("double").alias(f"q{int(p * 100)}")
+                           for j, p in enumerate((0.25, 0.5, 0.75))] if not exact else []))
                for i, c in enumerate(cols)]
-    return _long(one, structs)
+    base = _long(one, structs)
+    if not exact:
+        return base.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])  # columns × 3 rows
+    wide = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{int(p * 100)}")
+                                     for p in (0.25, 0.5, 0.75)])
+    return (base.join(F.broadcast(wide), "column", "left")
+            .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
