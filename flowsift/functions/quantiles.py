@@ -41,15 +41,15 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols, keys, probs = list(cols), list(keys), [float(p) for p in probs]
     if map_limit is None:
         map_limit = int(df.sparkSession.conf.get("flowsift.quantiles.mapLimit", str(MAP_LIMIT)))
-    pr = [i / buckets for i in range(1, buckets)]
-    stats = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(k) for k in keys], _value(df, c)) if keys
-                                             else _value(df, c)).alias(f"d{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(_value(df, c), pr, accuracy).alias(f"s{i}") for i, c in enumerate(cols)]
-                   ).first()
-    small = all((stats[f"d{i}"] or 0) <= map_limit for i in range(len(cols)))
-    if method == "map" or (method == "auto" and small):
+    if method == "auto":
+        d = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(k) for k in keys], _value(df, c)) if keys
+                                             else _value(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        method = "map" if all((d[f"d{i}"] or 0) <= map_limit for i in range(len(cols))) else "select"
+    if method == "map":
         return _map_quantiles(df, cols, probs, keys)
-    return _select_quantiles(df, cols, probs, keys, [stats[f"s{i}"] or [] for i in range(len(cols))])
+    pr = [i / buckets for i in range(1, buckets)]
+    s = df.agg(*[F.percentile_approx(_value(df, c), pr, accuracy).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return _select_quantiles(df, cols, probs, keys, [s[f"s{i}"] or [] for i in range(len(cols))])
 
 
 def _map_quantiles(df: DataFrame, cols, probs, keys) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.columns import numeric_columns, present, string_columns
-from flowsift.functions.quantiles import exact_quantiles, quantile_row
-from flowsift.operators.profile import column_profile
+from flowsift.functions.quantiles import MAP_LIMIT, exact_quantiles, quantile_row
+from flowsift.operators.profile import _missing, column_profile
 from flowsift.session import maybe_broadcast
 
 # fixed values: text columns never imputed with the mode
@@ -73,29 +73,43 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None,
 
 def fit_cleaning(df: DataFrame, sparse: float | None = 0.20, zeros: float | None = 0.95,
                  mode_exclude: Sequence[str] = MODE_EXCLUDE) -> dict:
-    """D1 + D2 + D3 + D4 fitted in two small actions.
+    """D1 + D2 + D3 + D4 fitted in a few small actions.
 
-    One profile pass (missing and zero counts of every column) decides which
-    columns to drop; one aggregate over the surviving columns that have
-    NULLs gives their exact medians (numeric) and modes (text). The result is
+    One pass (missing and zero counts of every column, a cardinality sketch
+    of the numeric ones) decides which columns to drop and how to take
+    medians; then exact medians (numeric) and modes (text, two-stage counts)
+    of the surviving columns that have NULLs. The result is
     a plain dict (``drop``, ``fill``), so applying it is a single projection
     over one scan, and the same fit applies to any later frame.
     """
-    prof = column_profile(df).select("column", "rows", "missing", "zeros").collect()
+    # one pass: missing and zero counts of every column, cardinality sketch of the numeric ones
+    num_cols = numeric_columns(df)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        aggs.append(F.count_if(_missing(df, c)).alias(f"m{i}"))
+    for i, c in enumerate(num_cols):
+        aggs += [F.count_if(F.col(f"`{c}`") == 0).alias(f"z{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"h{i}")]
+    row = df.agg(*aggs).first()
+    n = row["rows"]
+    missing = {c: row[f"m{i}"] for i, c in enumerate(df.columns)}
+    zero_cnt = {c: row[f"z{i}"] for i, c in enumerate(num_cols)}
+    hll = {c: row[f"h{i}"] for i, c in enumerate(num_cols)}
     drop = []
-    for r in prof:
-        if not r["rows"]:
+    for c in df.columns:
+        if not n:
             continue
-        if sparse is not None and r["missing"] / r["rows"] > sparse:
-            drop.append(r["column"])
-        elif zeros is not None and r["zeros"] is not None and r["zeros"] / r["rows"] > zeros:
-            drop.append(r["column"])
-    need = {r["column"] for r in prof if r["missing"] and r["column"] not in drop}
-    nums = [c for c in numeric_columns(df) if c in need]
+        if sparse is not None and missing[c] / n > sparse:
+            drop.append(c)
+        elif zeros is not None and c in zero_cnt and zero_cnt[c] / n > zeros:
+            drop.append(c)
+    need = {c for c in df.columns if missing[c] and c not in drop}
+    nums = [c for c in num_cols if c in need]
     texts = [c for c in string_columns(df, mode_exclude) if c in need]
     fill = {}
     if nums:
-        med = quantile_row(df, nums, [0.5])
+        limit = int(df.sparkSession.conf.get("flowsift.quantiles.mapLimit", str(MAP_LIMIT)))
+        small = all((hll[c] or 0) <= limit for c in nums)
+        med = quantile_row(df, nums, [0.5], method="map" if small else "select")
         fill.update({c: med[(c, 0.5)] for c in nums if med.get((c, 0.5)) is not None})
     if texts:
         fill.update({c: v for c, v in modes(df, texts).items() if v is not None})
@@ -154,19 +168,26 @@ def impute_group_median(df: DataFrame, col: str, keys: Sequence[str],
     return out.select(*df.columns)
 
 
-def _quartiles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _quartiles(df: DataFrame, cols: Sequence[str], bounds: dict | None = None) -> DataFrame:
     """One row: ``_q<i>`` = [Q1, Q3] of each column (exact, distributed)."""
-    q = quantile_row(df, cols, [0.25, 0.75])
-    row = [[q.get((c, 0.25)), q.get((c, 0.75))] for c in cols]
+    b = bounds if bounds is not None else quartiles(df, cols)
+    row = [list(b[c]) for c in cols]
     schema = ", ".join(f"_q{i} array<double>" for i in range(len(cols)))
     return df.sparkSession.createDataFrame([tuple(row)], schema)
 
 
+def quartiles(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """{column: (Q1, Q3)}, exact; fit once, pass to ``iqr_flag`` / ``iqr_cap``."""
+    q = quantile_row(df, list(cols), [0.25, 0.75])
+    return {c: (q.get((c, 0.25)), q.get((c, 0.75))) for c in cols}
+
+
 # D8
-def iqr_flag(df: DataFrame, cols: Sequence[str], k: float = 1.5, suffix: str = "_outlier") -> DataFrame:
+def iqr_flag(df: DataFrame, cols: Sequence[str], k: float = 1.5, suffix: str = "_outlier",
+             bounds: dict | None = None) -> DataFrame:
     """1 where x < Q1 - k*IQR or x > Q3 + k*IQR (exact quartiles)."""
     cols = present(df, cols)
-    q = _quartiles(df, cols)
+    q = _quartiles(df, cols, bounds)
     exprs = {}
     for i, c in enumerate(cols):
         q1, q3 = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
@@ -176,10 +197,10 @@ def iqr_flag(df: DataFrame, cols: Sequence[str], k: float = 1.5, suffix: str = "
             .drop(*[f"_q{i}" for i in range(len(cols))]))
 
 
-def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, bounds: dict | None = None) -> DataFrame:
     """Cap at Q3 + k*IQR (upper side only)."""
     cols = present(df, cols)
-    q = _quartiles(df, cols)
+    q = _quartiles(df, cols, bounds)
     exprs = {}
     for i, c in enumerate(cols):
         q1, q3 = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
