@@ -11,7 +11,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.columns import present
@@ -38,14 +38,16 @@ def label_encode(df: DataFrame, cols: Sequence[str], fill: str = "unknown", suff
 def category_codes(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """Alphabetical category codes; NULL -> -1 (pandas ``cat.codes``).
 
-    The (column, value, code) table is one row per category, so it is
-    broadcast after a size check."""
+    The category list is checked against ``max_categories`` before it is
+    built, so the (value, code) table broadcast is bounded."""
     cols = present(df, cols)
+    spark = df.sparkSession
     out = df
     for c in cols:
-        cats = (df.select(F.col(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-                .withColumn(f"_{c}_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int")))
-        out = (out.join(maybe_broadcast(cats, max_categories), out[c] == cats["_v"], "left")
+        vals = categories(df, c, max_categories)  # raises above the bound: not a categorical column
+        cats = spark.createDataFrame([(v, i) for i, v in enumerate(vals)],
+                                     f"_v {df.schema[c].dataType.simpleString()}, _{c}_code int")
+        out = (out.join(F.broadcast(cats), out[c] == cats["_v"], "left")
                .withColumn(c, F.coalesce(F.col(f"_{c}_code"), F.lit(-1))).drop("_v", f"_{c}_code"))
     return out
 

@@ -24,20 +24,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+    local = bool(master) and master.startswith("local")
     conf = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or max(cpus, 8)),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("FLOWSIFT_DRIVER_MEMORY", "16g"),
         # first-n-per-group (A3) keeps up to 10,000 rows per group; let the
         # optimizer insert the map-side group limit for sizes that large.
         "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     }
+    if local:
+        # one JVM: the driver's memory is the executors' memory
+        conf["spark.driver.memory"] = os.environ.get("FLOWSIFT_DRIVER_MEMORY", "16g")
+    if shuffle_partitions or local:
+        # on a cluster the site's setting (with AQE coalescing) is kept unless one is given
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or max(cpus, 8))
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
