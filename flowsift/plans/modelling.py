@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.functions import columns as C
+
 from flowsift.operators import encode as J
 from flowsift.operators import models as L
 from flowsift.operators import sample as I
