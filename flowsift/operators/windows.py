@@ -18,12 +18,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US = 1_000_000
 
 
-def micros(ts: str | Column) -> Column:
+def micros(ts: str | Column, df: DataFrame | None = None) -> Column:
+    """Microseconds since the epoch. A TIMESTAMP_NTZ wall clock is read as
+    UTC whatever the session zone (rebuilt from its fields, so no DST gap or
+    overlap of the session zone can distort differences); a TIMESTAMP is
+    already an instant."""
     c = F.col(ts) if isinstance(ts, str) else ts
+    if df is not None and isinstance(ts, str) and isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.unix_micros(F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                                              F.extract(F.lit("SECOND"), c), F.lit("UTC")))
     return F.unix_micros(c.cast("timestamp"))
 
 
@@ -49,7 +57,7 @@ def rolling_count(df: DataFrame, key: str, ts: str, seconds: float = 300, out: s
                   chunk_seconds: float | None = None) -> DataFrame:
     """Connections of the same key in the trailing window (the row included)."""
     w_us, c_us = _chunk(seconds, chunk_seconds)
-    x = _with_parts(df, micros(ts), w_us, c_us)
+    x = _with_parts(df, micros(ts, df), w_us, c_us)
     win = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(-w_us, 0)
     return (x.withColumn(out, F.count(F.lit(1)).over(win))
             .filter(F.col("_home") == 1).drop("_t", "_part", "_home"))
@@ -70,7 +78,7 @@ def source_window_features(df: DataFrame, key: str, ts: str, val: str, seconds:
     share one window over (key, chunk). NULL values are not counted.
     """
     w_us, c_us = _chunk(seconds, chunk_seconds)
-    x = _with_parts(df, micros(ts), w_us, c_us)
+    x = _with_parts(df, micros(ts, df), w_us, c_us)
     # pieces of the sweep, one per occurrence; equal (value, t) pairs give empty pieces
     occ = x.filter(F.col(val).isNotNull()).select(key, "_part", val, "_t")
     nxt = F.lead("_t").over(Window.partitionBy(key, "_part", val).orderBy("_t"))
@@ -106,7 +114,7 @@ def gap_stats(df: DataFrame, key: str, ts: str, mean_out: str = "time_delta_mean
     statistics are partial aggregates, so a hot key is summed in parallel.
     """
     c_us = int(chunk_seconds * US)
-    x = df.select(key, micros(ts).alias("_t")).withColumn("_c", F.floor(F.col("_t") / c_us))
+    x = df.select(key, micros(ts, df).alias("_t")).withColumn("_c", F.floor(F.col("_t") / c_us))
     inner = (x.withColumn("_g", F.col("_t") - F.lag("_t").over(Window.partitionBy(key, "_c").orderBy("_t")))
              .select(key, "_g"))
     edges = x.groupBy(key, "_c").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))

@@ -160,3 +160,21 @@ def test_head_per_group(spark):
     out = logs.head_per_group(df, "g", "id", 5)
     assert out.count() == 15
     assert sorted(r["id"] for r in out.filter("g = 0").collect()) == [0, 3, 6, 9, 12]
+
+
+def test_window_math_ignores_session_zone(spark):
+    base = dt.datetime(2024, 3, 10, 1, 30)  # a DST change in New York follows 30 minutes later
+    rows = [(1, 1, base), (2, 1, base + dt.timedelta(hours=2))]
+    df = spark.createDataFrame(rows, "uid long, src long, event_time timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = {r["uid"]: r["time_delta_mean"] for r in G.gap_stats(df, "src", "event_time").collect()}
+        cnt = {r["uid"]: r["n"] for r in G.rolling_count(df, "src", "event_time", 3600 + 1800, "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert out[1] == 7200.0 and cnt == {1: 1, 2: 1}
+
+
+def test_all_null_column_dropped(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b double")
+    assert D.drop_sparse_columns(df, 0.20).columns == ["a"]
