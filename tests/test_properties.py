@@ -136,3 +136,13 @@ def test_smote_lsh_path_with_duplicates(spark):
     assert counts[0] == counts[1] == 14
     pts = {(r["a"], r["b"]) for r in out.filter("synthetic = 1").collect()}
     assert all(0 <= a <= 2 and abs(a - b) < 1e-12 for a, b in pts)
+
+
+def test_auc_trapezoid_is_rank_plus_half_ties(spark):
+    s = scored(spark, SF_MID)
+    a = N.auc(s).first()
+    per = s.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).collect()
+    P = sum(r["pos"] for r in per)
+    Q = sum(r["neg"] for r in per)
+    ties = sum(r["pos"] * r["neg"] for r in per) / (P * Q)
+    assert math.isclose(a["auc_trapezoid"], a["auc_rank"] + 0.5 * ties, abs_tol=1e-12)
