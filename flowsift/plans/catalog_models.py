@@ -177,3 +177,34 @@ def q_gbt_early_stopping(spark, d):
     scored = L.score(model, x.filter("split = 'test'"), "target", keep=("uid",))
     m = N.binary_metrics(scored, "target")
     return m.withColumn("trees", F.lit(model.stages[-1].getNumTrees))
+
+
+# fixed values: the reference's PCA inputs (ports, packets, IP bytes), then the
+# optional duration and payload bytes; the test view lacks orig_p and the IP byte counters
+PCA_FLOW_COLUMNS = ("resp_p", "orig_pkts", "resp_pkts", "duration", "orig_bytes", "resp_bytes")
+
+
+@query("pca_flows")
+def q_pca_flows(spark, d):
+    """K1 on the connection columns over all rows (the reference samples
+    50,000; the covariance here is a distributed d×d aggregate)."""
+    from flowsift.plans.catalog_core import raw
+    r = raw(spark, d)
+    return K.pca(r, [c for c in PCA_FLOW_COLUMNS if c in r.columns], 2, keep=("uid", "label")).projected
+
+
+@query("rf_random_search")
+def q_rf_random_search(spark, d):
+    """L5 for the forest over the reference's ranges (trees 50-299, depth
+    5-45 or unlimited -> Spark's cap 30, leaf size 1-9, feature subsets,
+    bootstrap), 3 stratified folds, F1 of class 1; 3 draws here."""
+    data, feats = prepare_flows(spark, d)
+    train = data.filter(F.col("split") == "train")
+    pipe = L.random_forest(feats, "target", num_trees=100)
+    rf = pipe.getStages()[-1]
+    depths = [L.MAX_TREE_DEPTH] + [min(v, L.MAX_TREE_DEPTH) for v in range(5, 50, 5)]
+    space = {rf.numTrees: (50, 300), rf.maxDepth: depths, rf.minInstancesPerNode: (1, 10),
+             rf.featureSubsetStrategy: ["sqrt", "log2", "all"], rf.bootstrap: [True, False]}
+    cvm, trials = L.random_search(pipe, space, train, "target", draws=3, fold_col="fold", parallelism=3)
+    rows = [(i, str({p.name: v for p, v in pm.items()}), float(m)) for i, (pm, m) in enumerate(trials)]
+    return spark.createDataFrame(rows, "draw int, params string, mean_f1 double")

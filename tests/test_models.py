@@ -112,3 +112,23 @@ def test_end_to_end_run(spark):
     assert {r["metric"] for r in res["recommendation"]} == {"f1", "accuracy"}
     assert spark.read.parquet(out + "/cleaned").count() == 1000
     assert os.path.isdir(out + "/models/rf") and os.path.isdir(out + "/dataset/data")
+
+
+def test_pca_matches_numpy(spark):
+    import numpy as np
+    from flowsift.plans.catalog_core import raw
+    from flowsift.plans.catalog_models import PCA_FLOW_COLUMNS
+    r = raw(spark, SF_SMALL)
+    cols = list(PCA_FLOW_COLUMNS)
+    res = K.pca(r, cols, 2, keep=("uid",))
+    X = np.array([[row[c] if row[c] is not None else 0.0 for c in cols]
+                  for row in r.select("uid", *cols).orderBy("uid").collect()], dtype=float)
+    Z = (X - X.mean(0)) / X.std(0)
+    w, V = np.linalg.eigh(np.cov(Z, rowvar=False))
+    order = np.argsort(w)[::-1]
+    assert np.allclose(res.explained, (w[order] / w.sum())[:2], atol=1e-9)
+    proj = np.array([[row["pc1"], row["pc2"]] for row in res.projected.orderBy("uid").collect()])
+    for j in range(2):
+        v = V[:, order[j]]
+        v = v * np.sign(v[np.abs(v).argmax()])
+        assert np.allclose(proj[:, j], Z @ v, atol=1e-6)
