@@ -2,7 +2,7 @@
 
 Randomness is ``md5(seed || ':' || id)``: the same rows on any partitioning
 and replayable in SQL. Exact per-class ranks never put a class into one
-task: rows are spread over ``buckets`` hash buckets, the small table of
+task: rows are spread over 16^4 md5-prefix buckets, the small table of
 (class, bucket) counts is prefix-summed, and each row's rank is its offset
 plus its rank inside its (class, bucket).
 """
@@ -53,7 +53,7 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
         t *= 2
 
 
-def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42, hex_digits: int = 3,
+def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42, hex_digits: int = 4,
                out: str = "_rank", size_out: str = "_n") -> DataFrame:
     """0-based rank of each row inside its class in md5-key order, and the class size.
 
@@ -89,7 +89,7 @@ def _assign(rank: Column, n: Column, names: Sequence[str], fracs: Sequence[float
 # I2 / I4
 def stratified_split(df: DataFrame, label: str, fracs: Sequence[float] = (0.75, 0.25),
                      names: Sequence[str] = ("train", "test"), id_col: str = "uid", seed: int = 42,
-                     hex_digits: int = 3, out: str = "split") -> DataFrame:
+                     hex_digits: int = 4, out: str = "split") -> DataFrame:
     """Per class: the first round(n·f1) rows by md5 key -> names[0], the next up
     to round(n·(f1+f2)) -> names[1], ... Class shares equal in every split
     to within one row."""
@@ -113,7 +113,7 @@ def random_split(df: DataFrame, fracs: Sequence[float] = (0.75, 0.25), names: Se
 
 # I5
 def assign_folds(df: DataFrame, label: str, k: int = 5, id_col: str = "uid", seed: int = 42,
-                 hex_digits: int = 3, out: str = "fold") -> DataFrame:
+                 hex_digits: int = 4, out: str = "fold") -> DataFrame:
     """Stratified, shuffled k-fold ids: rank inside the class modulo k."""
     x = class_rank(df, label, id_col, seed, hex_digits)
     return x.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_rank", "_n")
