@@ -494,3 +494,26 @@ def q_file_heads_stats(spark, d):
     """The multi-file comparison: A3 (first 1,000 rows of each file) then C9."""
     heads = logs.head_per_group(labeled(spark, d).select(*_RAW_COLS), "source_file", "uid", 1000)
     return P.file_stats(heads)
+
+
+# fixed values: Spark's type names of the labelled view's columns
+_RAW_TYPES = {"uid": "bigint", "event_time": "timestamp_ntz", "orig_h": "bigint", "resp_p": "int",
+              "proto": "string", "conn_state": "string", "service": "string", "duration": "double",
+              "orig_bytes": "double", "resp_bytes": "double", "orig_pkts": "double", "resp_pkts": "double",
+              "missed_bytes": "bigint", "label": "string", "detailed_label": "string", "source_file": "string"}
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c in _RAW_COLS:
+        blank = f"count_if(trim({c}) = '')" if c in _TEXT else "CAST(NULL AS BIGINT)"
+        zero = f"count_if({c} = 0)" if c in _NUM else "CAST(NULL AS BIGINT)"
+        parts.append(f"""SELECT '{c}' AS "column", '{_RAW_TYPES[c]}' AS dtype, count(*) AS rows,
+  count_if({c} IS NULL) AS missing, {blank} AS blanks, {zero} AS zeros FROM labeled""")
+    return f"WITH {V.LABELED}\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("column_profile", _profile_sql())
+def q_column_profile(spark, d):
+    """C1-C4 in one pass: names, types, rows, missing, blank and zero counts of every column."""
+    return P.column_profile(labeled(spark, d).select(*_RAW_COLS))
