@@ -52,10 +52,27 @@ def _chunk(window_seconds: float, chunk_seconds: float | None) -> tuple[int, int
     return w, max(c, 1)
 
 
+MAX_TASK_ROWS = 5_000_000
+
+
+def densest_window(df: DataFrame, key: str, ts: str, seconds: float) -> int:
+    """Rows of the densest (key, window-length slot): one partial-aggregate pass."""
+    slot = F.floor(micros(ts, df) / int(round(seconds * US)))
+    return df.groupBy(F.col(key), slot.alias("_s")).count().agg(F.max("count")).first()[0] or 0
+
+
 # G1
 def rolling_count(df: DataFrame, key: str, ts: str, seconds: float = 300, out: str = "conn_rate",
-                  chunk_seconds: float | None = None) -> DataFrame:
-    """Connections of the same key in the trailing window (the row included)."""
+                  chunk_seconds: float | None = None, method: str = "auto",
+                  max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
+    """Connections of the same key in the trailing window (the row included).
+    ``method`` as in ``source_window_features``."""
+    if method == "auto":
+        dens = densest_window(df, key, ts, seconds)
+        if dens * ((chunk_seconds / seconds if chunk_seconds else 4.0) + 1.0) > max_task_rows:
+            method, chunk_seconds = "prefix", max(seconds * max_task_rows / max(dens, 1), 1e-6)
+    if method == "prefix":
+        return source_window_features_prefix(df, key, ts, None, seconds, out, None, chunk_seconds or seconds / 4)
     w_us, c_us = _chunk(seconds, chunk_seconds)
     x = _with_parts(df, micros(ts, df), w_us, c_us)
     win = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(-w_us, 0)
@@ -66,9 +83,16 @@ def rolling_count(df: DataFrame, key: str, ts: str, seconds: float = 300, out: s
 # G1 + G2
 def source_window_features(df: DataFrame, key: str, ts: str, val: str, seconds: float = 300,
                            rate_out: str = "conn_rate_5min", distinct_out: str = "port_scan_score",
-                           chunk_seconds: float | None = None) -> DataFrame:
+                           chunk_seconds: float | None = None, method: str = "auto",
+                           max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
     """Rolling connection count and exact rolling distinct count of ``val``.
 
+    ``method``: 'halo' (below), 'prefix' (``source_window_features_prefix``)
+    or 'auto': the halo form while one task's rows (about
+    (chunk/window + 1) × the densest window of one key) stay within
+    ``max_task_rows``, otherwise the prefix form with chunks sized so a chunk
+    of the densest key holds about ``max_task_rows`` rows.
+
     Distinct count by sweep instead of a set per row: an occurrence of a value
     at t keeps it "active" on [t, min(next occurrence, t + window + 1µs)).
     Each such piece emits +1 at its start and -1 at its end; the number of
@@ -77,6 +101,15 @@ def source_window_features(df: DataFrame, key: str, ts: str, val: str, seconds:
     (``lead`` over key, chunk, value); the running sum and the row count
     share one window over (key, chunk). NULL values are not counted.
     """
+    if method == "auto":
+        dens = densest_window(df, key, ts, seconds)
+        ratio = (chunk_seconds / seconds if chunk_seconds else 4.0) + 1.0
+        if dens * ratio > max_task_rows:
+            chunk = max(seconds * max_task_rows / max(dens, 1), 1e-6)
+            return source_window_features_prefix(df, key, ts, val, seconds, rate_out, distinct_out, chunk)
+    elif method == "prefix":
+        return source_window_features_prefix(df, key, ts, val, seconds, rate_out, distinct_out,
+                                             chunk_seconds or seconds / 4)
     w_us, c_us = _chunk(seconds, chunk_seconds)
     x = _with_parts(df, micros(ts, df), w_us, c_us)
     # pieces of the sweep, one per occurrence; equal (value, t) pairs give empty pieces
@@ -96,10 +129,70 @@ def source_window_features(df: DataFrame, key: str, ts: str, val: str, seconds:
             .drop("_t", "_part", "_home", "_at", "_d", "_row"))
 
 
+# G1 + G2, bounded tasks for any density
+def source_window_features_prefix(df: DataFrame, key: str, ts: str, val: str | None, seconds: float = 300,
+                                  rate_out: str = "conn_rate_5min", distinct_out: str = "port_scan_score",
+                                  chunk_seconds: float = 60.0, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Same results as ``source_window_features``, with no lower bound on the
+    rows a task must hold (the halo form needs one window of a source's rows
+    per task; a source with millions of connections per window breaks that).
+
+    Both features are running sums of delta streams evaluated at each row's
+    time: the count gets +1 at t and -1 at t + window + 1µs; the distinct
+    count gets the sweep pieces' +1/-1. Time is cut into short chunks; a
+    running sum inside (source, chunk) plus the sum of all earlier chunks of
+    the source (a prefix over the small table of per-chunk totals) gives the
+    value. The next occurrence of a value is found inside (source, value,
+    chunk) and, for the last one of a chunk, from the value's next non-empty
+    chunk (a per-(source, value) table of chunk minima).
+    """
+    w_us, c_us = int(round(seconds * US)), max(int(round(chunk_seconds * US)), 1)
+    inf = F.lit(2 ** 62)
+    x = df.withColumn("_t", micros(ts, df)).withColumn("_c", F.floor(F.col("_t") / c_us))
+    rate = x.select(key, F.inline(F.array(
+        F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_dr"), F.lit(0).alias("_dd")),
+        F.struct((F.col("_t") + (w_us + 1)).alias("_at"), F.lit(-1).alias("_dr"), F.lit(0).alias("_dd")))))
+    if val is None:  # the count alone
+        return _prefix_eval(x, rate, key, c_us, rate_out, None, max_broadcast_rows)
+    occ = x.filter(F.col(val).isNotNull()).select(key, val, "_t", "_c")
+    inner = occ.withColumn("_nx", F.lead("_t").over(Window.partitionBy(key, val, "_c").orderBy("_t")))
+    firsts = occ.groupBy(key, val, "_c").agg(F.min("_t").alias("_first"))
+    nxt_chunk = firsts.withColumn("_nxc", F.lead("_first").over(Window.partitionBy(key, val).orderBy("_c"))) \
+        .select(key, val, "_c", "_nxc")
+    pieces = inner.join(nxt_chunk, [key, val, "_c"], "left").withColumn(
+        "_end", F.least(F.coalesce("_nx", "_nxc", inf), F.col("_t") + (w_us + 1)))
+    deltas = pieces.select(key, F.inline(F.array(
+        F.struct(F.col("_t").alias("_at"), F.lit(0).alias("_dr"), F.lit(1).alias("_dd")),
+        F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_dr"), F.lit(-1).alias("_dd")))))
+    return _prefix_eval(x, deltas.unionByName(rate), key, c_us, rate_out, distinct_out, max_broadcast_rows)
+
+
+def _prefix_eval(x: DataFrame, deltas: DataFrame, key: str, c_us: int, rate_out: str, distinct_out: str | None,
+                 max_broadcast_rows: int) -> DataFrame:
+    """Running sums of the delta streams at every row's time: inside (key,
+    chunk) plus the key's earlier chunks (prefix over per-chunk totals)."""
+    rows = x.withColumn("_at", F.col("_t")).withColumn("_dr", F.lit(0)).withColumn("_dd", F.lit(0)) \
+        .withColumn("_row", F.lit(1)).drop("_c")
+    stream = rows.unionByName(deltas.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    stream = stream.withColumn("_c", F.floor(F.col("_at") / c_us))
+    totals = stream.groupBy(key, "_c").agg(F.sum("_dr").alias("_tr"), F.sum("_dd").alias("_td"))
+    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_c", F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_or"),
+                            F.coalesce(F.sum("_td").over(before), F.lit(0)).alias("_od"))
+    from flowsift.session import maybe_broadcast
+    j = stream.join(maybe_broadcast(offsets, max_broadcast_rows), [key, "_c"])
+    run = Window.partitionBy(key, "_c").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    out = j.withColumn(rate_out, F.col("_or") + F.sum("_dr").over(run))
+    if distinct_out:
+        out = out.withColumn(distinct_out, F.col("_od") + F.sum("_dd").over(run))
+    return out.filter(F.col("_row") == 1).drop("_t", "_c", "_at", "_dr", "_dd", "_row", "_or", "_od")
+
+
 # G2
 def rolling_distinct(df: DataFrame, key: str, ts: str, val: str, seconds: float = 300,
-                     out: str = "port_scan_score", chunk_seconds: float | None = None) -> DataFrame:
-    return source_window_features(df, key, ts, val, seconds, "_rate", out, chunk_seconds).drop("_rate")
+                     out: str = "port_scan_score", chunk_seconds: float | None = None,
+                     method: str = "auto") -> DataFrame:
+    return source_window_features(df, key, ts, val, seconds, "_rate", out, chunk_seconds, method).drop("_rate")
 
 
 # G3

@@ -136,3 +136,28 @@ def q_scanning_flag(spark, d):
     r = C.volume_features(raw(spark, d))
     r = G.rolling_count(r, "orig_h", "event_time", DAY, "conn_rate")
     return C.scanning_flag(r, 3, 2000, "conn_rate", "total_bytes").select("uid", "conn_rate", "is_scanning_behavior")
+
+
+@query("rolling_source_features_prefix", f"""WITH {V.FLOWS}
+SELECT uid, count(*) OVER w AS conn_rate_1d, count(DISTINCT resp_p) OVER w AS ports_1d FROM flows
+WINDOW w AS (PARTITION BY orig_h ORDER BY event_time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
+def q_rolling_source_features_prefix(spark, d):
+    """G1 + G2, prefix-sum form (tasks bounded by one-hour chunks, whatever the window)."""
+    f = G.source_window_features_prefix(flows(spark, d), "orig_h", "event_time", "resp_p", DAY,
+                                        "conn_rate_1d", "ports_1d", chunk_seconds=3600)
+    return f.select("uid", "conn_rate_1d", "ports_1d")
+
+
+@query("rolling_dense_features_prefix", """
+SELECT l_orderkey AS uid, l_linenumber, count(*) OVER w AS conn_rate_30d,
+       count(DISTINCT l_partkey) OVER w AS parts_30d
+FROM lineitem
+WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)""")
+def q_rolling_dense_features_prefix(spark, d):
+    """G1 + G2 on the dense view, prefix-sum form with 2-day chunks (15 per window)."""
+    li = read_table(spark, d, "lineitem")
+    f = li.select(F.col("l_orderkey").alias("uid"), "l_linenumber", F.col("l_shipdate").alias("event_time"),
+                  F.col("l_suppkey").alias("orig_h"), F.col("l_partkey").alias("resp_p"))
+    out = G.source_window_features_prefix(f, "orig_h", "event_time", "resp_p", 30 * DAY, "conn_rate_30d",
+                                          "parts_30d", chunk_seconds=2 * DAY)
+    return out.select("uid", "l_linenumber", "conn_rate_30d", "parts_30d")

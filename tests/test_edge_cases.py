@@ -92,10 +92,11 @@ def test_rolling_ties_and_exact_boundary(spark):
     rows = [(1, 1, base, 80), (2, 1, base, 80), (3, 1, base + dt.timedelta(seconds=300), 443),
             (4, 1, base + dt.timedelta(seconds=301), 22), (5, 2, base, 80)]
     df = spark.createDataFrame(rows, "uid long, src long, event_time timestamp_ntz, port int")
-    out = {r["uid"]: (r["conn_rate_5min"], r["port_scan_score"])
-           for r in G.source_window_features(df, "src", "event_time", "port", 300, chunk_seconds=60).collect()}
-    # two rows with one timestamp see each other; 300 s is inside the window, 301 s is not
-    assert out == {1: (2, 1), 2: (2, 1), 3: (3, 2), 4: (2, 2), 5: (1, 1)}
+    for fn in (G.source_window_features, G.source_window_features_prefix):
+        out = {r["uid"]: (r["conn_rate_5min"], r["port_scan_score"])
+               for r in fn(df, "src", "event_time", "port", 300, chunk_seconds=60).collect()}
+        # two rows with one timestamp see each other; 300 s is inside the window, 301 s is not
+        assert out == {1: (2, 1), 2: (2, 1), 3: (3, 2), 4: (2, 2), 5: (1, 1)}, fn.__name__
 
 
 def test_gap_stats_single_and_pair(spark):

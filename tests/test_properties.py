@@ -146,3 +146,43 @@ def test_auc_trapezoid_is_rank_plus_half_ties(spark):
     Q = sum(r["neg"] for r in per)
     ties = sum(r["pos"] * r["neg"] for r in per) / (P * Q)
     assert math.isclose(a["auc_trapezoid"], a["auc_rank"] + 0.5 * ties, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("chunk_days", [0.5, 3, 40])
+def test_prefix_windows_equal_brute_force(spark, chunk_days):
+    li = read_table(spark, SF_SMALL, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    got = G.source_window_features_prefix(li, "l_suppkey", "l_shipdate", "l_partkey", 30 * 86400, "n", "d",
+                                          chunk_seconds=chunk_days * 86400)
+    t = G.micros("l_shipdate")
+    w = Window.partitionBy("l_suppkey").orderBy("_t").rangeBetween(-30 * 86400 * 10 ** 6, 0)
+    ref = (li.withColumn("_t", t).withColumn("n", F.count(F.lit(1)).over(w))
+           .withColumn("d", F.size(F.collect_set("l_partkey").over(w))))
+    from collections import Counter
+    key = ["l_orderkey", "l_linenumber"]
+    a = Counter(tuple(r) for r in got.select(*key, "n", "d").collect())
+    b = Counter(tuple(r) for r in ref.select(*key, "n", "d").collect())
+    assert a == b and sum(a.values()) == li.count()
+
+
+def test_auto_switches_to_prefix_for_dense_sources(spark):
+    li = read_table(spark, SF_SMALL, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    dens = G.densest_window(li, "l_suppkey", "l_shipdate", 30 * 86400)
+    assert dens > 1
+    # a budget below the densest window forces the prefix form; results must not change
+    a = G.source_window_features(li, "l_suppkey", "l_shipdate", "l_partkey", 30 * 86400, "n", "d",
+                                 max_task_rows=dens)
+    b = G.source_window_features(li, "l_suppkey", "l_shipdate", "l_partkey", 30 * 86400, "n", "d", method="halo")
+    from collections import Counter
+    key = ["l_orderkey", "l_linenumber", "n", "d"]
+    assert Counter(tuple(r) for r in a.select(*key).collect()) == Counter(tuple(r) for r in b.select(*key).collect())
+
+
+def test_rolling_count_prefix_equals_halo(spark):
+    li = read_table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    a = G.rolling_count(li, "l_suppkey", "l_shipdate", 7 * 86400, "n", method="prefix", chunk_seconds=86400)
+    b = G.rolling_count(li, "l_suppkey", "l_shipdate", 7 * 86400, "n", method="halo")
+    from collections import Counter
+    key = ["l_orderkey", "l_linenumber", "n"]
+    assert Counter(tuple(r) for r in a.select(*key).collect()) == Counter(tuple(r) for r in b.select(*key).collect())
