@@ -197,8 +197,8 @@ def rolling_distinct(df: DataFrame, key: str, ts: str, val: str, seconds: float
 
 # G3
 def gap_stats(df: DataFrame, key: str, ts: str, mean_out: str = "time_delta_mean",
-              std_out: str = "time_delta_std", chunk_seconds: float = 3600.0,
-              max_broadcast_rows: int | None = None) -> DataFrame:
+              std_out: str = "time_delta_std", chunk_seconds: float | None = None,
+              max_broadcast_rows: int | None = None, max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
     """Mean and sample std (seconds) of the gaps between consecutive
     connections of each key, attached to every row of the key.
 
@@ -206,7 +206,10 @@ def gap_stats(df: DataFrame, key: str, ts: str, mean_out: str = "time_delta_mean
     chunk border from a small per-(key, chunk) min/max table. The gap
     statistics are partial aggregates, so a hot key is summed in parallel.
     """
-    c_us = int(chunk_seconds * US)
+    if chunk_seconds is None:  # one hour, shorter if the densest source-hour exceeds the task budget
+        dens = densest_window(df, key, ts, 3600.0)
+        chunk_seconds = 3600.0 if dens <= max_task_rows else max(3600.0 * max_task_rows / dens, 1e-6)
+    c_us = max(int(chunk_seconds * US), 1)
     x = df.select(key, micros(ts, df).alias("_t")).withColumn("_c", F.floor(F.col("_t") / c_us))
     inner = (x.withColumn("_g", F.col("_t") - F.lag("_t").over(Window.partitionBy(key, "_c").orderBy("_t")))
              .select(key, "_g"))
