@@ -164,7 +164,7 @@ def q_missing_report(spark, d):
 {" UNION ALL ".join(f"SELECT count_if({c} IS NULL) AS n FROM labeled" for c in _RAW_COLS)})
 SELECT CAST(sum(n) AS BIGINT) AS total_missing,
        sum(n) * 100.0 / ((SELECT count(*) FROM labeled) * {len(_RAW_COLS)}) AS total_missing_pct,
-       count_if(n > 0) AS columns_with_missing FROM m""", doubles=("total_missing_pct",))
+       CAST(count_if(n > 0) AS BIGINT) AS columns_with_missing FROM m""", doubles=("total_missing_pct",))
 def q_missing_summary(spark, d):
     """C2 totals: missing cells, share of all cells, columns affected."""
     return P.missing_summary(labeled(spark, d).select(*_RAW_COLS))
@@ -228,8 +228,8 @@ def q_null_matrix(spark, d):
 
 
 @query("file_stats", f"""WITH {V.LABELED}
-SELECT source_file, count(*) AS rows, count_if(label = 'Malicious') AS malicious,
-       count_if(label = 'Benign') AS benign,
+SELECT source_file, count(*) AS rows, CAST(count_if(label = 'Malicious') AS BIGINT) AS malicious,
+       CAST(count_if(label = 'Benign') AS BIGINT) AS benign,
        count_if(label = 'Malicious') * 100.0 / count(*) AS malicious_pct,
        count_if(label = 'Benign') * 100.0 / count(*) AS benign_pct,
        CAST({" + ".join(f"(count_if({c} IS NULL) > 0)::INTEGER" for c in _RAW_COLS if c != "source_file")}
@@ -384,7 +384,8 @@ def q_hourly_volume(spark, d):
 
 @query("volume_series", f"""WITH {V.LABELED}
 SELECT time_bucket(INTERVAL 10 MINUTE, event_time) AS time_bin,
-       count_if(label = 'Benign') AS "Benign", count_if(label = 'Malicious') AS "Malicious"
+       CAST(count_if(label = 'Benign') AS BIGINT) AS "Benign",
+       CAST(count_if(label = 'Malicious') AS BIGINT) AS "Malicious"
 FROM labeled WHERE label IS NOT NULL GROUP BY 1""")
 def q_volume_series(spark, d):
     """E5: connections per 10-minute bin × label; absent cells 0."""
@@ -481,8 +482,8 @@ def q_dense_view_profile(spark, d):
 @query("file_heads_stats", f"""WITH {V.LABELED}, h AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY uid) AS rn FROM labeled)
   WHERE rn <= 1000)
-SELECT source_file, count(*) AS rows, count_if(label = 'Malicious') AS malicious,
-       count_if(label = 'Benign') AS benign,
+SELECT source_file, count(*) AS rows, CAST(count_if(label = 'Malicious') AS BIGINT) AS malicious,
+       CAST(count_if(label = 'Benign') AS BIGINT) AS benign,
        count_if(label = 'Malicious') * 100.0 / count(*) AS malicious_pct,
        count_if(label = 'Benign') * 100.0 / count(*) AS benign_pct,
        CAST({" + ".join(f"(count_if({c} IS NULL) > 0)::INTEGER" for c in _RAW_COLS if c != "source_file")}
@@ -506,10 +507,10 @@ _RAW_TYPES = {"uid": "bigint", "event_time": "timestamp_ntz", "orig_h": "bigint"
 def _profile_sql() -> str:
     parts = []
     for c in _RAW_COLS:
-        blank = f"count_if(trim({c}) = '')" if c in _TEXT else "CAST(NULL AS BIGINT)"
-        zero = f"count_if({c} = 0)" if c in _NUM else "CAST(NULL AS BIGINT)"
+        blank = f"CAST(count_if(trim({c}) = '') AS BIGINT)" if c in _TEXT else "CAST(NULL AS BIGINT)"
+        zero = f"CAST(count_if({c} = 0) AS BIGINT)" if c in _NUM else "CAST(NULL AS BIGINT)"
         parts.append(f"""SELECT '{c}' AS "column", '{_RAW_TYPES[c]}' AS dtype, count(*) AS rows,
-  count_if({c} IS NULL) AS missing, {blank} AS blanks, {zero} AS zeros FROM labeled""")
+  CAST(count_if({c} IS NULL) AS BIGINT) AS missing, {blank} AS blanks, {zero} AS zeros FROM labeled""")
     return f"WITH {V.LABELED}\n" + "\nUNION ALL\n".join(parts)
 
 

@@ -197,8 +197,10 @@ def scored(spark, d):
 
 
 @query("binary_metrics", f"""WITH {_SCORED}, c AS (
-  SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label = 0 AND prediction = 0) AS tn,
-         count_if(label = 0 AND prediction = 1) AS fp, count_if(label = 1 AND prediction = 0) AS fn FROM scored),
+  SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp,
+         CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn,
+         CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp,
+         CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn FROM scored),
 m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
              CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall FROM c)
 SELECT tp, tn, fp, fn, (tp + tn) / (tp + tn + fp + fn) AS accuracy, precision, recall,
@@ -220,11 +222,11 @@ pr AS (SELECT class, tp, support, CASE WHEN pred_n = 0 THEN 0 ELSE tp / pred_n E
               CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall FROM per),
 f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1
       FROM pr)
-SELECT class, precision, recall, f1, support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM f
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+SELECT class, precision, recall, f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1 * support) / sum(support), sum(support) FROM f""",
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f""",
        doubles=("precision", "recall", "f1"))
 def q_classification_report(spark, d):
     """Per-class and averaged precision / recall / F1 with support."""

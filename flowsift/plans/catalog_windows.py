@@ -88,7 +88,8 @@ def q_window_counts_sliding(spark, d):
 
 @query("failed_ratio", f"""WITH {V.FLOWS}, g AS (
   SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS window_start,
-         count_if(conn_state IN ('S0', 'REJ')) AS failed, count_if(conn_state IN ('SF')) AS succeeded
+         CAST(count_if(conn_state IN ('S0', 'REJ')) AS BIGINT) AS failed,
+         CAST(count_if(conn_state IN ('SF')) AS BIGINT) AS succeeded
   FROM flows GROUP BY 1)
 SELECT *, CASE WHEN succeeded = 0 THEN NULL ELSE failed / succeeded END AS failed_ratio,
        CASE WHEN succeeded = 0 THEN NULL ELSE failed / succeeded END
