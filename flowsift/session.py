@@ -83,9 +83,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``small`` only after checking its row count.
 
-    The count is one cheap action over an already aggregated table. Above the
-    bound the plain DataFrame is returned and Spark joins it with a shuffle
-    (AQE may still convert it at run time when it turns out small).
+    The table (usually an aggregate) is first written once to the reliable
+    checkpoint folder, so counting it and joining it do not compute it twice.
+    Above the bound the plain DataFrame is returned and Spark joins it with a
+    shuffle (AQE may still convert it at run time when it turns out small).
     """
+    small = cut_lineage(small)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
