@@ -66,18 +66,24 @@ def _header(spark: SparkSession, file: str) -> str:
 
 # A1 / A2 / F4
 def read_flows(spark: SparkSession, path: str, sep: str = "|", typed: bool = True,
-               numeric: Sequence[str] = LOG_NUMERIC_COLUMNS) -> DataFrame:
+               numeric: Sequence[str] = LOG_NUMERIC_COLUMNS, mixed_headers: bool = True) -> DataFrame:
     """Read one log file or every log file under a folder.
 
     Adds ``source_file``; renames dotted / hyphenated names; types known
-    numeric fields (unparsable -> NULL) and the timestamp.
+    numeric fields (unparsable -> NULL) and the timestamp. With
+    ``mixed_headers`` the header line of every file is read (a short read
+    per file on the driver) and files are grouped by header; without it, the
+    first file's header is taken for all and the folder is one CSV scan.
     """
     files = _list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
     groups: dict[str, list[str]] = {}
-    for f in files:  # header lines only: one short read per file on the driver
-        groups.setdefault(_header(spark, f), []).append(f)
+    if mixed_headers:
+        for f in files:
+            groups.setdefault(_header(spark, f), []).append(f)
+    else:
+        groups[_header(spark, files[0])] = files
     parts = []
     for header, members in groups.items():
         names = [normalise_name(h) for h in header.split(sep)]

@@ -179,3 +179,13 @@ def test_window_math_ignores_session_zone(spark):
 def test_all_null_column_dropped(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "a int, b double")
     assert D.drop_sparse_columns(df, 0.20).columns == ["a"]
+
+
+def test_read_flows_single_header_path(spark):
+    d = tempfile.mkdtemp(prefix="flowsift-logs-", dir="/tmp")
+    for name, rows in (("a.csv", "1.5|10.0.0.1|80|-\n"), ("b.csv", "2.5|10.0.0.2|22|0.5\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("ts|id.orig_h|id.resp_p|duration\n" + rows)
+    df = logs.read_flows(spark, d, mixed_headers=False)
+    got = {r["orig_h"]: (r["resp_p"], r["duration"], r["source_file"]) for r in df.collect()}
+    assert got == {"10.0.0.1": (80, None, "a.csv"), "10.0.0.2": (22, 0.5, "b.csv")}
