@@ -28,9 +28,20 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def round_sql(sql: str, doubles: Sequence[str], digits: int = DIGITS) -> str:
+    """Round exactly like Spark's ``round`` on a double, which rounds the
+    shortest round-trip decimal form half-up: DuckDB prints the same shortest
+    form, which is parsed as a wide DECIMAL and rounded there, so halves and
+    near-halves go the same way in both engines. Infinities, NaN and
+    magnitudes beyond the DECIMAL range pass unchanged (no 6th decimal there)."""
     if not doubles:
         return sql
-    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {digits}) AS "{c}"' for c in doubles)
+
+    def r(c: str) -> str:
+        x = f'CAST("{c}" AS DOUBLE)'
+        return (f"CASE WHEN isinf({x}) OR isnan({x}) OR abs({x}) >= 1e19 THEN {x} "
+                f"ELSE CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) END")
+
+    rep = ", ".join(f'{r(c)} AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 
