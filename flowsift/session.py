@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    always used. Only when it is unset (local tests) is a scratch folder made.
+    always used. Only when it is unset and Spark runs in one local process
+    (tests) is a scratch folder made; a cluster without one is an error, as
+    other machines couldn't read what the driver's disk holds.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="flowsift-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
