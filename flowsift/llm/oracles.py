@@ -82,3 +82,51 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
        CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+_WORDS4 = r"""
+words AS (SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+                             WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i:
+                                  w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+         FROM words)"""
+
+NEAR_DUP = f"""
+WITH RECURSIVE {_WORDS4},
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+held AS (SELECT doc_id, unnest(s) AS k FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM held a JOIN held b USING (k)
+          WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * i >= 80 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT doc_id, doc_id FROM sizes UNION
+                     SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM sizes JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) ON id = doc_id
+"""
+
+DECONTAMINATION = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+i5 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
+              lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM iw WHERE len(w) >= 5),
+d5 AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3),
+              lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM dw WHERE len(w) >= 5),
+size AS (SELECT item_id, count(*) AS n FROM i5 GROUP BY item_id)
+SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS overlap
+FROM d5 JOIN i5 USING (k) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""

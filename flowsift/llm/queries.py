@@ -6,12 +6,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import chat_format, line_dedup, oracles, shard_tree
-from flowsift.llm.base import ORACLES, QUERIES, query, table
+from flowsift.llm import (chat_format, decontaminate, lang_backoff, line_dedup, mtree_search, near_dup, oracles,
+                          packing, pii_bootstrap, quality_nbsvm, shard_tree)
+from flowsift.llm.base import ORACLES, QUERIES, fold_of, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_file() -> str:
+    """The vocabulary file of the packing query; set FLOWSIFT_TOKENIZER to use another."""
+    import os
+    given = os.environ.get("FLOWSIFT_TOKENIZER")
+    if given:
+        return given
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op1_shard_tree", oracles.SHARD_TREE)
 def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign_shards(table(spark, sf_dir, "documents"), n_shards=8)
@@ -27,6 +38,50 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(rows.unionByName(probe))
 
 
+@query("op3_minhash_bayes", oracles.NEAR_DUP)
+def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
+
+
+@query("op4_quality_nbsvm")
+def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold_of(F.col("doc_id")) == 0
+    model = quality_nbsvm.fit_quality(docs.filter(~held), table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held.alias("held_out"), quality_nbsvm.quality_score(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048)
+
+
+@query("op6_bm25_decontamination", oracles.DECONTAMINATION)
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query("op7_contextual_pii")
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mtree_topk", oracles.TOP_K)
+def op8_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_search.top_k(table(spark, sf_dir, "embeddings"), lambda v: v % 20 == 0, k=20)
+
+
+@query("op9_language_backoff")
+def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold_of(F.col("doc_id")) == 0
+    model = lang_backoff.fit_languages(docs.filter(~held))
+    found = docs.select("doc_id", held.alias("held_out"), lang_backoff.predict_languages(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 @query("op10_line_dedup", oracles.LINES)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
