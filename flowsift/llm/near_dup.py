@@ -316,8 +316,14 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
                                    F.array_sort(F.array_except("tp", "tx")).alias("less")))
     size, own, lost = F.size("tx"), F.size("more"), F.size("less")
     need = F.ceil(size * percent / 100).cast("int") - (size - own)
-    keys = held.filter(need > 0).select("rep", "label", F.explode(F.slice("more", F.lit(1), own - need + 1)).alias("e"))
     every = held.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.explode("tx").alias("e"))
+    # the first residual shingles by how many members hold them: the rarest propose the fewest pairs
+    held_by = every.groupBy("e").agg(F.count("*").alias("c"))
+    keys = (held.filter(need > 0).select("rep", "label", (own - need + 1).alias("k"), F.explode("more").alias("e"))
+            .join(held_by, "e").groupBy("rep", "label", "k")
+            .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
+            .select("rep", "label", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
+            .select("rep", "label", F.col("r.e").alias("e")))
     pairs = keys.withColumnsRenamed({"rep": "a", "label": "la"}).join(every, "e").filter("la <> lb").select("a", "b")
 
     plain = held.filter(need <= 0)
