@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.session import cut_lineage, maybe_broadcast
+from flowsift.session import cut_lineage, join_null_safe, maybe_broadcast
 
 MAP_LIMIT = 2_000_000
 
@@ -86,18 +86,22 @@ def _select_quantiles(df: DataFrame, cols, probs, keys, split_lists) -> DataFram
         F.struct(F.lit(0).alias("which"), F.col("r0").alias("r")),
         F.struct(F.lit(1).alias("which"), F.col("r1").alias("r"))))) \
         .filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("bt")))
-    need = maybe_broadcast(cut_lineage(need))  # groups × columns × probs × 2 rows
-    hit = need.select(*gk, "b", "before").distinct()
-    within = cnt.join(F.broadcast(hit), gk + ["b"])
+    need = maybe_broadcast(need)  # groups × columns × probs × 2 rows
+    hit = maybe_broadcast(need.select(*gk, "b", "before").distinct())
+    within = join_null_safe(cnt, hit, gk + ["b"])
     w = Window.partitionBy(*gk, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     within = within.withColumn("cb", F.col("before") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-    picked = (within.join(need, gk + ["b", "before"])
+    picked = (join_null_safe(within, need, gk + ["b", "before"])
               .filter((F.col("r") >= F.col("cb")) & (F.col("r") < F.col("cb") + F.col("c")))
               .groupBy(*gk, "p").agg(F.max("frac").alias("frac"),
                                      F.max(F.when(F.col("which") == 0, F.col("v"))).alias("v0"),
                                      F.max(F.when(F.col("which") == 1, F.col("v"))).alias("v1")))
     out = picked.select(*gk, "p", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("value"))
-    return out
+    # groups (and columns) without values: NULL
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    every = groups.select(*keys, F.explode(F.array(*map(F.lit, cols))).alias("column")).withColumn(
+        "p", F.explode(F.array(*[F.lit(p) for p in probs])))
+    return join_null_safe(every, out, gk + ["p"], "left").select(*gk, "p", "value")
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:

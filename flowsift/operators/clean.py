@@ -56,8 +56,12 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     if not cols:
         return df
     med = quantile_row(df, cols, [0.5])
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med.get((c, 0.5))).cast(df.schema[c].dataType))
-                           for c in cols})
+    return df.withColumns({c: _filled(df, c, med.get((c, 0.5))) for c in cols})
+
+
+def _filled(df: DataFrame, c: str, value):
+    """``c`` with NULL, and NaN of floating columns, replaced."""
+    return F.when(_missing(df, c), F.lit(value).cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`"))
 
 
 # D4
@@ -132,8 +136,7 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict:
 
 def apply_cleaning(df: DataFrame, fitted: dict) -> DataFrame:
     df = df.drop(*present(df, fitted["drop"]))
-    fills = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
-             for c, v in fitted["fill"].items() if c in df.columns}
+    fills = {c: _filled(df, c, v) for c, v in fitted["fill"].items() if c in df.columns}
     return df.withColumns(fills) if fills else df
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.session import maybe_broadcast
+from flowsift.session import join_null_safe, maybe_broadcast
 
 
 def random_key(id_col: str, seed: int = 42) -> Column:
@@ -57,7 +57,7 @@ def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42, he
                out: str = "_rank", size_out: str = "_n") -> DataFrame:
     """0-based rank of each row inside its class in md5-key order, and the class size.
 
-    The bucket is the key's first ``hex_digits`` hex digits (16^d buckets), so
+    A NULL class is a class of its own. The bucket is the key's first ``hex_digits`` hex digits (16^d buckets), so
     bucket order agrees with key order and offset + local rank is the exact rank.
     """
     keys = [label] if label else []
@@ -70,7 +70,7 @@ def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42, he
                .withColumn(size_out, F.sum("_cnt").over(Window.partitionBy(*keys)))
                .drop("_cnt"))
     # classes × buckets rows; broadcast after a size check
-    x = x.join(maybe_broadcast(offsets), keys + ["_b"])
+    x = join_null_safe(x, maybe_broadcast(offsets), keys + ["_b"])
     local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_k")) - 1
     return x.withColumn(out, F.col("_off") + local).drop("_k", "_b", "_off")
 
@@ -125,7 +125,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     counts = counts.withColumn("_w", F.sum("_nc").over(Window.partitionBy()) /
                                (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc")))
-    return df.join(maybe_broadcast(counts.select(label, F.col("_w").alias(out))), label, "left")
+    return join_null_safe(df, maybe_broadcast(counts.select(label, F.col("_w").alias(out))), [label], "left")
 
 
 def class_weight_table(df: DataFrame, label: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsift.session import join_null_safe, maybe_broadcast
+
 US = 1_000_000
 
 
@@ -35,6 +37,14 @@ def micros(ts: str | Column, df: DataFrame | None = None) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _and_untimed(df: DataFrame, ts: str, features, *outs: str) -> DataFrame:
+    """``features`` of the rows that have a time, plus the rows without one, whose features are NULL."""
+    timed = features(df.filter(F.col(ts).isNotNull()))
+    types = {f.name: f.dataType for f in timed.schema.fields}
+    untimed = df.filter(F.col(ts).isNull()).withColumns({o: F.lit(None).cast(types[o]) for o in outs})
+    return timed.unionByName(untimed)
+
+
 def _with_parts(df: DataFrame, t: Column, window_us: int, chunk_us: int) -> DataFrame:
     """Adds ``_t`` (µs), ``_part`` (chunk processed in) and ``_home`` (1 in the row's own chunk)."""
     home = F.floor(F.col("_t") / chunk_us)
@@ -65,14 +75,20 @@ def densest_window(df: DataFrame, key: str, ts: str, seconds: float) -> int:
 def rolling_count(df: DataFrame, key: str, ts: str, seconds: float = 300, out: str = "conn_rate",
                   chunk_seconds: float | None = None, method: str = "auto",
                   max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
-    """Connections of the same key in the trailing window (the row included).
-    ``method`` as in ``source_window_features``."""
+    """Connections of the same key in the trailing window (the row included);
+    NULL for rows without a time. ``method`` as in ``source_window_features``."""
+    return _and_untimed(df, ts, lambda x: _rolling_count(x, key, ts, seconds, out, chunk_seconds, method, max_task_rows),
+                        out)
+
+
+def _rolling_count(df: DataFrame, key: str, ts: str, seconds: float, out: str, chunk_seconds: float | None, method: str,
+                   max_task_rows: int) -> DataFrame:
     if method == "auto":
         dens = densest_window(df, key, ts, seconds)
         if dens * ((chunk_seconds / seconds if chunk_seconds else 4.0) + 1.0) > max_task_rows:
             method, chunk_seconds = "prefix", max(seconds * max_task_rows / max(dens, 1), 1e-6)
     if method == "prefix":
-        return source_window_features_prefix(df, key, ts, None, seconds, out, None, chunk_seconds or seconds / 4)
+        return _prefix_features(df, key, ts, None, seconds, out, None, chunk_seconds or seconds / 4)
     w_us, c_us = _chunk(seconds, chunk_seconds)
     x = _with_parts(df, micros(ts, df), w_us, c_us)
     win = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(-w_us, 0)
@@ -99,17 +115,23 @@ def source_window_features(df: DataFrame, key: str, ts: str, val: str, seconds:
     distinct values in a row's window is the running sum of these deltas at
     the row's time. The pieces need the next occurrence of the same value
     (``lead`` over key, chunk, value); the running sum and the row count
-    share one window over (key, chunk). NULL values are not counted.
+    share one window over (key, chunk). NULL values are not counted; a NULL key
+    is a key; rows without a time stay, with NULL features.
     """
+    return _and_untimed(df, ts, lambda x: _window_features(x, key, ts, val, seconds, rate_out, distinct_out,
+                                                           chunk_seconds, method, max_task_rows), rate_out, distinct_out)
+
+
+def _window_features(df: DataFrame, key: str, ts: str, val: str, seconds: float, rate_out: str, distinct_out: str,
+                     chunk_seconds: float | None, method: str, max_task_rows: int) -> DataFrame:
     if method == "auto":
         dens = densest_window(df, key, ts, seconds)
         ratio = (chunk_seconds / seconds if chunk_seconds else 4.0) + 1.0
         if dens * ratio > max_task_rows:
             chunk = max(seconds * max_task_rows / max(dens, 1), 1e-6)
-            return source_window_features_prefix(df, key, ts, val, seconds, rate_out, distinct_out, chunk)
+            return _prefix_features(df, key, ts, val, seconds, rate_out, distinct_out, chunk)
     elif method == "prefix":
-        return source_window_features_prefix(df, key, ts, val, seconds, rate_out, distinct_out,
-                                             chunk_seconds or seconds / 4)
+        return _prefix_features(df, key, ts, val, seconds, rate_out, distinct_out, chunk_seconds or seconds / 4)
     w_us, c_us = _chunk(seconds, chunk_seconds)
     x = _with_parts(df, micros(ts, df), w_us, c_us)
     # pieces of the sweep, one per occurrence; equal (value, t) pairs give empty pieces
@@ -146,6 +168,13 @@ def source_window_features_prefix(df: DataFrame, key: str, ts: str, val: str | N
     chunk) and, for the last one of a chunk, from the value's next non-empty
     chunk (a per-(source, value) table of chunk minima).
     """
+    outs = [rate_out] + ([distinct_out] if val is not None else [])
+    return _and_untimed(df, ts, lambda x: _prefix_features(x, key, ts, val, seconds, rate_out, distinct_out,
+                                                           chunk_seconds, max_broadcast_rows), *outs)
+
+
+def _prefix_features(df: DataFrame, key: str, ts: str, val: str | None, seconds: float, rate_out: str,
+                     distinct_out: str | None, chunk_seconds: float, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     w_us, c_us = int(round(seconds * US)), max(int(round(chunk_seconds * US)), 1)
     inf = F.lit(2 ** 62)
     x = df.withColumn("_t", micros(ts, df)).withColumn("_c", F.floor(F.col("_t") / c_us))
@@ -159,7 +188,7 @@ def source_window_features_prefix(df: DataFrame, key: str, ts: str, val: str | N
     firsts = occ.groupBy(key, val, "_c").agg(F.min("_t").alias("_first"))
     nxt_chunk = firsts.withColumn("_nxc", F.lead("_first").over(Window.partitionBy(key, val).orderBy("_c"))) \
         .select(key, val, "_c", "_nxc")
-    pieces = inner.join(nxt_chunk, [key, val, "_c"], "left").withColumn(
+    pieces = join_null_safe(inner, nxt_chunk, [key, val, "_c"], "left").withColumn(
         "_end", F.least(F.coalesce("_nx", "_nxc", inf), F.col("_t") + (w_us + 1)))
     deltas = pieces.select(key, F.inline(F.array(
         F.struct(F.col("_t").alias("_at"), F.lit(0).alias("_dr"), F.lit(1).alias("_dd")),
@@ -179,8 +208,7 @@ def _prefix_eval(x: DataFrame, deltas: DataFrame, key: str, c_us: int, rate_out:
     before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_c", F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_or"),
                             F.coalesce(F.sum("_td").over(before), F.lit(0)).alias("_od"))
-    from flowsift.session import maybe_broadcast
-    j = stream.join(maybe_broadcast(offsets, max_broadcast_rows), [key, "_c"])
+    j = join_null_safe(stream, maybe_broadcast(offsets, max_broadcast_rows), [key, "_c"])
     run = Window.partitionBy(key, "_c").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     out = j.withColumn(rate_out, F.col("_or") + F.sum("_dr").over(run))
     if distinct_out:

@@ -253,10 +253,10 @@ def q_class_share_by_file(spark, d):
 
 @query("head_per_file", f"""WITH {V.FLOWS}
 SELECT source_file, uid, proto FROM (
-  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY uid) AS rn FROM flows) WHERE rn <= 100""")
+  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY uid) AS rn FROM flows) WHERE rn <= 10000""")
 def q_head_per_file(spark, d):
-    """A3: first 100 rows of each file by uid."""
-    return logs.head_per_group(flows(spark, d), "source_file", "uid", 100).select("source_file", "uid", "proto")
+    """A3: first 10,000 rows of each file by uid."""
+    return logs.head_per_group(flows(spark, d), "source_file", "uid", 10_000).select("source_file", "uid", "proto")
 
 
 # ---------------------------------------------------------------- D: cleaning
@@ -481,7 +481,7 @@ def q_dense_view_profile(spark, d):
 
 @query("file_heads_stats", f"""WITH {V.LABELED}, h AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY uid) AS rn FROM labeled)
-  WHERE rn <= 1000)
+  WHERE rn <= 10000)
 SELECT source_file, count(*) AS rows, CAST(count_if(label = 'Malicious') AS BIGINT) AS malicious,
        CAST(count_if(label = 'Benign') AS BIGINT) AS benign,
        count_if(label = 'Malicious') * 100.0 / count(*) AS malicious_pct,
@@ -493,7 +493,7 @@ SELECT source_file, count(*) AS rows, CAST(count_if(label = 'Malicious') AS BIGI
 FROM h GROUP BY source_file""", doubles=("malicious_pct", "benign_pct"))
 def q_file_heads_stats(spark, d):
     """The multi-file comparison: A3 (first 1,000 rows of each file) then C9."""
-    heads = logs.head_per_group(labeled(spark, d).select(*_RAW_COLS), "source_file", "uid", 1000)
+    heads = logs.head_per_group(labeled(spark, d).select(*_RAW_COLS), "source_file", "uid", 10_000)
     return P.file_stats(heads)
 
 

@@ -156,6 +156,17 @@ def q_smote_embeddings(spark, d):
     return smote(train, cols, "target", "uid", k=5)
 
 
+@query("smote_class_counts", """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, n, CAST((SELECT max(n) FROM c) - n AS BIGINT) AS synthetic FROM c""")
+def q_smote_class_counts(spark, d):
+    """Rows and synthetic rows of every class after balancing all embeddings."""
+    from flowsift.operators.smote import smote
+    wide, cols = _embeddings(spark, d)
+    out = smote(wide, cols, "label", "vec_id", k=5)
+    return out.groupBy("label").agg(F.count_if(F.col("synthetic") == 0).alias("n"),
+                                    F.count_if(F.col("synthetic") == 1).alias("synthetic"))
+
+
 @query("mlp_training_history")
 def q_mlp_training_history(spark, d):
     """Loss per training iteration of the network."""

@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Above this many rows a statistics table is joined with a shuffle instead of
-# being broadcast. Group-statistic tables (one row per category) stay far below.
+# Above this many rows or bytes a statistics table is joined with a shuffle instead
+# of being broadcast. Group-statistic tables (one row per category) stay far below.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -86,7 +91,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after checking its row count.
+    """Broadcast ``small`` only after checking its rows and bytes.
 
     The table (usually an aggregate) is first written once to the reliable
     checkpoint folder, so counting it and joining it do not compute it twice.
@@ -94,5 +99,20 @@ def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     shuffle (AQE may still convert it at run time when it turns out small).
     """
     small = cut_lineage(small)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    wide = [f.name for f in small.schema.fields if not isinstance(f.dataType, T.AtomicType)
+            or isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide]
+    per_row = sum(size, F.lit(16 * len(small.columns)))
+    n, total = small.agg(F.count(F.lit(1)), F.sum(per_row)).first()
+    return F.broadcast(small) if n <= max_rows and (total or 0) <= BROADCAST_MAX_BYTES else small
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name, NULL equal to NULL; the keys appear once."""
+    keys = list(keys)
+    names = {k: f"__r_{i}" for i, k in enumerate(keys)}
+    hint = right._jdf.queryExecution().logical().nodeName() == "ResolvedHint"
+    right = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    right = F.broadcast(right) if hint else right
+    cond = reduce(and_, [left[f"`{k}`"].eqNullSafe(right[n]) for k, n in names.items()])
+    return left.join(right, cond, how).drop(*names.values())

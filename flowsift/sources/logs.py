@@ -57,6 +57,8 @@ def _header(spark: SparkSession, file: str) -> str:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(file)
     stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    stream = codec.createInputStream(stream) if codec is not None else stream
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         return reader.readLine() or ""
@@ -73,7 +75,8 @@ def read_flows(spark: SparkSession, path: str, sep: str = "|", typed: bool = Tru
     numeric fields (unparsable -> NULL) and the timestamp. With
     ``mixed_headers`` the header line of every file is read (a short read
     per file on the driver) and files are grouped by header; without it, the
-    first file's header is taken for all and the folder is one CSV scan.
+    folder is one CSV scan under the first file's header, and a file with
+    another header is an error.
     """
     files = _list_files(spark, path)
     if not files:
@@ -86,11 +89,12 @@ def read_flows(spark: SparkSession, path: str, sep: str = "|", typed: bool = Tru
         groups[_header(spark, files[0])] = files
     parts = []
     for header, members in groups.items():
-        names = [normalise_name(h) for h in header.split(sep)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = (spark.read.option("sep", sep).option("header", True).option("enforceSchema", True)
+        raw = header.split(sep)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in raw])
+        df = (spark.read.option("sep", sep).option("header", True).option("enforceSchema", mixed_headers)
               .option("mode", "PERMISSIVE").schema(schema).csv(members))
-        parts.append(df.withColumn("source_file", F.col("_metadata.file_name")))
+        parts.append(df.select(*[F.col(f"`{n}`").alias(normalise_name(n)) for n in raw],
+                               F.col("_metadata.file_name").alias("source_file")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -126,12 +126,11 @@ def test_smote_points_on_segments(spark):
         assert ok
 
 
-def test_smote_lsh_path_with_duplicates(spark):
+def test_smote_blocks_with_duplicates(spark):
     from flowsift.operators.smote import smote
     rows = [(i, 1 if i < 6 else 0, float(i % 3), float(i % 3)) for i in range(20)]  # minority has duplicates
     df = spark.createDataFrame(rows, "uid long, target int, a double, b double")
-    out = smote(df, ["a", "b"], "target", "uid", k=2, max_exact_values=0, lsh_bucket_length=2.0,
-                lsh_threshold=5.0)
+    out = smote(df, ["a", "b"], "target", "uid", k=2, block_rows=4)
     counts = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
     assert counts[0] == counts[1] == 14
     pts = {(r["a"], r["b"]) for r in out.filter("synthetic = 1").collect()}
