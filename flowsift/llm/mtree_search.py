@@ -40,7 +40,7 @@ from flowsift.llm.base import quoted
 from flowsift.session import cut_lineage
 
 SCALE = 64
-PAGE = 128            # entries of a page
+PAGE = 512            # entries of a page
 FAN_OUT = 16          # children of an inner node
 TREE_ROWS = 16_000    # entries of a tree, about
 QUERY_BLOCK = 4_096   # queries that are broadcast at once, about
@@ -144,12 +144,15 @@ def search(pages: list[Page], q: np.ndarray, own: int, norm2: float, k: int) ->
             live = np.flatnonzero(bounds >= floor())
             if not len(live):
                 continue
-            scores = p.vectors[live] @ q
-            for i in np.argsort(-scores, kind="stable"):
+            # entries stand by distance, so the live ones are close together: no copy of the page
+            lo, hi = live[0], live[-1] + 1
+            scores = p.vectors[lo:hi] @ q
+            good = np.flatnonzero(scores >= floor())
+            for i in good[np.argsort(-scores[good], kind="stable")]:
                 s = int(scores[i])
                 if s < floor():
                     break
-                for v in p.ids[live[i]]:
+                for v in p.ids[lo + i]:
                     if v == own:
                         continue
                     if len(best) < k:
