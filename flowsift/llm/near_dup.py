@@ -246,12 +246,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     large = (mixed.filter(F.col("n") > SPLIT).groupBy("rep", "label")
              .agg(F.max(F.struct("meets", "hub")).alias("p")).select("rep", "label", F.col("p.hub").alias("pivot")))
     sharing, plain = _residual_pairs(cut_lineage(large), docs, words_per_shingle, percent)
-    # two members within different pivots: they agree in a second band
-    second = (plain.join(classes.select("rep", "bands"), "rep").join(
-        mixed.filter(F.col("n") > SPLIT).select("key", "rep"), "rep")
-        .select(F.col("key").alias("k1"), "rep", "pivot", F.explode("bands").alias("k2")).filter("k1 <> k2")
-        .select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "rep", "pivot").distinct())
-    apart = _mixed(second.withColumnRenamed("pivot", "label"))
+    # two members within different pivots: they agree in a second band. Both bands' buckets
+    # are large and hold several pivots, or else the pair is among those above
+    within = _mixed(plain.withColumnRenamed("pivot", "label").join(
+        mixed.filter(F.col("n") > SPLIT).select("key", "rep"), "rep"))
+    second = (within.groupBy("rep", "label").agg(F.array_sort(F.collect_set("key")).alias("k"))
+              .select("rep", "label", "k", F.posexplode("k").alias("at", "k1"))
+              .select("rep", "label", F.explode(F.expr("transform(slice(k, at + 2, size(k)), x -> xxhash64(k1, x))"))
+                      .alias("key")))
+    apart = _mixed(second)
     across = (_across(small.select("key", "rep", "label")).unionByName(_across(apart)).unionByName(sharing)
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = _verified(across, classes, docs, words_per_shingle, percent)
