@@ -7,7 +7,6 @@ one row of means / deviations. Fit on the training split, apply to any frame.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -19,13 +18,23 @@ from flowsift.operators.profile import cardinality
 from flowsift.session import maybe_broadcast
 
 MAX_CATEGORIES = 10_000
+MAX_LABELS = 100_000
 
 
 # J1
-def label_encode(df: DataFrame, cols: Sequence[str], fill: str = "unknown", suffix: str = ""):
-    """Codes 0.. in alphabetical order (NULL -> ``fill`` first). Returns (frame, fitted indexer model)."""
+def label_encode(df: DataFrame, cols: Sequence[str], fill: str = "unknown", suffix: str = "",
+                 max_labels: int = MAX_LABELS):
+    """Codes 0.. in alphabetical order (NULL -> ``fill`` first). Returns (frame, fitted indexer model).
+
+    The fitted model holds every label on the driver, so columns of more than
+    about ``max_labels`` distinct values (a HyperLogLog estimate) are an error."""
     cols = present(df, cols)
+    if not cols:
+        return df, None
     filled = df.fillna(fill, subset=cols)
+    many = [r["column"] for r in cardinality(filled, cols, exact=False).collect() if r["n_distinct"] > max_labels]
+    if many:
+        raise ValueError(f"{', '.join(many)}: more than {max_labels} labels")
     outs = [f"{c}{suffix or '_idx'}" for c in cols]
     model = StringIndexer(inputCols=cols, outputCols=outs, stringOrderType="alphabetAsc",
                           handleInvalid="keep").fit(filled)
@@ -76,11 +85,17 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
 
 
 # J4
-def encode_auto(df: DataFrame, cols: Sequence[str], lo: int = 10, hi: int = 100, exact: bool = True):
+def encode_auto(df: DataFrame, cols: Sequence[str], lo: int = 10, hi: int = 100):
     """Cardinality router: < lo values -> one-hot, lo..hi-1 -> codes, >= hi left as text.
-    Returns (frame, {column: route})."""
+    Returns (frame, {column: route}).
+
+    One HyperLogLog pass; only columns whose estimate lies near a limit are
+    counted exactly, so no column of many values is."""
     cols = present(df, cols)
-    card = {r["column"]: r["n_distinct"] for r in cardinality(df, cols, exact).collect()}
+    card = {r["column"]: r["n_distinct"] for r in cardinality(df, cols, exact=False).collect()}
+    near = [c for c in cols if any(abs(card[c] - limit) <= 2 + 0.1 * limit for limit in (lo, hi))]
+    if near:
+        card |= {r["column"]: r["n_distinct"] for r in cardinality(df, near).collect()}
     route = {c: ("one_hot" if card[c] < lo else "codes" if card[c] < hi else "text") for c in cols}
     out = one_hot(df, [c for c in cols if route[c] == "one_hot"])
     out = category_codes(out, [c for c in cols if route[c] == "codes"])
@@ -138,10 +153,6 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
                            if c in df.columns})
 
 
-def scaler_json(scaler: dict) -> str:
-    return json.dumps(scaler)
-
-
 # J8
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Feature vector column; ``features`` (the names) is the caller's list, in order."""

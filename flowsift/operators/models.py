@@ -22,7 +22,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
@@ -203,7 +203,3 @@ def random_search(pipeline: Pipeline, space: dict, train: DataFrame, label: str
                         foldCol=fold_col, parallelism=parallelism, seed=seed)
     model = cv.fit(train)
     return model, list(zip(maps, model.avgMetrics))
-
-
-def empty_grid():
-    return ParamGridBuilder().build()

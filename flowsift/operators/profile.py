@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from flowsift.functions.columns import numeric_columns, string_columns
 from flowsift.functions.quantiles import exact_quantiles
+from flowsift.session import cut_lineage
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -121,10 +122,10 @@ def zero_report(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """value, count, pct. NULLs are not a value but stay in the denominator.
 
-    One shuffle by value (map-side partial counts); the total comes from the
-    same aggregated table, so the data is scanned once.
+    One shuffle by value (map-side partial counts); the counts are written once
+    and the total is taken from them, so the data is scanned once.
     """
-    grouped = df.groupBy(F.col(f"`{col}`").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    grouped = cut_lineage(df.groupBy(F.col(f"`{col}`").alias("value")).agg(F.count(F.lit(1)).alias("count")))
     total = grouped.agg(F.sum("count").alias("_total"))
     out = (grouped.filter(F.col("value").isNotNull()).crossJoin(F.broadcast(total))
            .select("value", "count", _pct(F.col("count"), F.col("_total")).alias("pct")))

@@ -278,8 +278,12 @@ def failed_ratio(df: DataFrame, ts: str, every: str = "5 minutes", state: str =
     g = df.groupBy(F.window(ts, every).start.alias("window_start")).agg(
         F.count_if(F.col(state).isin(*failed)).alias("failed"),
         F.count_if(F.col(state).isin(*ok)).alias("succeeded"))
-    g = g.withColumn("failed_ratio", F.try_divide(F.col("failed").cast("double"), F.col("succeeded")))
-    return g.withColumn("ratio_change", F.col("failed_ratio") - F.lag("failed_ratio").over(_series_order()))
+    return ratio_change(g.withColumn("failed_ratio", F.try_divide(F.col("failed").cast("double"), F.col("succeeded"))))
+
+
+def ratio_change(series: DataFrame) -> DataFrame:
+    """The rise of ``failed_ratio`` over the previous window of a window series."""
+    return series.withColumn("ratio_change", F.col("failed_ratio") - F.lag("failed_ratio").over(_series_order()))
 
 
 # G6
@@ -287,7 +291,12 @@ def share_series(df: DataFrame, ts: str, col: str = "proto", every: str = "5 min
     """Share of each value per window and its change against the value's previous window."""
     g = df.filter(F.col(col).isNotNull()).groupBy(F.window(ts, every).start.alias("window_start"), col) \
         .agg(F.count(F.lit(1)).alias("count"))
-    g = g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("window_start")))
+    return shares(g, col)
+
+
+def shares(counts: DataFrame, col: str) -> DataFrame:
+    """Shares and their changes from the counts per (window_start, ``col``)."""
+    g = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("window_start")))
     return g.withColumn("share_change", F.col("share") - F.lag("share").over(
         Window.partitionBy(col).orderBy("window_start")))
 
@@ -296,6 +305,7 @@ def share_series(df: DataFrame, ts: str, col: str = "proto", every: str = "5 min
 def low_volume_share(df: DataFrame, ts: str, every: str = "5 minutes", bytes_col: str = "orig_bytes",
                      pkts_col: str = "orig_pkts", max_bytes: float = 100.0, max_pkts: float = 2.0) -> DataFrame:
     """Mean bytes per packet and the share of low-byte, low-packet connections per window."""
+    # plain aggregates only, so the same function serves a stream
     bpp = F.col(bytes_col) / F.when(F.col(pkts_col) == 0, F.lit(1)).otherwise(F.col(pkts_col))
     low = (F.coalesce(F.col(bytes_col), F.lit(0)) <= max_bytes) & (F.coalesce(F.col(pkts_col), F.lit(0)) <= max_pkts)
     return df.groupBy(F.window(ts, every).start.alias("window_start")).agg(

@@ -492,7 +492,7 @@ SELECT source_file, count(*) AS rows, CAST(count_if(label = 'Malicious') AS BIGI
             AS missing_total
 FROM h GROUP BY source_file""", doubles=("malicious_pct", "benign_pct"))
 def q_file_heads_stats(spark, d):
-    """The multi-file comparison: A3 (first 1,000 rows of each file) then C9."""
+    """The multi-file comparison: A3 (first 10,000 rows of each file) then C9."""
     heads = logs.head_per_group(labeled(spark, d).select(*_RAW_COLS), "source_file", "uid", 10_000)
     return P.file_stats(heads)
 

@@ -141,7 +141,7 @@ def q_embeddings_weighted_rf(spark, d):
     x = wide.withColumn("target", (F.col("label") < 2).cast("int")).withColumn("uid", F.col("vec_id"))
     x = I.class_weights(I.stratified_split(x, "target"), "target")
     train, test = x.filter("split = 'train'"), x.filter("split = 'test'")
-    model = L.random_forest(cols, "target", weight="weight", num_trees=50, max_depth=10).fit(train)
+    model = L.random_forest(cols, "target", weight="weight").fit(train)
     return N.binary_metrics(L.score(model, test, "target"), "target")
 
 
