@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsift.functions.quantiles import exact_quantiles
 from flowsift.operators import clean, reduce, sample, windows
+from flowsift.operators import encode as J
 from flowsift.operators.evaluate import auc
 from flowsift.operators.smote import smote
 from flowsift.sources.logs import read_flows
@@ -103,3 +104,16 @@ def test_late_events_count_in_gap_statistics(spark, tmp_path, order):
     s = spark.readStream.schema("ip string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
     out = S.run_to_table(S.stream_gap_stats(s.withWatermark("ts", "1 day"), "ip", "ts"), "late", "update", ["key"])
     assert [(r.key, r.rows, r.time_delta_mean, r.time_delta_std) for r in out.collect()] == [("10.0.0.1", 20, 60.0, 0.0)]
+
+
+def test_label_encode_is_bounded(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("v"))
+    assert J.label_encode(df, ["v"])[0].select("v").distinct().count() == 50
+    with pytest.raises(ValueError):
+        J.label_encode(df, ["v"], max_labels=10)
+
+
+def test_router_counts_exactly_near_its_limits(spark):
+    df = spark.range(1000).select(*[(F.col("id") % n).cast("string").alias(f"c{n}") for n in (9, 10, 99, 100)])
+    _, route = J.encode_auto(df, df.columns)
+    assert route == {"c9": "one_hot", "c10": "codes", "c99": "codes", "c100": "text"}
