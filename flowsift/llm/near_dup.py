@@ -319,15 +319,24 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
                                    F.array_sort(F.array_except("tp", "tx")).alias("less")))
     size, own, lost = F.size("tx"), F.size("more"), F.size("less")
     need = F.ceil(size * percent / 100).cast("int") - (size - own)
-    every = held.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.explode("tx").alias("e"))
-    # the first residual shingles by how many members hold them: the rarest propose the fewest pairs
-    held_by = every.groupBy("e").agg(F.count("*").alias("c"))
-    keys = (held.filter(need > 0).select("rep", "label", (own - need + 1).alias("k"), F.explode("more").alias("e"))
-            .join(held_by, "e").groupBy("rep", "label", "k")
-            .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
-            .select("rep", "label", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
-            .select("rep", "label", F.col("r.e").alias("e")))
-    pairs = keys.withColumnsRenamed({"rep": "a", "label": "la"}).join(every, "e").filter("la <> lb").select("a", "b")
+    own_rows = cut_lineage(held.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.explode("more").alias("e")))
+    in_pivot = cut_lineage(held.groupBy("pivot").agg(F.count("*").alias("c"))
+                           .join(sets.toDF("pivot", "tp"), "pivot").select("pivot", "c", F.explode("tp").alias("e")))
+    # the first residual shingles by how many members may hold them: the rarest propose the fewest pairs
+    held_by = (own_rows.select("e", F.lit(1).alias("c")).unionByName(in_pivot.select("e", "c"))
+               .groupBy("e").agg(F.sum("c").alias("c")))
+    keys = cut_lineage(
+        held.filter(need > 0).select("rep", "label", "pivot", (own - need + 1).alias("k"), F.explode("more").alias("e"))
+        .join(held_by, "e").groupBy("rep", "label", "pivot", "k")
+        .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
+        .select("rep", "label", "pivot", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
+        .select(F.col("rep").alias("a"), F.col("label").alias("la"), "pivot", F.col("r.e").alias("e")))
+    # y holds the shingle beyond its own pivot, or has it of its pivot: of these
+    # only the ones that a key asks for are looked up
+    asked = (keys.select("e").distinct().join(in_pivot, "e").groupBy("pivot").agg(F.collect_set("e").alias("asked")))
+    shared = (held.join(asked, "pivot").select(F.col("rep").alias("b"), F.col("label").alias("lb"),
+                                               F.explode(F.array_intersect("tx", "asked")).alias("e")))
+    pairs = (keys.drop("pivot").join(own_rows.unionByName(shared), "e").filter("la <> lb").select("a", "b"))
 
     plain = held.filter(need <= 0)
     # a missing shingle is another element than the same shingle added
