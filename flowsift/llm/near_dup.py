@@ -306,8 +306,12 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     + s and the union |B| + ax + ay - s, so a link asks for s >= (dx + dy + p *
     (ax + ay) - (1 - p) * |B|) / (1 + p). If x isn't linked with B, dx + p * ax
     > (1 - p) * |B|, hence s > (dy + p * ay) / (1 + p), and x holds one of y's
-    first ``dy + ay - s + 1`` changes in any fixed order (second filter; here
-    additions first, which are y's own, while copies of B may miss the same).
+    first ``dy + ay - s + 1`` changes in any order (second filter; here those
+    that the fewest unlinked members hold come first). An x that holds less than
+    it lacks shares most of its changes with others of its kind: it is proposed
+    by the prefix filter of whole sets instead, the |x| - p * |x| + 1 shingles
+    that the fewest members of the pivot hold, one of which must be among the
+    partner's own (third filter).
 
     Copies of one origin, or documents around one passage, have that in the
     pivot: these indexes stay sparse where band buckets are dense."""
@@ -319,36 +323,63 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
                                    F.array_sort(F.array_except("tp", "tx")).alias("less")))
     size, own, lost = F.size("tx"), F.size("more"), F.size("less")
     need = F.ceil(size * percent / 100).cast("int") - (size - own)
-    own_rows = cut_lineage(held.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.explode("more").alias("e")))
+    # sets that differ more in size can't be linked
+    fits = (100 * F.col("nb") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("nb"))
+    partner = [F.col("rep").alias("b"), F.col("label").alias("lb"), size.alias("nb")]
+    own_rows = cut_lineage(held.select(*partner, F.explode("more").alias("e")))
     in_pivot = cut_lineage(held.groupBy("pivot").agg(F.count("*").alias("c"))
                            .join(sets.toDF("pivot", "tp"), "pivot").select("pivot", "c", F.explode("tp").alias("e")))
     # the first residual shingles by how many members may hold them: the rarest propose the fewest pairs
     held_by = (own_rows.select("e", F.lit(1).alias("c")).unionByName(in_pivot.select("e", "c"))
                .groupBy("e").agg(F.sum("c").alias("c")))
     keys = cut_lineage(
-        held.filter(need > 0).select("rep", "label", "pivot", (own - need + 1).alias("k"), F.explode("more").alias("e"))
-        .join(held_by, "e").groupBy("rep", "label", "pivot", "k")
+        held.filter(need > 0)
+        .select("rep", "label", size.alias("size"), "pivot", (own - need + 1).alias("k"), F.explode("more").alias("e"))
+        .join(held_by, "e").groupBy("rep", "label", "size", "pivot", "k")
         .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
-        .select("rep", "label", "pivot", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
-        .select(F.col("rep").alias("a"), F.col("label").alias("la"), "pivot", F.col("r.e").alias("e")))
+        .select("rep", "label", "size", "pivot", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
+        .select(F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), "pivot",
+                F.col("r.e").alias("e")))
     # y holds the shingle beyond its own pivot, or has it of its pivot: of these
     # only the ones that a key asks for are looked up
     asked = (keys.select("e").distinct().join(in_pivot, "e").groupBy("pivot").agg(F.collect_set("e").alias("asked")))
-    shared = (held.join(asked, "pivot").select(F.col("rep").alias("b"), F.col("label").alias("lb"),
-                                               F.explode(F.array_intersect("tx", "asked")).alias("e")))
-    pairs = (keys.drop("pivot").join(own_rows.unionByName(shared), "e").filter("la <> lb").select("a", "b"))
+    shared = held.join(asked, "pivot").select(*partner, F.explode(F.array_intersect("tx", "asked")).alias("e"))
+    pairs = (keys.drop("pivot").join(own_rows.unionByName(shared), "e").filter("la <> lb").filter(fits).select("a", "b"))
 
     plain = held.filter(need <= 0)
     # a missing shingle is another element than the same shingle added
     changes = F.concat("more", F.transform("less", lambda e: F.xxhash64(F.lit("less"), e)))
     share = F.floor((100 * lost + percent * own) / (100 + percent)).cast("int") + 1
-    unlinked = plain.filter(100 * (F.col("n") - lost) < percent * (F.col("n") + own))
-    x = unlinked.select(F.col("rep").alias("a"), F.col("label").alias("la"), "pivot", F.explode(changes).alias("e"))
+    linked = 100 * (F.col("n") - lost) >= percent * (F.col("n") + own)
+    few = ~linked & (size < own + lost)
+    x = cut_lineage(plain.filter(~linked & ~few).select(
+        F.col("rep").alias("a"), F.col("label").alias("la"), size.alias("na"), "pivot", F.explode(changes).alias("e")))
     first = F.greatest(own + lost - share + 1, F.lit(0))
-    y = plain.select(F.col("rep").alias("b"), F.col("label").alias("lb"), "pivot",
-                     F.explode(F.slice(changes, F.lit(1), first)).alias("e"))
-    near = x.join(y, ["pivot", "e"]).filter("la <> lb").select("a", "b")
-    return pairs.unionByName(near), plain.select("rep", "pivot")
+    # of y's changes those that the fewest x hold; what none holds proposes nothing
+    rows = (plain.select("rep", "label", size.alias("size"), "pivot", first.alias("k"), F.explode(changes).alias("e"))
+            .join(x.groupBy("pivot", "e").agg(F.count("*").alias("c")), ["pivot", "e"], "left"))
+    y = (rows.groupBy("rep", "label", "size", "pivot", "k")
+         .agg(F.count_if(F.col("c").isNull()).alias("none"),
+              F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "e")))).alias("r"))
+         .select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), "pivot",
+                 F.explode(F.slice("r", F.lit(1), F.greatest(F.col("k") - F.col("none"), F.lit(0)).cast("int"))).alias("r"))
+         .select("b", "lb", "nb", "pivot", F.col("r.e").alias("e")))
+    near = x.join(y, ["pivot", "e"]).filter("la <> lb").filter(fits).select("a", "b")
+
+    whole = (plain.join(plain.filter(few).select("pivot").distinct(), "pivot", "left_semi")
+             .select("rep", "label", size.alias("size"), few.alias("few"), "pivot", F.explode("tx").alias("e")))
+    common = whole.groupBy("pivot", "e").agg(F.count("*").alias("c"))
+    prefix = cut_lineage(
+        whole.join(common, ["pivot", "e"]).groupBy("rep", "label", "size", "few", "pivot")
+        .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
+        .select("rep", "label", "size", "few", "pivot",
+                F.explode(F.slice("r", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")))
+                .alias("r"))
+        .filter("r.c > 1").select("rep", "label", "size", "few", "pivot", F.col("r.e").alias("e")))
+    small = (prefix.filter("few").selectExpr("rep AS a", "label AS la", "size AS na", "pivot", "e")
+             .join(prefix.selectExpr("rep AS b", "label AS lb", "size AS nb", "pivot", "e"), ["pivot", "e"])
+             .filter("la <> lb").filter(fits).select("a", "b"))
+    return pairs.unionByName(near).unionByName(small), plain.select("rep", "pivot")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:

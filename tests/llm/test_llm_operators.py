@@ -140,6 +140,45 @@ def test_near_duplicates_equal_brute_force(spark, family, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == df.columns
 
 
+def test_residual_filters_lose_no_link(spark):
+    """Windows, changed copies and mixtures of two pivots: every link is proposed, but
+    for members that lie almost wholly within different pivots."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    pivots = [[word() for _ in range(150)] for _ in range(2)]
+    pivots[1][40:100] = pivots[0][40:100]  # a passage of both
+    texts, at = [list(p) for p in pivots], [0, 1]
+    for n in range(160):
+        which = n % 2
+        w = list(pivots[which])
+        if n % 3 == 0:  # a window: holds less of the pivot than it lacks
+            lo, size = int(rng.integers(0, 100)), int(rng.integers(12, 50))
+            w = w[lo:lo + size]
+        else:
+            for j in rng.choice(150, rng.integers(3, 18), replace=False):
+                w[j] = word() if n % 3 == 1 else f"common{j % 7}"
+        texts.append(w)
+        at.append(which)
+        if n % 4 == 0:  # a near copy of the last one, with words of its own
+            texts.append(w[:len(w) * 9 // 10] + [word()])
+            at.append(which)
+    texts = [" ".join(w) for w in texts]
+    df = docs(spark, texts, list(range(len(texts))))
+    members = spark.createDataFrame([(i, i, at[i]) for i in range(2, len(texts))], "rep long, label long, pivot long")
+    pairs, plain = near_dup._residual_pairs(members, df.select("doc_id", "text"), 4, 80)
+    got = {tuple(sorted(p)) for p in pairs.distinct().collect()}
+    within = {r.rep for r in plain.collect()}
+    sets = [set(near_dup.shingle_set(t).tolist()) for t in texts]
+
+    def links(a, b):
+        return 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    far = [i for i in range(2, len(texts)) if not links(i, at[i])]
+    want = {(min(a, b), max(a, b)) for a in far for b in range(2, len(texts)) if a != b and links(a, b)
+            and (at[a] == at[b] or not {a, b} & within)}
+    assert len(want) > 40 and want <= got
+    assert any(len(sets[a]) < len(sets[a] ^ sets[at[a]]) for a, _ in want)  # the whole-set filter's kind
+
+
 def test_near_duplicates_edges(spark):
     df = docs(spark, ["a b c d e", "a b c d e", "a b c d e", "", None, "x"], [5, None, 5, 6, None, 7])
     got = sorted(map(tuple, near_dup.near_duplicates(df).collect()), key=str)
