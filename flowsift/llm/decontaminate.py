@@ -7,8 +7,10 @@ the texts are scanned once for it (benchmarks of a few MB are one shard). An
 item's impacts are divided by its own threshold, so that a passage is retrieved
 when its score reaches 1. The threshold is the least BM25 score of any passage
 that holds SHARE of the item's shingles: the item's full score less its
-heaviest terms, as many as may be absent then. So retrieval loses nothing that
-verification would accept.
+heaviest terms, as many as may be absent then. An item of no more distinct words
+than that (number grids, repeated words) still has so many shingles held that one
+of them weighs as much as the lightest of that rank: this is its threshold. So
+retrieval loses nothing that verification would accept.
 
 A text is cut into passages (twice the longest item, half overlapping), each
 passage is a query. WAND's first bound (sum of list maxima) and the bounds of
@@ -94,6 +96,10 @@ class IndexShard:
             heavy = sorted(impacts, reverse=True)
             # every absent term takes a shingle of its own with it, so at most `lost` terms may be absent
             threshold = sum(heavy[lost:])
+            if lost >= len(heavy):  # few words in many shingles: the terms of the shingles that must be held
+                weight = dict(zip(terms, impacts))
+                sums = sorted(sum(weight[w] for w in sorted(set(s.split(" ")))) for s in whole)
+                threshold = sums[len(whole) - lost - 1]
             for t, w in zip(terms, impacts):
                 k = self.vocabulary.get(t)
                 if k is None:

@@ -295,6 +295,26 @@ def test_wand_finds_what_scoring_all_finds():
         assert {i for i, _ in index.search(q, list(range(index.block_top.shape[1])))} == want
 
 
+def test_items_of_few_words_and_many_shingles(spark):
+    rng = np.random.default_rng(61)
+    two = " ".join(rng.choice(["yes", "no"], 60))
+    grid = " ".join(map(str, rng.integers(0, 10, 120)))
+    assert len(decontaminate.shingles(two.split())) >= 10 and len(decontaminate.shingles(grid.split())) >= 50
+    items = spark.createDataFrame([(1, two), (2, grid), (3, "yes the sky is blue today")], "item_id long, text string")
+    filler = " ".join(f"w{i}" for i in range(300))
+    made = [f"{filler} {two} {filler}", f"{filler} {grid}", " ".join(two.split()[:50]), " ".join(grid.split()[:110]),
+            " ".join(grid.split()[:60]), "yes yes yes yes yes no", filler, None]
+    made += [" ".join(rng.choice(["yes", "no"], n)) for n in (20, 60, 100, 120)]
+    whole = {r.item_id: decontaminate.shingles(r.text.split()) for r in items.collect()}
+    want = {(d, i) for d, t in enumerate(made) for i, s in whole.items()
+            if len(s & decontaminate.shingles((t or "").split())) >= 0.8 * len(s)}
+    assert {(0, 1), (1, 2), (3, 2)} <= want and (4, 2) not in want
+    df = docs(spark, made)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(spark, df, items).collect()} == want
+    left = {r.doc_id for r in decontaminate.drop_contaminated(spark, df, items).collect()}
+    assert left == set(range(len(made))) - {d for d, _ in want}
+
+
 # 7 personal data
 
 def base_spans(t):
