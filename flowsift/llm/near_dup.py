@@ -40,7 +40,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """d1 and d2 of a set: 128 bits, zeros for the empty one."""
+    if not len(s):
+        return 0, 0
+    a, c = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(c)
+
+
 def _sign_batches(words_per_shingle: int):
     def run(batches):
         band = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -108,11 +116,11 @@ def _sign_batches(words_per_shingle: int):
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, words_per_shingle)
                 n.append(len(s))
+                a, c = _digest(s)
+                d1.append(a), d2.append(c)
                 if not len(s):
-                    d1.append(0), d2.append(0), bands.append(None), sigs.append(None)
+                    bands.append(None), sigs.append(None)
                     continue
-                a, c = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                d1.append(int(a)), d2.append(int(c))
                 sig = signature(s)
                 key = band * _M
                 for col in sig.reshape(BANDS, ROWS).T:
@@ -130,11 +138,27 @@ def _sign_batches(words_per_shingle: int):
 def _set_batches(words_per_shingle: int):
     def run(batches):
         for b in batches:
-            sets = [_signed(shingle_set(t, words_per_shingle)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            sets = [shingle_set(t, words_per_shingle) for t in b.column(1).to_pylist()]
+            d1, d2 = zip(*map(_digest, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(list(map(_signed, sets)), pa.list_(pa.int64())), pa.array(d1, pa.int64()),
+                 pa.array(d2, pa.int64())], names=["id", "set", "d1", "d2"])
     return run
 
 
+def _digests(words_per_shingle: int):
+    @F.pandas_udf("d1 long, d2 long")
+    def digests(batch):
+        import pandas as pd
+        return pd.DataFrame([_digest(shingle_set(t, words_per_shingle)) for t in batch], columns=["d1", "d2"])
+    return digests
+
+
+def _row_key(doc_id, d1, d2):
+    """What tells rows apart: the id (null ones last) and the digest of the set."""
+    return F.struct(doc_id.isNull().alias("alone"), doc_id.alias("doc_id"), d1.alias("d1"), d2.alias("d2"))
+
+
 def least_matches(percent: int, total: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, fewest agreements that keep a pair) after each batch.
 
@@ -174,13 +198,14 @@ def _posterior_keep(percent: int):
     return keep
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int,
+              by_row: bool = False) -> DataFrame:
     """The pairs (a, b) that are links: posterior pruning, then the exact test."""
     sig = classes.select("rep", "sig")
     cand = (pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b"))
     cand = cut_lineage(cand.filter(_posterior_keep(percent)("sa", "sb")).select("a", "b"))
     need = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs, need, words)
+    sets = _sets(docs, need, words, by_row)
     both = cand.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
     inter = F.size(F.array_intersect("ta", "tb")).cast("long")
     both = both.select("a", "b", inter.alias("i"), (F.size("ta") + F.size("tb")).cast("long").alias("s"))
@@ -214,12 +239,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                     percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``df``."""
     docs = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    return _components_of(docs, words_per_shingle, percent).withColumnRenamed("doc_id", doc_id)
+
+
+def _components_of(docs: DataFrame, words_per_shingle: int, percent: int, by_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; if
+    ``by_row`` with the row key in the place of the id: rows of one id and
+    different sets, and rows without an id, are documents of their own."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sig", T.BinaryType())])
-    signed = cut_lineage(docs.mapInArrow(_sign_batches(words_per_shingle), schema))
+    signed = docs.mapInArrow(_sign_batches(words_per_shingle), schema)
+    if by_row:
+        signed = signed.withColumn("doc_id", _row_key(F.col("doc_id"), F.col("d1"), F.col("d2")))
+    signed = cut_lineage(signed)
     # one row for each distinct set
     classes = cut_lineage(signed.filter("n_shingles > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
@@ -234,7 +269,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             .select("key", F.col("m.rep").alias("hub"), F.col("m.meets").alias("meets")))
     members = cut_lineage(members.select("key", "rep").join(cut_lineage(hubs), "key"))
     star = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(star, classes, docs, words_per_shingle, percent)
+    links = _verified(star, classes, docs, words_per_shingle, percent, by_row)
     labels = components(links)
 
     # buckets that hold several components yet: pairs across components, the hub's own are done
@@ -245,7 +280,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     small = mixed.filter(F.col("n") <= SPLIT).select("key", "rep", "label")
     large = (mixed.filter(F.col("n") > SPLIT).groupBy("rep", "label")
              .agg(F.max(F.struct("meets", "hub")).alias("p")).select("rep", "label", F.col("p.hub").alias("pivot")))
-    sharing, plain = _residual_pairs(cut_lineage(large), docs, words_per_shingle, percent)
+    sharing, plain = _residual_pairs(cut_lineage(large), docs, words_per_shingle, percent, by_row)
     # two members within different pivots: they agree in a second band. Both bands' buckets
     # are large and hold several pivots, or else the pair is among those above
     within = _mixed(plain.withColumnRenamed("pivot", "label").join(
@@ -257,7 +292,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     apart = _mixed(second)
     across = (_across(small.select("key", "rep", "label")).unionByName(_across(apart)).unionByName(sharing)
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = _verified(across, classes, docs, words_per_shingle, percent)
+    more = _verified(across, classes, docs, words_per_shingle, percent, by_row)
     # contract: links between the labels so far
     if not more.isEmpty():
         lab = labels.toDF("id", "l")
@@ -274,7 +309,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("label"))
     comp = F.coalesce(comp, F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(doc_id), "n_shingles", comp.alias("component_id"),
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
                       F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
@@ -291,7 +326,8 @@ def _across(rows: DataFrame) -> DataFrame:
     return (rows.toDF("key", "a", "la").join(rows.toDF("key", "b", "lb"), "key").filter("la < lb").select("a", "b"))
 
 
-def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int,
+                    by_row: bool = False) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b) across labels among members (rep, label, pivot) of large
     buckets: exact prefix filters on what members have beyond their pivot. Also
     the members (rep, pivot) for which only pairs with one pivot are covered.
@@ -316,7 +352,7 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     Copies of one origin, or documents around one passage, have that in the
     pivot: these indexes stay sparse where band buckets are dense."""
     need_sets = members.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct()
-    sets = _sets(docs, need_sets, words)
+    sets = _sets(docs, need_sets, words, by_row)
     held = members.join(sets.toDF("rep", "tx"), "rep").join(sets.toDF("pivot", "tp"), "pivot")
     held = cut_lineage(held.select("rep", "label", "pivot", "tx", F.size("tp").alias("n"),
                                    F.array_sort(F.array_except("tx", "tp")).alias("more"),
@@ -382,27 +418,45 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     return pairs.unionByName(near).unionByName(small), plain.select("rep", "pivot")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int, by_row: bool = False) -> DataFrame:
     """(id, set): the shingle sets of the documents named in ``ids``."""
-    text = docs.join(maybe_broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    return text.select("doc_id", "text").mapInArrow(
+    ids = maybe_broadcast(ids)
+    named = F.col("id")["doc_id"] if by_row else F.col("id")
+    text = docs.join(ids, F.col("doc_id").eqNullSafe(named) if by_row else F.col("doc_id") == named, "left_semi")
+    sets = text.select("doc_id", "text").mapInArrow(
         _set_batches(words), T.StructType([T.StructField("id", docs.schema["doc_id"].dataType),
-                                           T.StructField("set", T.ArrayType(T.LongType()))]))
+                                           T.StructField("set", T.ArrayType(T.LongType())),
+                                           T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+    if not by_row:
+        return sets.select("id", "set")
+    sets = sets.select(_row_key(F.col("id"), F.col("d1"), F.col("d2")).alias("id"), "set")
+    # rows of one key are one document
+    return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5,
                          percent: int = 80) -> DataFrame:
-    """The rows of ``df`` of which one document of each component stays: the one
-    with the smallest id. Of rows that share that id the first by text stays;
-    rows that are linked with nothing all stay."""
-    found = near_duplicates(df, doc_id, text, words_per_shingle, percent)
-    gone = found.filter(~F.col("kept")).select(F.col(doc_id).alias("g")).distinct()
-    out = df.join(maybe_broadcast(gone), quoted(doc_id).eqNullSafe(F.col("g")), "left_anti")
-    # repeated ids: one row of each that is linked stays
-    again = maybe_broadcast(found.filter("kept and n_shingles > 0").groupBy(F.col(doc_id).alias("g")).count()
-                            .filter("count > 1 and g is not null").select("g"))
-    rank, = fresh(df, "_rank")
-    once = (out.join(again, quoted(doc_id) == F.col("g"), "left_semi")
-            .withColumn(rank, F.row_number().over(Window.partitionBy(quoted(doc_id)).orderBy(quoted(text).desc()))))
-    return (out.join(again, quoted(doc_id) == F.col("g"), "left_anti")
-            .unionByName(once.filter(F.col(rank) == 1).drop(rank)))
+    """The rows of ``df`` of which one row of each component stays: the one with
+    the smallest id (null ids last; of equal ids and sets the first by text).
+
+    Rows are told apart by id and set, not by id alone: of an id's rows only
+    those go that are linked with another row, and rows without an id are
+    documents like others. Rows that are linked with nothing all stay."""
+    docs = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    digest, key, g, i, r = fresh(df, "_digest", "_key", "_g", "_i", "_r")
+    found = _components_of(docs, words_per_shingle, percent, by_row=True)
+    found = cut_lineage(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias(g), "kept")
+                        .agg(F.count("*").alias("n")).filter("not kept or n > 1"))
+    gone = maybe_broadcast(found.filter("not kept").select(g))
+    again = maybe_broadcast(found.filter("kept").select(g))  # equal rows of one id, of which one stays
+    ids = maybe_broadcast(found.select(F.col(g)["doc_id"].alias(i)).distinct())
+    named, same = quoted(doc_id).eqNullSafe(F.col(i)), F.col(key) == F.col(g)
+    held = df.join(ids, named, "left_semi").withColumn(digest, _digests(words_per_shingle)(quoted(text)))
+    held = held.withColumn(key, _row_key(quoted(doc_id), F.col(digest)["d1"], F.col(digest)["d2"])).drop(digest)
+    held = held.join(gone, same, "left_anti")
+    row = F.struct(*map(quoted, df.columns))
+    # an aggregate, not a rank: the copies of a hot row don't meet in one task
+    once = (held.join(again, same, "left_semi").groupBy(key)
+            .agg(F.min_by(row, F.struct(quoted(text), F.xxhash64(F.to_json(row)))).alias(r)).select(f"{r}.*"))
+    return (df.join(ids, named, "left_anti").unionByName(held.join(again, same, "left_anti").drop(key))
+            .unionByName(once))

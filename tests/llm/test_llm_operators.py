@@ -189,6 +189,23 @@ def test_near_duplicates_edges(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_decides_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    made = [(5, a), (None, a), (None, b), (None, c), (None, c), (None, c + " end"), (None, None), (None, ""),
+            (7, b + " end"), (7, d), (7, d), (7, "other words"), (7, "third text"), (8, "third text"), (9, None), (9, None)]
+    df = docs(spark, [t for _, t in made], [i for i, _ in made])
+    kept = near_dup.drop_near_duplicates(df, words_per_shingle=4)
+    want = [(5, a), (7, b + " end"), (7, d), (7, "other words"), (7, "third text"), (9, None), (9, None), (None, c),
+            (None, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    near = [(i, c if i is None and t == c + " end" else t) for i, t in got]  # either of the two sets of c may stay
+    assert sorted(near, key=str) == sorted(want, key=str) and kept.columns == df.columns
+    # an id on most rows: clean texts all stay, of equal rows one
+    many = [f"text{i} of its own {i * i} words" for i in range(300)]
+    hot = docs(spark, many + ["same words in all"] * 50, [1] * 350)
+    assert sorted(r.text for r in near_dup.drop_near_duplicates(hot).collect()) == sorted(many + ["same words in all"])
+
+
 def test_posterior_bounds():
     looks = near_dup.least_matches(80)
     assert looks[-1][0] == near_dup.BANDS * near_dup.ROWS and all(m <= n * 0.8 for n, m in looks)
