@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: neither undetermined nor below LEAST_SCORE."""
     model = lang_backoff.fit_languages(docs)
     p, = fresh(docs, "_language")
-    seen = docs.withColumn(p, lang_backoff.predict_languages(docs, model))
+    seen = lang_backoff.with_languages(docs, model, p)
     sure = (F.col(p)["lang_pred"] != lang_backoff.UNDETERMINED) & (F.col(p)["score"] >= LEAST_SCORE)
     return seen.filter(sure).drop(p)
 

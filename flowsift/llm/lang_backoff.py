@@ -3,9 +3,10 @@
 Learning counts, for every language, all words (lower-cased runs of letters)
 and all character n-grams of words up to MAX_GRAM characters (the word's ends
 marked) over every learning text: partial counts per partition, summed by
-Spark. The model keeps the KNOWN_WORDS most frequent words (seen MIN_COUNT
-times or more) and the KNOWN_GRAMS most frequent n-grams of all languages
-together, which bounds what is broadcast, as smoothed log frequencies.
+Spark. The model keeps every word seen MIN_COUNT times or more and every
+n-gram, as smoothed log frequencies. The n-grams and the SENT_WORDS most
+frequent words are broadcast; the other words stay a table, which is joined to
+the words that texts hold beyond the broadcast ones (``with_languages``).
 
 A text's words are scored one by one: a known word by its log frequency in each
 language; another word by the mean log frequency of its known n-grams of
@@ -20,23 +21,24 @@ row at all every text is ``und``. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flowsift.llm.base import quoted
-from flowsift.session import cut_lineage
+from flowsift.llm.base import fresh, quoted
+from flowsift.session import cut_lineage, maybe_broadcast
 
 MAX_GRAM = 3
-KNOWN_WORDS = 30_000
+SENT_WORDS = 200_000  # words that are broadcast; the others are joined
 MIN_COUNT = 2         # a known word was seen so often at least
-KNOWN_GRAMS = 20_000
 CONFIDENT = 20
 SMOOTH = 0.5
 UNDETERMINED = "und"
@@ -44,6 +46,7 @@ FLUSH = 150_000       # (language, word) counts that a task holds at once
 CACHE_WORDS = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
+PREDICTED = "lang_pred string, score double"
 
 
 def words(text: str | None) -> list[str]:
@@ -87,15 +90,36 @@ def _count(batches):
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, list[int]]], totals: dict[int, list[int]]):
-        """rows: (kind, key, count by language); totals: all counts by kind and language."""
-        self.langs = langs
+    def __init__(self, langs: list[str], rows: Iterable[tuple[int, str, list[int]]], totals: dict[int, list[int]],
+                 sizes: dict[int, int] | None = None, rare: DataFrame | None = None):
+        """rows: (kind, key, count by language); totals: all counts by kind and language;
+        sizes: all known keys by kind; rare: (key, by_lang) of the words that aren't in ``rows``."""
+        self.langs, self.totals, self.rare = langs, totals, rare
+        rows = list(rows) if sizes is None else rows
+        self.sizes = Counter(k for k, _, _ in rows) if sizes is None else sizes
         self.memo: _Memo | None = None  # words met so far, in the process that predicts
         self.known: list[dict[str, bytes]] = [{} for _ in range(MAX_GRAM + 1)]
-        size = Counter(k for k, _, _ in rows)
         for kind, key, n in rows:
-            p = [math.log((c + SMOOTH) / (t + SMOOTH * (size[kind] + 1))) for c, t in zip(n, totals[kind])]
-            self.known[kind][key] = np.array(p, np.float64).tobytes()
+            self.known[kind][key] = self.evidence(kind, n)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rare": None, "memo": None}  # workers have no tables
+
+    def evidence(self, kind: int, n: list[int]) -> bytes:
+        """Log frequencies by language of a key seen ``n`` times."""
+        p = [math.log((c + SMOOTH) / (t + SMOOTH * (self.sizes.get(kind, 0) + 1)))
+             for c, t in zip(n, self.totals[kind])]
+        return np.array(p, np.float64).tobytes()
+
+    def whole(self) -> LanguageModel:
+        """The model with all words in memory."""
+        if self.rare is None:
+            return self
+        out = LanguageModel(self.langs, [], self.totals, self.sizes)
+        out.known = [dict(x) for x in self.known]
+        for r in self.rare.toLocalIterator():
+            out.known[0][r.key] = self.evidence(0, [r.by_lang.get(x, 0) for x in self.langs])
+        return out
 
     def word(self, w: str) -> bytes:
         """The evidence (log frequency by language) of one word."""
@@ -108,21 +132,28 @@ class LanguageModel:
                 return np.frombuffer(b"".join(got), np.float64).reshape(-1, len(self.langs)).mean(axis=0).tobytes()
         return bytes(8 * len(self.langs))
 
-    def predict(self, texts) -> list[tuple[str, float]]:
+    def sums(self, texts) -> list[tuple[np.ndarray, int]]:
+        """The evidence of each text's words by language, and the number of words."""
         if self.memo is None:
             self.memo = _Memo(self)
         memo, out = self.memo, []
         for t in texts:
-            ws = words(t)
-            if not ws or not self.langs:
-                out.append((UNDETERMINED, 0.0))
-                continue
-            s = np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.float64).reshape(len(ws), -1).sum(axis=0)
-            best = int(s.argmax())
-            p = np.exp((s - s[best]) * (min(len(ws), CONFIDENT) / len(ws)))
-            out.append((self.langs[best], float(1 / p.sum())))
+            ws = words(t) if self.langs else []
+            s = np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.float64).reshape(len(ws), len(self.langs)).sum(axis=0)
+            out.append((s, len(ws)))
         return out
 
+    def best(self, s: np.ndarray, n: int) -> tuple[str, float]:
+        """The language and its posterior from the evidence of ``n`` words."""
+        if not n:
+            return UNDETERMINED, 0.0
+        best = int(s.argmax())
+        p = np.exp((s - s[best]) * (min(n, CONFIDENT) / n))
+        return self.langs[best], float(1 / p.sum())
+
+    def predict(self, texts) -> list[tuple[str, float]]:
+        return [self.best(s, n) for s, n in self.sums(texts)]
+
 
 class _Memo(dict):
     def __init__(self, model: LanguageModel):
@@ -164,20 +195,95 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> Lang
             .groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect())
     langs = sorted({r.lang for r in sums})
     totals = {k: [sum(r.n for r in sums if r.kind == k and r.lang == x) for x in langs] for k in range(MAX_GRAM + 1)}
-    top = []
-    for rows, bound in ((counts.filter("kind = 0"), KNOWN_WORDS), (short, KNOWN_GRAMS)):
-        top += rows.orderBy(F.desc("n"), "kind", "key").limit(bound).collect()
-    return LanguageModel(langs, [(r.kind, r.key, [r.by_lang.get(x, 0) for x in langs]) for r in top], totals)
+    known = counts.filter("kind = 0").select("kind", "key", "n", "by_lang")
+    sizes = {0: known.count()} | {r["kind"]: r["count"] for r in short.groupBy("kind").count().collect()}
+    by_lang = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in langs]).alias("c")
+    rare = None
+    if sizes[0] > SENT_WORDS:  # the words after the last one that is broadcast
+        last = known.orderBy(F.desc("n"), "key").select("n", "key").offset(SENT_WORDS - 1).first()
+        sent = (F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("key") <= last.key))
+        known, rare = known.filter(sent), known.filter(~sent).select("key", "by_lang")
+    rows = ((r.kind, r.key, r.c) for part in (known, short) if langs
+            for r in part.select("kind", "key", by_lang).toLocalIterator())
+    return LanguageModel(langs, rows, totals, sizes, rare)
 
 
 def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """Struct (lang_pred, score) of each row's text."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """Struct (lang_pred, score) of each row's text, with all words of the model in
+    memory; ``with_languages`` is the form whose broadcast doesn't hold them."""
+    sent = df.sparkSession.sparkContext.broadcast(model.whole())
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(PREDICTED)
     def predicted(batch):
         import pandas as pd
         return pd.DataFrame(sent.value.predict(batch.tolist()), columns=["lang_pred", "score"])
 
     return predicted(quoted(text))
+
+
+def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "text") -> DataFrame:
+    """``df`` and the column ``name``: struct (lang_pred, score) of each row's text.
+
+    Words beyond the broadcast ones are scored by backoff first. What the rare
+    words of a text change in that is joined by word, summed by the text's
+    digest and added before the languages are compared."""
+    if model.rare is None:
+        return df.withColumn(name, predict_languages(df, model, text))
+    sent, size = df.sparkSession.sparkContext.broadcast(model), len(model.langs)
+
+    @F.pandas_udf("array<double>")
+    def change(key, n):
+        import pandas as pd
+        m = sent.value
+        return pd.Series([(np.frombuffer(m.evidence(0, c)) - np.frombuffer(m.word(w))).tolist() for w, c in zip(key, n)])
+
+    @F.pandas_udf("s array<double>, n int, h1 long, h2 long")
+    def base(batch):
+        import pandas as pd
+        texts = batch.tolist()
+        return pd.DataFrame([(s.tolist(), n, *_digest(t)) for t, (s, n) in zip(texts, sent.value.sums(texts))],
+                            columns=["s", "n", "h1", "h2"])
+
+    @F.pandas_udf(PREDICTED)
+    def predicted(s, n, more):
+        import pandas as pd
+        return pd.DataFrame([sent.value.best(np.array(x) if y is None else np.array(x) + np.array(y), k)
+                             for x, k, y in zip(s, n, more)], columns=["lang_pred", "score"])
+
+    def beyond(batches):
+        """(h1, h2, part, key, k): a text's words that aren't broadcast, once in a task for equal texts."""
+        known, part, seen = sent.value.known[0].keys(), TaskContext.get().partitionId(), set()
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for t in b.column(0).to_pylist():
+                h = _digest(t)
+                if t is None or h in seen:
+                    continue
+                seen.add(h)
+                own = Counter(words(t))
+                new = own.keys() - known
+                cols[0] += [h[0]] * len(new)
+                cols[1] += [h[1]] * len(new)
+                cols[2] += new
+                cols[3] += map(own.__getitem__, new)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([part] * len(cols[0]), pa.int32()),
+                 pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["h1", "h2", "part", "key", "k"])
+
+    counts = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in model.langs])
+    rare = maybe_broadcast(model.rare.select("key", change("key", counts).alias("c")))
+    held = df.select(quoted(text)).mapInArrow(beyond, "h1 long, h2 long, part int, key string, k int").join(rare, "key")
+    # every task that met a text has its whole sum: one of them counts
+    more = (held.groupBy("h1", "h2", "part").agg(*[F.sum(F.col("k") * F.col("c")[i]).alias(f"c{i}") for i in range(size)])
+            .groupBy("h1", "h2").agg(F.min_by(F.array(*[f"c{i}" for i in range(size)]), "part").alias("more")))
+    b, h1, h2, m = fresh(df, "_base", "_h1", "_h2", "_more")
+    more = maybe_broadcast(more.toDF(h1, h2, m))
+    seen = df.withColumn(b, base(quoted(text)))
+    on = (F.col(b)["h1"] == F.col(h1)) & (F.col(b)["h2"] == F.col(h2))
+    seen = seen.join(more, on, "left")
+    return seen.select(*map(quoted, df.columns), predicted(F.col(b)["s"], F.col(b)["n"], F.col(m)).alias(name))
+
+
+def _digest(text: str | None) -> tuple[int, int]:
+    a, b = np.frombuffer(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
+    return int(a), int(b)

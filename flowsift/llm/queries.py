@@ -78,7 +78,7 @@ def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of(F.col("doc_id")) == 0
     model = lang_backoff.fit_languages(docs.filter(~held))
-    found = docs.select("doc_id", held.alias("held_out"), lang_backoff.predict_languages(docs, model).alias("p"))
+    found = lang_backoff.with_languages(docs.withColumn("held_out", held), model, "p")
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 

@@ -423,6 +423,38 @@ def test_language(spark):
     assert model.word("the") == model.known[0]["the"] and model.word("thezzqx") not in model.known[0].values()
 
 
+def test_language_keeps_the_words_of_small_languages(spark, monkeypatch):
+    monkeypatch.setattr(lang_backoff, "SENT_WORDS", 40)
+    rng = np.random.default_rng(9)
+    pool = {x: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)] for x, n in (("aa", 200), ("bb", 60))}
+    rows = [(x, " ".join(rng.choice(pool[x], 30))) for x, n in (("aa", 300), ("bb", 8)) for _ in range(n)]
+    rows += rows[-3:] + [("bb", "zwei zwei"), ("bb", None)]
+    df = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "doc_id long, lang string, text string, s int").repartition(5)
+    model = lang_backoff.fit_languages(df)
+    seen = {x: {} for x in pool}
+    for x, t in rows:
+        for w in (t or "").split():
+            seen[x][w] = seen[x].get(w, 0) + 1
+    total = {w: seen["aa"].get(w, 0) + seen["bb"].get(w, 0) for x in seen for w in seen[x]}
+    known = {w for w, c in total.items() if c >= lang_backoff.MIN_COUNT}
+    whole = model.whole()
+    assert model.langs == ["aa", "bb"] and len(model.known[0]) == 40 and set(whole.known[0]) == known
+    size = [sum(seen[x].values()) + 0.5 * (len(known) + 1) for x in model.langs]
+    for w in known:
+        want = [np.log((seen[x].get(w, 0) + 0.5) / n) for x, n in zip(model.langs, size)]
+        assert np.allclose(np.frombuffer(whole.known[0][w]), want)
+    # the join gives what the whole model in memory gives, on repeated and unseen words too
+    probe = df.union(spark.createDataFrame([(-1, "", "hhhhq abcde zwei", 0), (-2, "", " ", 0)], df.schema))
+    out = lang_backoff.with_languages(probe, model, "p")
+    assert out.columns == [*probe.columns, "p"]
+    got = {r.doc_id: (r.text, *r.p) for r in out.collect()}
+    assert len(got) == len(rows) + 2 == out.count()
+    for t, lang, score in got.values():
+        want = whole.predict([t])[0]
+        assert lang == want[0] and abs(score - want[1]) < 1e-9
+    assert all(got[i][1] == x for i, (x, t) in enumerate(rows) if t)
+
+
 # 10 lines
 
 def brute_lines(rows):
