@@ -137,6 +137,17 @@ def test_smote_blocks_with_duplicates(spark):
     assert all(0 <= a <= 2 and abs(a - b) < 1e-12 for a, b in pts)
 
 
+def test_smote_neighbours_are_exact_above_one_block(spark):
+    from flowsift.operators.smote import _neighbours
+    x = np.random.default_rng(5).normal(size=(200, 6))
+    df = spark.createDataFrame([(f"r{i:03}", v.tolist()) for i, v in enumerate(x)], "uid string, _x array<double>")
+    got = {r.uid: np.array(r._nn) for r in _neighbours(df, "uid", 5, 200, 23).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :5]
+    assert len(got) == 200 and all(np.array_equal(got[f"r{i:03}"], x[want[i]]) for i in range(200))
+
+
 def test_auc_trapezoid_is_rank_plus_half_ties(spark):
     s = scored(spark, SF_MID)
     a = N.auc(s).first()
