@@ -52,3 +52,33 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 
 def fold_of_py(doc_id, folds: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+
+
+class ByteCache(dict):
+    """Keeps what ``make`` gives for a word. It is emptied before it holds more than
+    about ``limit`` bytes, and words over LONG characters are never kept, so text
+    without blanks (one "word") can't fill a worker."""
+
+    LONG = 64
+    OVERHEAD = 180  # bytes that an entry's objects take besides their contents
+
+    def __init__(self, make: Callable, limit: int = 24 << 20):
+        super().__init__()
+        self.make, self.limit, self.held = make, limit, 0
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(key) <= self.LONG:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key, got) -> None:
+        size = self.OVERHEAD + len(key) + (len(got) if isinstance(got, bytes) else 0)
+        if self.held + size > self.limit:
+            self.clear()
+        self[key] = got
+        self.held += size
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0

@@ -4,9 +4,14 @@ Learning counts, for every language, all words (lower-cased runs of letters)
 and all character n-grams of words up to MAX_GRAM characters (the word's ends
 marked) over every learning text: partial counts per partition, summed by
 Spark. The model keeps every word seen MIN_COUNT times or more and every
-n-gram, as smoothed log frequencies. The n-grams and the SENT_WORDS most
-frequent words are broadcast; the other words stay a table, which is joined to
-the words that texts hold beyond the broadcast ones (``with_languages``).
+n-gram, as log frequencies. The most frequent words and n-grams, SENT_BYTES of
+them whatever the number of languages and scripts, are broadcast as sorted
+hashes and one matrix; the others stay tables, which are joined to the words
+that texts hold beyond the broadcast ones (``with_languages``).
+
+A word or n-gram seen c times among the T of a language counts there as
+(c - DISCOUNT) / T. Where it was never seen it counts as UNSEEN / T of the
+largest language, the same for all: so no language gains from being small.
 
 A text's words are scored one by one: a known word by its log frequency in each
 language; another word by the mean log frequency of its known n-grams of
@@ -15,35 +20,38 @@ language with the highest sum wins (ties: the first by name); the score is its
 posterior from the mean word's evidence, counted for at most CONFIDENT words.
 
 Nulls and ties: a null text or one without a letter is ``und`` with score 0;
-rows of null lang teach nothing; repeated rows count each; with no learning
-row at all every text is ``und``. An empty table gives an empty result.
+rows of null lang teach nothing; repeated rows count each; a language whose
+rows hold no letter is never preferred; with no learning row at all every text
+is ``und``. Words of any length are counted and scored whole. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.base import fresh, quoted
+from flowsift.llm.base import ByteCache, fresh, quoted
 from flowsift.session import cut_lineage, maybe_broadcast
 
 MAX_GRAM = 3
-SENT_WORDS = 200_000  # words that are broadcast; the others are joined
-MIN_COUNT = 2         # a known word was seen so often at least
+SENT_BYTES = 16 << 20  # of the words and n-grams that are broadcast; the others are joined
+SENT_WORDS = 400_000   # and no more of them than this, of each
+MIN_COUNT = 2          # a known word was seen so often at least
 CONFIDENT = 20
-SMOOTH = 0.5
+DISCOUNT = 0.5
+UNSEEN = 0.25
 UNDETERMINED = "und"
-FLUSH = 150_000       # (language, word) counts that a task holds at once
-CACHE_WORDS = 300_000
+FLUSH = 150_000        # (language, word) counts that a task holds at once
+FLUSH_CHARS = 32 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 PREDICTED = "lang_pred string, score double"
@@ -63,6 +71,7 @@ def grams(word: str, n: int) -> list[str]:
 def _count(batches):
     """(lang, kind, key, n) of whole partitions: kind 0 words, 3 trigrams, -1 all words."""
     by_lang: dict[str, Counter] = {}
+    chars = 0
 
     def flush():
         rows = []
@@ -83,64 +92,87 @@ def _count(batches):
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            by_lang.setdefault(lang, Counter()).update(words(text.as_py()))
-            if sum(map(len, by_lang.values())) >= FLUSH:
+            by_lang.setdefault(lang, Counter()).update(words(t := text.as_py()))
+            chars += len(t)
+            if chars >= FLUSH_CHARS or sum(map(len, by_lang.values())) >= FLUSH:
                 yield from flush()
+                chars = 0
     yield from flush()
 
 
+def _hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+
+
 class LanguageModel:
-    def __init__(self, langs: list[str], rows: Iterable[tuple[int, str, list[int]]], totals: dict[int, list[int]],
-                 sizes: dict[int, int] | None = None, rare: DataFrame | None = None):
-        """rows: (kind, key, count by language); totals: all counts by kind and language;
-        sizes: all known keys by kind; rare: (key, by_lang) of the words that aren't in ``rows``."""
+    """langs; totals: all counts by kind and language (kind 0: words, n: n-grams);
+    known: hashes and log frequencies by kind; rare: (kind, key, by_lang) of the
+    words and n-grams beyond them, or None."""
+
+    def __init__(self, langs: list[str], totals: dict[int, list[int]], rare: DataFrame | None = None):
         self.langs, self.totals, self.rare = langs, totals, rare
-        rows = list(rows) if sizes is None else rows
-        self.sizes = Counter(k for k, _, _ in rows) if sizes is None else sizes
-        self.memo: _Memo | None = None  # words met so far, in the process that predicts
-        self.known: list[dict[str, bytes]] = [{} for _ in range(MAX_GRAM + 1)]
-        for kind, key, n in rows:
-            self.known[kind][key] = self.evidence(kind, n)
+        empty = np.empty(0, np.uint64), np.empty((0, len(langs)), np.float32)
+        self.known = [empty] * (MAX_GRAM + 1)
+        self.memo: ByteCache | None = None  # words met so far, in the process that predicts
+        self.beyond: ByteCache | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rare": None, "memo": None}  # workers have no tables
-
-    def evidence(self, kind: int, n: list[int]) -> bytes:
-        """Log frequencies by language of a key seen ``n`` times."""
-        p = [math.log((c + SMOOTH) / (t + SMOOTH * (self.sizes.get(kind, 0) + 1)))
-             for c, t in zip(n, self.totals[kind])]
-        return np.array(p, np.float64).tobytes()
-
-    def whole(self) -> LanguageModel:
-        """The model with all words in memory."""
-        if self.rare is None:
-            return self
-        out = LanguageModel(self.langs, [], self.totals, self.sizes)
-        out.known = [dict(x) for x in self.known]
-        for r in self.rare.toLocalIterator():
-            out.known[0][r.key] = self.evidence(0, [r.by_lang.get(x, 0) for x in self.langs])
-        return out
-
-    def word(self, w: str) -> bytes:
-        """The evidence (log frequency by language) of one word."""
-        got = self.known[0].get(w)
-        if got is not None:
-            return got
+        return self.__dict__ | {"rare": None, "memo": None, "beyond": None}  # workers have no tables
+
+    def learn(self, kind: int, keys: list[str], counts: np.ndarray) -> None:
+        """Put keys and their counts by language (rows) among the known ones."""
+        h = np.array([_hash(k) for k in keys], np.uint64)
+        order = np.argsort(h)
+        self.known[kind] = h[order], self.evidence(kind, counts)[order]
+
+    def evidence(self, kind: int, counts) -> np.ndarray:
+        """Log frequencies by language of keys seen ``counts`` times (a row each)."""
+        c = np.asarray(counts, np.float64).reshape(-1, len(self.langs))
+        t = np.maximum(np.array(self.totals[kind], np.float64), 1)
+        seen = np.log(np.maximum(c - DISCOUNT, DISCOUNT)) - np.log(t)
+        return np.where(c > 0, seen, np.log(UNSEEN / t.max(initial=1))).astype(np.float32)
+
+    def find(self, kind: int, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys are known, log frequencies of those)."""
+        hashes, matrix = self.known[kind]
+        h = np.array([_hash(k) for k in keys], np.uint64)
+        at = np.searchsorted(hashes, h)
+        hit = np.zeros(len(h), bool)
+        inside = at < len(hashes)
+        hit[inside] = hashes[at[inside]] == h[inside]
+        return hit, matrix[at[hit]]
+
+    def word(self, w: str, more: dict[tuple[int, str], np.ndarray] | None = None) -> bytes:
+        """The evidence (log frequency by language) of one word; more: of n-grams
+        that aren't broadcast."""
+        hit, got = self.find(0, [w])
+        if len(got):
+            return got.tobytes()
         for n in range(MAX_GRAM, 0, -1):
-            got = list(filter(None, map(self.known[n].get, grams(w, n))))
-            if got:
-                return np.frombuffer(b"".join(got), np.float64).reshape(-1, len(self.langs)).mean(axis=0).tobytes()
-        return bytes(8 * len(self.langs))
+            gs = grams(w, n)
+            hit, got = self.find(n, gs)
+            if more:
+                rest = [more[n, g] for g, known in zip(gs, hit) if not known and (n, g) in more]
+                got = np.concatenate([got, *[x[None, :] for x in rest]])
+            if len(got):
+                return got.mean(axis=0, dtype=np.float64).astype(np.float32).tobytes()
+        return bytes(4 * len(self.langs))
+
+    def unknown(self, w: str) -> bool:
+        """Whether a word isn't among the broadcast ones."""
+        if self.beyond is None:
+            self.beyond = ByteCache(lambda w: not self.find(0, [w])[0][0])
+        return self.beyond[w]
 
     def sums(self, texts) -> list[tuple[np.ndarray, int]]:
         """The evidence of each text's words by language, and the number of words."""
         if self.memo is None:
-            self.memo = _Memo(self)
+            self.memo = ByteCache(self.word)
         memo, out = self.memo, []
         for t in texts:
             ws = words(t) if self.langs else []
-            s = np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.float64).reshape(len(ws), len(self.langs)).sum(axis=0)
-            out.append((s, len(ws)))
+            s = np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.float32).reshape(len(ws), len(self.langs))
+            out.append((s.sum(axis=0, dtype=np.float64), len(ws)))
         return out
 
     def best(self, s: np.ndarray, n: int) -> tuple[str, float]:
@@ -155,18 +187,6 @@ class LanguageModel:
         return [self.best(s, n) for s, n in self.sums(texts)]
 
 
-class _Memo(dict):
-    def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, w: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = self[w] = self.model.word(w)
-        return got
-
-
 def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from all rows of ``df`` with a language and a text."""
     body = df.select(quoted(lang).cast("string").alias("lang"), quoted(text).alias("text")).filter(
@@ -196,22 +216,36 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> Lang
     langs = sorted({r.lang for r in sums})
     totals = {k: [sum(r.n for r in sums if r.kind == k and r.lang == x) for x in langs] for k in range(MAX_GRAM + 1)}
     known = counts.filter("kind = 0").select("kind", "key", "n", "by_lang")
-    sizes = {0: known.count()} | {r["kind"]: r["count"] for r in short.groupBy("kind").count().collect()}
+    if not langs:
+        return LanguageModel(langs, totals)
+    room = max(1, min(SENT_WORDS, SENT_BYTES // 2 // (8 + 4 * len(langs))))
+    model, rare = LanguageModel(langs, totals), None
     by_lang = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in langs]).alias("c")
-    rare = None
-    if sizes[0] > SENT_WORDS:  # the words after the last one that is broadcast
-        last = known.orderBy(F.desc("n"), "key").select("n", "key").offset(SENT_WORDS - 1).first()
-        sent = (F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("key") <= last.key))
-        known, rare = known.filter(sent), known.filter(~sent).select("key", "by_lang")
-    rows = ((r.kind, r.key, r.c) for part in (known, short) if langs
-            for r in part.select("kind", "key", by_lang).toLocalIterator())
-    return LanguageModel(langs, rows, totals, sizes, rare)
+    for part in (known, short):
+        size = part.count()
+        if size > room:  # those after the last one that is broadcast
+            last = part.orderBy(F.desc("n"), "kind", "key").select("n", "kind", "key").offset(room - 1).first()
+            n, kind, key = F.col("n"), F.col("kind"), F.col("key")
+            here = (n > last.n) | ((n == last.n) & ((kind < last.kind) | ((kind == last.kind) & (key <= last.key))))
+            rest = part.filter(~here).select("kind", "key", "by_lang")
+            rare = rest if rare is None else rare.unionByName(rest)
+            part = part.filter(here)
+        rows = part.select("kind", "key", by_lang).toArrow()  # ``room`` rows at most
+        kinds, keys = rows.column("kind").to_numpy(), rows.column("key").to_pylist()
+        c = rows.column("c").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            model.learn(int(kind), [keys[i] for i in at], c[at])
+    model.rare = rare
+    return model
 
 
 def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """Struct (lang_pred, score) of each row's text, with all words of the model in
-    memory; ``with_languages`` is the form whose broadcast doesn't hold them."""
-    sent = df.sparkSession.sparkContext.broadcast(model.whole())
+    """Struct (lang_pred, score) of each row's text, for a model that is broadcast
+    whole; ``with_languages`` is the form for any model."""
+    if model.rare is not None:
+        raise ValueError("the model has words beyond its broadcast: use with_languages")
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTED)
     def predicted(batch):
@@ -224,9 +258,9 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -
 def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "text") -> DataFrame:
     """``df`` and the column ``name``: struct (lang_pred, score) of each row's text.
 
-    Words beyond the broadcast ones are scored by backoff first. What the rare
-    words of a text change in that is joined by word, summed by the text's
-    digest and added before the languages are compared."""
+    Words beyond the broadcast ones are scored by backoff to broadcast n-grams
+    first. What the joined words and n-grams change in that is looked up once a
+    word, summed by the text's digest and added before languages are compared."""
     if model.rare is None:
         return df.withColumn(name, predict_languages(df, model, text))
     sent, size = df.sparkSession.sparkContext.broadcast(model), len(model.langs)
@@ -235,7 +269,15 @@ def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "
     def change(key, n):
         import pandas as pd
         m = sent.value
-        return pd.Series([(np.frombuffer(m.evidence(0, c)) - np.frombuffer(m.word(w))).tolist() for w, c in zip(key, n)])
+        return pd.Series([_difference(m, w, m.evidence(0, c)[0]) for w, c in zip(key, n)])
+
+    @F.pandas_udf("array<double>")
+    def change_by_grams(key, found):
+        import pandas as pd
+        m = sent.value
+        return pd.Series([_difference(m, w, np.frombuffer(m.word(w, {
+            (g["kind"], g["key"]): m.evidence(g["kind"], g["c"])[0] for g in gs}), np.float32))
+            for w, gs in zip(key, found)])
 
     @F.pandas_udf("s array<double>, n int, h1 long, h2 long")
     def base(batch):
@@ -252,16 +294,17 @@ def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "
 
     def beyond(batches):
         """(h1, h2, part, key, k): a text's words that aren't broadcast, once in a task for equal texts."""
-        known, part, seen = sent.value.known[0].keys(), TaskContext.get().partitionId(), set()
+        unknown, part, seen = sent.value.unknown, TaskContext.get().partitionId(), set()
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for t in b.column(0).to_pylist():
+            for t in b.column(0):
+                t = t.as_py()
                 h = _digest(t)
                 if t is None or h in seen:
                     continue
                 seen.add(h)
                 own = Counter(words(t))
-                new = own.keys() - known
+                new = [w for w in own if unknown(w)]
                 cols[0] += [h[0]] * len(new)
                 cols[1] += [h[1]] * len(new)
                 cols[2] += new
@@ -270,9 +313,20 @@ def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([part] * len(cols[0]), pa.int32()),
                  pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["h1", "h2", "part", "key", "k"])
 
-    counts = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in model.langs])
-    rare = maybe_broadcast(model.rare.select("key", change("key", counts).alias("c")))
-    held = df.select(quoted(text)).mapInArrow(beyond, "h1 long, h2 long, part int, key string, k int").join(rare, "key")
+    counts = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in model.langs]).alias("c")
+    rare = model.rare.select("kind", "key", counts)
+    held = df.select(quoted(text)).mapInArrow(beyond, "h1 long, h2 long, part int, key string, k int")
+    table = rare.filter("kind = 0").select("key", change("key", "c").alias("c"))
+    if model.rare.filter("kind > 0").limit(1).count():  # n-grams beyond the broadcast: for the words never seen
+        held = cut_lineage(held)
+        lone = held.select("key").distinct().join(table.select("key"), "key", "left_anti")
+        marked = F.concat(F.lit("^"), "key", F.lit("$"))
+        every = F.concat(*[_all_grams(marked, n) for n in range(1, MAX_GRAM + 1)])
+        at = lone.select("key", F.explode(F.array_distinct(every)).alias("g")).select("key", "g.*")
+        seen = at.join(rare.filter("kind > 0").toDF("kind", "gram", "c"), ["kind", "gram"])
+        seen = seen.groupBy("key").agg(F.collect_list(F.struct("kind", F.col("gram").alias("key"), "c")).alias("found"))
+        table = table.unionByName(seen.select("key", change_by_grams("key", "found").alias("c")))
+    held = held.join(maybe_broadcast(table), "key")
     # every task that met a text has its whole sum: one of them counts
     more = (held.groupBy("h1", "h2", "part").agg(*[F.sum(F.col("k") * F.col("c")[i]).alias(f"c{i}") for i in range(size)])
             .groupBy("h1", "h2").agg(F.min_by(F.array(*[f"c{i}" for i in range(size)]), "part").alias("more")))
@@ -284,6 +338,19 @@ def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "
     return seen.select(*map(quoted, df.columns), predicted(F.col(b)["s"], F.col(b)["n"], F.col(m)).alias(name))
 
 
+def _all_grams(marked: Column, n: int) -> Column:
+    """Structs (kind, gram) of all n-grams of a marked word."""
+    last = F.length(marked) - (n - 1)
+    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(
+        F.lit(n).alias("kind"), F.substring(marked, i, F.lit(n)).alias("gram")))
+    return F.when(last >= 1, found).otherwise(F.slice(found, 1, 0))
+
+
+def _difference(model: LanguageModel, w: str, now: np.ndarray) -> list[float]:
+    """What a word's own evidence adds to what the broadcast n-grams give."""
+    return (now.astype(np.float64) - np.frombuffer(model.word(w), np.float32)).tolist()
+
+
 def _digest(text: str | None) -> tuple[int, int]:
     a, b = np.frombuffer(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
     return int(a), int(b)

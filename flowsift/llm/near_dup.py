@@ -44,25 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsift.llm.base import fresh, quoted
+from flowsift.llm.base import ByteCache, fresh, quoted
 from flowsift.session import cut_lineage, maybe_broadcast
 
 BANDS, ROWS = 35, 5
 BATCH = 25            # hashes compared between two looks at the posterior
 MISS = 1e-6           # posterior below which a pair is pruned
 SPLIT = 20            # members of a mixed bucket beyond which it isn't paired within
-WORD_CACHE = 300_000  # words whose hash a worker keeps
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _WordHashes()
+_WORDS = ByteCache(xxhash.xxh64_intdigest)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 # odd multipliers of the minimum hashes
@@ -132,6 +122,7 @@ def _sign_batches(words_per_shingle: int):
                 [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+        _WORDS.clear()
     return run
 
 

@@ -30,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsift.llm.base import quoted
+from flowsift.llm.base import ByteCache, quoted
 from flowsift.session import cut_lineage
 
 CAPACITY = 2048
 SEPARATOR = 0
 BLOCK_PIECES = 25_000
-CACHE_WORDS = 300_000
 ROUNDS = 4  # sweeps of the local search over the underfull bins
 
 
@@ -48,20 +47,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Keeps what ``make`` gives for a key, CACHE_WORDS of them at most."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = self[key] = self.make(key)
-        return got
-
-
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file that normalises by NFC and lower
     case, splits by a pattern, drops white space and maps bytes to letters. Ids
@@ -74,7 +59,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.pieces = _Cache(self.word), _Cache(self.piece)
+        self.words, self.pieces = ByteCache(self.word), ByteCache(self.piece)
         self.letters = _byte_letters()
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -140,6 +125,8 @@ def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
             if with_ids:
                 arrays.append(pa.array(ids_out, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        tok.words.clear()
+        tok.pieces.clear()
 
     return body.mapInArrow(run, schema)
 

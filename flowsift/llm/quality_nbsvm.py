@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsift.llm.base import quoted
+from flowsift.llm.base import ByteCache, quoted
 from flowsift.session import cut_lineage, maybe_broadcast
 
 BITS = 18             # the feature space has 2 ** BITS indicators
@@ -40,7 +40,6 @@ SMOOTH = 1.0
 MIX = 0.25            # share of the fitted weights, against their mean size
 COST = 1.0
 EPOCHS = 8
-CACHE_WORDS = 300_000
 
 _RUNS = re.compile(r"(.)\1+", re.S)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -51,18 +50,13 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", s)
 
 
-class _Tokens(dict):
-    """word -> its hash and its shape's hash, 16 bytes."""
+def _token(w: str) -> bytes:
+    """A word's hash and its shape's hash, 16 bytes."""
+    return np.array([xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")),
+                     xxhash.xxh64_intdigest(shape(w).encode("utf-8", "surrogatepass"))], "<u8").tobytes()
 
-    def __missing__(self, w: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = self[w] = np.array([xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")),
-                                  xxhash.xxh64_intdigest(shape(w).encode("utf-8", "surrogatepass"))], "<u8").tobytes()
-        return got
 
-
-_TOKENS = _Tokens()
+_TOKENS = ByteCache(_token)
 
 
 def features(text: str | None) -> np.ndarray:

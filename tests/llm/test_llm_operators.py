@@ -185,7 +185,7 @@ def test_near_duplicates_edges(spark):
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (6, 0, 6, True),
                           (None, 0, None, True), (7, 1, 7, True)], key=str)
     kept = near_dup.drop_near_duplicates(df, words_per_shingle=4).collect()
-    assert sorted((r.doc_id is None, r.text or "") for r in kept) == [(False, ""), (False, "a b c d e"), (False, "x")]
+    assert sorted((r.doc_id is None, r.text or "") for r in kept) == [(False, ""), (False, "a b c d e"), (False, "x"), (True, "")]
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -420,39 +420,75 @@ def test_language(spark):
     none = lang_backoff.fit_languages(odd.withColumn("lang", F.lit(None).cast("string")))
     assert none.predict(["text"]) == [("und", 0.0)]
     # words first: a known word's own frequency; an unseen word backs off
-    assert model.word("the") == model.known[0]["the"] and model.word("thezzqx") not in model.known[0].values()
+    assert model.find(0, ["the", "thezzqx"])[0].tolist() == [True, False]
+    assert model.word("the") == model.find(0, ["the"])[1].tobytes()
+    assert model.word("thezzqx") == model.find(3, lang_backoff.grams("thezzqx", 3))[1].astype(float).mean(
+        axis=0).astype(np.float32).tobytes()
 
 
-def test_language_keeps_the_words_of_small_languages(spark, monkeypatch):
-    monkeypatch.setattr(lang_backoff, "SENT_WORDS", 40)
-    rng = np.random.default_rng(9)
-    pool = {x: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)] for x, n in (("aa", 200), ("bb", 60))}
-    rows = [(x, " ".join(rng.choice(pool[x], 30))) for x, n in (("aa", 300), ("bb", 8)) for _ in range(n)]
-    rows += rows[-3:] + [("bb", "zwei zwei"), ("bb", None)]
-    df = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "doc_id long, lang string, text string, s int").repartition(5)
+def language_rows(seed=9, n=(300, 8)):
+    rng = np.random.default_rng(seed)
+    pool = {x: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(m)] for x, m in (("aa", 200), ("bb", 60))}
+    rows = [(x, " ".join(rng.choice(pool[x], 30))) for x, m in zip(pool, n) for _ in range(m)]
+    return rows + rows[-3:] + [("bb", "zwei zwei"), ("bb", "\u6f22\u5b57" * 300), ("cc", "12 34"), ("bb", None)]
+
+
+def test_language_counts_equal_brute_force(spark):
+    rows = language_rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(5)
     model = lang_backoff.fit_languages(df)
-    seen = {x: {} for x in pool}
-    for x, t in rows:
-        for w in (t or "").split():
-            seen[x][w] = seen[x].get(w, 0) + 1
-    total = {w: seen["aa"].get(w, 0) + seen["bb"].get(w, 0) for x in seen for w in seen[x]}
-    known = {w for w, c in total.items() if c >= lang_backoff.MIN_COUNT}
-    whole = model.whole()
-    assert model.langs == ["aa", "bb"] and len(model.known[0]) == 40 and set(whole.known[0]) == known
-    size = [sum(seen[x].values()) + 0.5 * (len(known) + 1) for x in model.langs]
-    for w in known:
-        want = [np.log((seen[x].get(w, 0) + 0.5) / n) for x, n in zip(model.langs, size)]
-        assert np.allclose(np.frombuffer(whole.known[0][w]), want)
-    # the join gives what the whole model in memory gives, on repeated and unseen words too
-    probe = df.union(spark.createDataFrame([(-1, "", "hhhhq abcde zwei", 0), (-2, "", " ", 0)], df.schema))
-    out = lang_backoff.with_languages(probe, model, "p")
-    assert out.columns == [*probe.columns, "p"]
-    got = {r.doc_id: (r.text, *r.p) for r in out.collect()}
-    assert len(got) == len(rows) + 2 == out.count()
-    for t, lang, score in got.values():
-        want = whole.predict([t])[0]
-        assert lang == want[0] and abs(score - want[1]) < 1e-9
-    assert all(got[i][1] == x for i, (x, t) in enumerate(rows) if t)
+    assert model.langs == ["aa", "bb", "cc"] and model.rare is None
+    for kind in range(4):
+        seen = {}
+        for x, t in rows:
+            for w in lang_backoff.words(t):
+                for g in [w] if kind == 0 else lang_backoff.grams(w, kind):
+                    seen.setdefault(g, dict.fromkeys(model.langs, 0))[x] += 1
+        total = [sum(c[x] for c in seen.values()) for x in model.langs]
+        known = {g: c for g, c in seen.items() if kind or sum(c.values()) >= lang_backoff.MIN_COUNT}
+        assert len(model.known[kind][0]) == len(known) and model.totals[kind] == total
+        hit, got = model.find(kind, list(known))
+        assert hit.all()
+        for c, e in zip(known.values(), got):
+            want = [np.log((c[x] - 0.5) / t) if c[x] else np.log(0.25 / max(total)) for x, t in zip(model.langs, total)]
+            assert np.allclose(e, want, atol=1e-5)
+
+
+def test_language_joins_what_is_not_broadcast(spark, monkeypatch):
+    """Words and n-grams beyond the broadcast, by joins, give what the whole model in memory gives."""
+    rows = language_rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(5)
+    whole = lang_backoff.fit_languages(df)
+    probe = df.union(spark.createDataFrame([(-1, "", "hhhhq abcde zwei"), (-2, "", " "), (-3, "", "qabx hgf z")], df.schema))
+    for room in (40, 150):
+        monkeypatch.setattr(lang_backoff, "SENT_WORDS", room)
+        model = lang_backoff.fit_languages(df)
+        assert sum(len(model.known[k][0]) for k in (1, 2, 3)) == room and len(model.known[0][0]) == room
+        with pytest.raises(ValueError):
+            lang_backoff.predict_languages(probe, model)
+        out = lang_backoff.with_languages(probe, model, "p")
+        assert out.columns == [*probe.columns, "p"]
+        got = {r.doc_id: (r.text, *r.p) for r in out.collect()}
+        assert len(got) == len(rows) + 3 == out.count()
+        for t, lang, score in got.values():
+            want = whole.predict([t])[0]
+            assert lang == want[0] and abs(score - want[1]) < 1e-4
+    assert all(got[i][1] == x for i, (x, t) in enumerate(rows) if x != "cc" and t)
+
+
+def test_language_is_not_drawn_to_small_languages(spark):
+    """100 to 1: texts of the large language's rarer words stay its own; the small one is still found."""
+    rng = np.random.default_rng(99)
+    pool = {x: ["".join(rng.choice(list("abcdefghijk"), 6)) for _ in range(3000)] for x in ("aa", "bb")}
+    p = 1 / np.arange(1, 3001)
+    rows = [(x, " ".join(rng.choice(pool[x], 40, p=p / p.sum()))) for x, n in (("aa", 4000), ("bb", 40)) for _ in range(n)]
+    model = lang_backoff.fit_languages(spark.createDataFrame(rows, "lang string, text string"))
+    seen = {w for x, t in rows if x == "aa" for w in t.split()}
+    rare = [w for w in pool["aa"][1500:] if w in seen and model.find(0, [w])[0][0]]
+    large = [" ".join(rng.choice(rare, 6)) for _ in range(400)]
+    small = [" ".join(rng.choice(pool["bb"], 6, p=p / p.sum())) for _ in range(400)]
+    assert sum(x == "aa" for x, _ in model.predict(large)) >= 398
+    assert sum(x == "bb" for x, _ in model.predict(small)) >= 390
 
 
 # 10 lines
