@@ -29,6 +29,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -39,12 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.base import ByteCache, fresh, quoted
+from flowsift.llm.base import fresh, quoted
 from flowsift.session import cut_lineage, maybe_broadcast
 
 MAX_GRAM = 3
-SENT_BYTES = 16 << 20  # of the words and n-grams that are broadcast; the others are joined
-SENT_WORDS = 400_000   # and no more of them than this, of each
+SENT_BYTES = 64 << 20  # of the words and n-grams that are broadcast, half each; the others are joined
 MIN_COUNT = 2          # a known word was seen so often at least
 CONFIDENT = 20
 DISCOUNT = 0.5
@@ -52,6 +52,7 @@ UNSEEN = 0.25
 UNDETERMINED = "und"
 FLUSH = 150_000        # (language, word) counts that a task holds at once
 FLUSH_CHARS = 32 << 20
+CHUNK_CHARS = 4 << 20  # of the texts whose words are looked up together
 
 WORD = re.compile(r"[^\W\d_]+")
 PREDICTED = "lang_pred string, score double"
@@ -100,91 +101,133 @@ def _count(batches):
     yield from flush()
 
 
-def _hash(key: str) -> int:
-    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+def _hashes(ws: list[str]) -> np.ndarray:
+    """The same numbers that Spark's xxhash64 gives."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in ws), np.uint64, len(ws))
+
+
+def _packed(codes: np.ndarray, n: int) -> np.ndarray:
+    """The code points of every n-gram of a row of code points, in one number each."""
+    last = max(0, len(codes) - n + 1)
+    key = codes[:last].astype(np.uint64)
+    for k in range(1, n):
+        key = (key << np.uint64(21)) | codes[k:last + k]
+    return key
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
 class LanguageModel:
-    """langs; totals: all counts by kind and language (kind 0: words, n: n-grams);
-    known: hashes and log frequencies by kind; rare: (kind, key, by_lang) of the
-    words and n-grams beyond them, or None."""
+    """langs; known: sorted keys and log frequencies by kind (0: hashes of words, n:
+    n-grams as numbers); rare: (kind, key, e) of those beyond them, or None."""
 
-    def __init__(self, langs: list[str], totals: dict[int, list[int]], rare: DataFrame | None = None):
-        self.langs, self.totals, self.rare = langs, totals, rare
+    def __init__(self, langs: list[str], rare: DataFrame | None = None):
+        self.langs, self.rare = langs, rare
         empty = np.empty(0, np.uint64), np.empty((0, len(langs)), np.float32)
         self.known = [empty] * (MAX_GRAM + 1)
-        self.memo: ByteCache | None = None  # words met so far, in the process that predicts
-        self.beyond: ByteCache | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rare": None, "memo": None, "beyond": None}  # workers have no tables
+        return self.__dict__ | {"rare": None}  # workers have no tables
 
-    def learn(self, kind: int, keys: list[str], counts: np.ndarray) -> None:
-        """Put keys and their counts by language (rows) among the known ones."""
-        h = np.array([_hash(k) for k in keys], np.uint64)
-        order = np.argsort(h)
-        self.known[kind] = h[order], self.evidence(kind, counts)[order]
+    def learn(self, kind: int, keys: np.ndarray, evidence: np.ndarray) -> None:
+        """Put keys and their log frequencies by language among the known ones."""
+        order = np.argsort(keys)
+        self.known[kind] = keys[order], evidence[order]
 
-    def evidence(self, kind: int, counts) -> np.ndarray:
-        """Log frequencies by language of keys seen ``counts`` times (a row each)."""
-        c = np.asarray(counts, np.float64).reshape(-1, len(self.langs))
-        t = np.maximum(np.array(self.totals[kind], np.float64), 1)
-        seen = np.log(np.maximum(c - DISCOUNT, DISCOUNT)) - np.log(t)
-        return np.where(c > 0, seen, np.log(UNSEEN / t.max(initial=1))).astype(np.float32)
+    def _find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys are known, where those are)."""
+        have = self.known[kind][0]
+        at = np.searchsorted(have, keys)
+        hit = at < len(have)
+        hit[hit] = have[at[hit]] == keys[hit]
+        return hit, at[hit]
 
     def find(self, kind: int, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the keys are known, log frequencies of those)."""
-        hashes, matrix = self.known[kind]
-        h = np.array([_hash(k) for k in keys], np.uint64)
-        at = np.searchsorted(hashes, h)
-        hit = np.zeros(len(h), bool)
-        inside = at < len(hashes)
-        hit[inside] = hashes[at[inside]] == h[inside]
-        return hit, matrix[at[hit]]
-
-    def word(self, w: str, more: dict[tuple[int, str], np.ndarray] | None = None) -> bytes:
-        """The evidence (log frequency by language) of one word; more: of n-grams
-        that aren't broadcast."""
-        hit, got = self.find(0, [w])
-        if len(got):
-            return got.tobytes()
+        """(which of the words or n-grams are known, log frequencies of those)."""
+        numbers = _hashes(keys) if kind == 0 else np.array([_packed(_codes(k), kind)[0] for k in keys], np.uint64)
+        hit, at = self._find(kind, numbers)
+        return hit, self.known[kind][1][at]
+
+    def resolve(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which words are known, the evidence of every word by language)."""
+        out = np.zeros((len(ws), len(self.langs)), np.float32)
+        hit, at = self._find(0, _hashes(ws))
+        out[hit] = self.known[0][1][at]
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            out[rest] = self.by_grams([ws[i] for i in rest])
+        return hit, out
+
+    def by_grams(self, ws: list[str]) -> np.ndarray:
+        """The mean log frequencies of each word's longest known n-grams."""
+        codes = _codes("".join([f"^{w}$" for w in ws]))
+        of_word = np.repeat(np.arange(len(ws)), [len(w) + 2 for w in ws])
+        out, todo = np.zeros((len(ws), len(self.langs)), np.float32), np.ones(len(ws), bool)
+        for n in range(MAX_GRAM, 0, -1):
+            of = of_word[:len(codes) - n + 1]
+            own = (of == of_word[n - 1:]) & todo[of]
+            of, key = of[own], _packed(codes, n)[own]
+            hit, at = self._find(n, key)
+            of, found = of[hit], self.known[n][1][at]
+            count = np.bincount(of, minlength=len(ws))
+            got = count > 0
+            for j in range(len(self.langs)):
+                out[got, j] = np.bincount(of, found[:, j], len(ws))[got] / count[got]
+            todo &= ~got
+            if not todo.any():
+                break
+        return out
+
+    def word_with(self, w: str, more: dict[tuple[int, str], list[float]]) -> np.ndarray:
+        """The evidence of an unknown word; more: n-grams that aren't broadcast."""
         for n in range(MAX_GRAM, 0, -1):
             gs = grams(w, n)
             hit, got = self.find(n, gs)
-            if more:
-                rest = [more[n, g] for g, known in zip(gs, hit) if not known and (n, g) in more]
-                got = np.concatenate([got, *[x[None, :] for x in rest]])
-            if len(got):
-                return got.mean(axis=0, dtype=np.float64).astype(np.float32).tobytes()
-        return bytes(4 * len(self.langs))
-
-    def unknown(self, w: str) -> bool:
-        """Whether a word isn't among the broadcast ones."""
-        if self.beyond is None:
-            self.beyond = ByteCache(lambda w: not self.find(0, [w])[0][0])
-        return self.beyond[w]
-
-    def sums(self, texts) -> list[tuple[np.ndarray, int]]:
-        """The evidence of each text's words by language, and the number of words."""
-        if self.memo is None:
-            self.memo = ByteCache(self.word)
-        memo, out = self.memo, []
+            rest = [more[n, g] for g, known in zip(gs, hit) if not known and (n, g) in more]
+            if len(got) or rest:
+                return np.concatenate([got, np.array(rest, np.float32).reshape(-1, len(self.langs))]).mean(axis=0, dtype=np.float64)
+        return np.zeros(len(self.langs))
+
+    def chunks(self, texts):
+        """For some texts at a time: (number of texts, their distinct words, all words'
+        numbers one after another, words of each text)."""
+        numbers: dict[str, int] = {}
+        parts, chars = [], 0
         for t in texts:
             ws = words(t) if self.langs else []
-            s = np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.float32).reshape(len(ws), len(self.langs))
-            out.append((s.sum(axis=0, dtype=np.float64), len(ws)))
-        return out
-
-    def best(self, s: np.ndarray, n: int) -> tuple[str, float]:
-        """The language and its posterior from the evidence of ``n`` words."""
-        if not n:
-            return UNDETERMINED, 0.0
-        best = int(s.argmax())
-        p = np.exp((s - s[best]) * (min(n, CONFIDENT) / n))
-        return self.langs[best], float(1 / p.sum())
+            parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int64, len(ws)))
+            chars += len(t or "")
+            if chars >= CHUNK_CHARS:
+                yield len(parts), list(numbers), np.concatenate(parts), np.array([len(p) for p in parts])
+                numbers, parts, chars = {}, [], 0
+        if parts:
+            yield len(parts), list(numbers), np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def sums(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence of each text's words by language, and the number of words."""
+        out, counts = [np.empty((0, len(self.langs)))], [np.empty(0, np.int64)]
+        for n, own, at, sizes in self.chunks(texts):
+            e = self.resolve(own)[1]
+            text = np.repeat(np.arange(n), sizes)
+            out.append(np.stack([np.bincount(text, e[at, j], n) for j in range(len(self.langs))], axis=1)
+                       if self.langs else np.empty((n, 0)))
+            counts.append(sizes)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def best(self, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and their posteriors from the evidence of ``n`` words each."""
+        if not self.langs:
+            return np.full(len(n), UNDETERMINED, object), np.zeros(len(n))
+        top = s.argmax(axis=1)
+        share = np.minimum(n, CONFIDENT) / np.maximum(n, 1)
+        p = np.exp((s - s[np.arange(len(s)), top][:, None]) * share[:, None])
+        lang = np.array(self.langs, object)[top]
+        return np.where(n > 0, lang, UNDETERMINED), np.where(n > 0, 1 / p.sum(axis=1), 0.0)
 
     def predict(self, texts) -> list[tuple[str, float]]:
-        return [self.best(s, n) for s, n in self.sums(texts)]
+        return [(str(x), float(y)) for x, y in zip(*self.best(*self.sums(texts)))]
 
 
 def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -216,30 +259,43 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> Lang
     langs = sorted({r.lang for r in sums})
     totals = {k: [sum(r.n for r in sums if r.kind == k and r.lang == x) for x in langs] for k in range(MAX_GRAM + 1)}
     known = counts.filter("kind = 0").select("kind", "key", "n", "by_lang")
+    model, rare = LanguageModel(langs), None
     if not langs:
-        return LanguageModel(langs, totals)
-    room = max(1, min(SENT_WORDS, SENT_BYTES // 2 // (8 + 4 * len(langs))))
-    model, rare = LanguageModel(langs, totals), None
-    by_lang = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in langs]).alias("c")
+        return model
+    room = max(1, SENT_BYTES // 2 // (8 + 4 * len(langs)))
     for part in (known, short):
-        size = part.count()
-        if size > room:  # those after the last one that is broadcast
+        if part.count() > room:  # those after the last one that is broadcast
             last = part.orderBy(F.desc("n"), "kind", "key").select("n", "kind", "key").offset(room - 1).first()
             n, kind, key = F.col("n"), F.col("kind"), F.col("key")
             here = (n > last.n) | ((n == last.n) & ((kind < last.kind) | ((kind == last.kind) & (key <= last.key))))
-            rest = part.filter(~here).select("kind", "key", "by_lang")
+            rest = part.filter(~here).select("kind", "key", _evidence(totals, langs))
             rare = rest if rare is None else rare.unionByName(rest)
             part = part.filter(here)
-        rows = part.select("kind", "key", by_lang).toArrow()  # ``room`` rows at most
-        kinds, keys = rows.column("kind").to_numpy(), rows.column("key").to_pylist()
-        c = rows.column("c").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
-        for kind in np.unique(kinds):
-            at = np.flatnonzero(kinds == kind)
-            model.learn(int(kind), [keys[i] for i in at], c[at])
+        of_words = part.filter("kind = 0").select("kind", F.xxhash64("key").alias("key"), _evidence(totals, langs))
+        of_grams = part.filter("kind > 0").select("kind", "key", _evidence(totals, langs))
+        for rows in (of_words.toArrow(), of_grams.toArrow()):  # ``room`` rows at most
+            kinds, e = rows.column("kind").to_numpy(), rows.column("e").combine_chunks().flatten().to_numpy()
+            keys = rows.column("key")
+            for kind in np.unique(kinds).tolist():
+                here = np.flatnonzero(kinds == kind)
+                number = (keys.to_numpy().view(np.uint64) if kind == 0 else np.array(
+                    [_packed(_codes(k), kind)[0] for k in keys.take(here).to_pylist()], np.uint64))
+                model.learn(kind, number, e.reshape(-1, len(langs))[here])
     model.rare = rare
     return model
 
 
+def _evidence(totals: dict[int, list[int]], langs: list[str]) -> Column:
+    """Log frequencies by language (array of floats) of a row (kind, by_lang)."""
+    def of(kind: int, j: int) -> Column:
+        c, t = F.col("by_lang")[langs[j]], totals[kind]
+        seen = F.log(F.greatest(c - DISCOUNT, F.lit(DISCOUNT))) - math.log(max(1, t[j]))
+        return F.coalesce(F.when(c > 0, seen), F.lit(math.log(UNSEEN / max(1, *t))))
+
+    kinds = [F.array(*[of(k, j) for j in range(len(langs))]).cast("array<float>") for k in range(MAX_GRAM + 1)]
+    return F.get(F.array(*kinds), F.col("kind")).alias("e")
+
+
 def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
     """Struct (lang_pred, score) of each row's text, for a model that is broadcast
     whole; ``with_languages`` is the form for any model."""
@@ -250,7 +306,8 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text") -
     @F.pandas_udf(PREDICTED)
     def predicted(batch):
         import pandas as pd
-        return pd.DataFrame(sent.value.predict(batch.tolist()), columns=["lang_pred", "score"])
+        m = sent.value
+        return pd.DataFrame(dict(zip(("lang_pred", "score"), m.best(*m.sums(batch)))))
 
     return predicted(quoted(text))
 
@@ -266,65 +323,65 @@ def with_languages(df: DataFrame, model: LanguageModel, name: str, text: str = "
     sent, size = df.sparkSession.sparkContext.broadcast(model), len(model.langs)
 
     @F.pandas_udf("array<double>")
-    def change(key, n):
+    def change(key, now):
         import pandas as pd
-        m = sent.value
-        return pd.Series([_difference(m, w, m.evidence(0, c)[0]) for w, c in zip(key, n)])
+        before = sent.value.by_grams(list(key))
+        return pd.Series([(np.asarray(e, np.float64) - b).tolist() for e, b in zip(now, before)])
 
     @F.pandas_udf("array<double>")
     def change_by_grams(key, found):
         import pandas as pd
-        m = sent.value
-        return pd.Series([_difference(m, w, np.frombuffer(m.word(w, {
-            (g["kind"], g["key"]): m.evidence(g["kind"], g["c"])[0] for g in gs}), np.float32))
-            for w, gs in zip(key, found)])
+        m, before = sent.value, sent.value.by_grams(list(key))
+        return pd.Series([(m.word_with(w, {(g["kind"], g["key"]): g["e"] for g in gs}) - b).tolist()
+                          for w, gs, b in zip(key, found, before)])
 
     @F.pandas_udf("s array<double>, n int, h1 long, h2 long")
     def base(batch):
         import pandas as pd
-        texts = batch.tolist()
-        return pd.DataFrame([(s.tolist(), n, *_digest(t)) for t, (s, n) in zip(texts, sent.value.sums(texts))],
-                            columns=["s", "n", "h1", "h2"])
+        s, n = sent.value.sums(batch)
+        h = np.array([_digest(t) for t in batch], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"s": s.tolist(), "n": n, "h1": h[:, 0], "h2": h[:, 1]})
 
     @F.pandas_udf(PREDICTED)
     def predicted(s, n, more):
         import pandas as pd
-        return pd.DataFrame([sent.value.best(np.array(x) if y is None else np.array(x) + np.array(y), k)
-                             for x, k, y in zip(s, n, more)], columns=["lang_pred", "score"])
+        s = np.array([x if y is None else np.add(x, y) for x, y in zip(s, more)]).reshape(-1, size)
+        return pd.DataFrame(dict(zip(("lang_pred", "score"), sent.value.best(s, n.to_numpy()))))
 
     def beyond(batches):
         """(h1, h2, part, key, k): a text's words that aren't broadcast, once in a task for equal texts."""
-        unknown, part, seen = sent.value.unknown, TaskContext.get().partitionId(), set()
+        model, part, seen = sent.value, TaskContext.get().partitionId(), set()
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            mine = []
             for t in b.column(0):
-                t = t.as_py()
-                h = _digest(t)
-                if t is None or h in seen:
-                    continue
-                seen.add(h)
-                own = Counter(words(t))
-                new = [w for w in own if unknown(w)]
-                cols[0] += [h[0]] * len(new)
-                cols[1] += [h[1]] * len(new)
-                cols[2] += new
-                cols[3] += map(own.__getitem__, new)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([part] * len(cols[0]), pa.int32()),
-                 pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["h1", "h2", "part", "key", "k"])
-
-    counts = F.array(*[F.coalesce(F.col("by_lang")[x], F.lit(0)) for x in model.langs]).alias("c")
-    rare = model.rare.select("kind", "key", counts)
+                h = _digest(t := t.as_py())
+                if t is not None and h not in seen:
+                    seen.add(h)
+                    mine.append((h, t))
+            done = 0
+            for n, own, at, sizes in model.chunks([t for _, t in mine]):
+                known = model.resolve(own)[0]
+                text = np.repeat(np.arange(n), sizes)[~known[at]]
+                pair, k = np.unique(text * len(own) + at[~known[at]], return_counts=True)
+                text = pair // max(1, len(own)) + done
+                h = np.array([x for x, _ in mine], np.int64).reshape(-1, 2)[text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(k), part, np.int32)),
+                     pa.array([own[i] for i in pair % max(1, len(own))], pa.string()), pa.array(k.astype(np.int32))],
+                    names=["h1", "h2", "part", "key", "k"])
+                done += n
+
+    rare = model.rare
     held = df.select(quoted(text)).mapInArrow(beyond, "h1 long, h2 long, part int, key string, k int")
-    table = rare.filter("kind = 0").select("key", change("key", "c").alias("c"))
+    table = rare.filter("kind = 0").select("key", change("key", "e").alias("c"))
     if model.rare.filter("kind > 0").limit(1).count():  # n-grams beyond the broadcast: for the words never seen
         held = cut_lineage(held)
         lone = held.select("key").distinct().join(table.select("key"), "key", "left_anti")
         marked = F.concat(F.lit("^"), "key", F.lit("$"))
         every = F.concat(*[_all_grams(marked, n) for n in range(1, MAX_GRAM + 1)])
         at = lone.select("key", F.explode(F.array_distinct(every)).alias("g")).select("key", "g.*")
-        seen = at.join(rare.filter("kind > 0").toDF("kind", "gram", "c"), ["kind", "gram"])
-        seen = seen.groupBy("key").agg(F.collect_list(F.struct("kind", F.col("gram").alias("key"), "c")).alias("found"))
+        seen = at.join(rare.filter("kind > 0").toDF("kind", "gram", "e"), ["kind", "gram"])
+        seen = seen.groupBy("key").agg(F.collect_list(F.struct("kind", F.col("gram").alias("key"), "e")).alias("found"))
         table = table.unionByName(seen.select("key", change_by_grams("key", "found").alias("c")))
     held = held.join(maybe_broadcast(table), "key")
     # every task that met a text has its whole sum: one of them counts
@@ -346,11 +403,6 @@ def _all_grams(marked: Column, n: int) -> Column:
     return F.when(last >= 1, found).otherwise(F.slice(found, 1, 0))
 
 
-def _difference(model: LanguageModel, w: str, now: np.ndarray) -> list[float]:
-    """What a word's own evidence adds to what the broadcast n-grams give."""
-    return (now.astype(np.float64) - np.frombuffer(model.word(w), np.float32)).tolist()
-
-
 def _digest(text: str | None) -> tuple[int, int]:
     a, b = np.frombuffer(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
     return int(a), int(b)
