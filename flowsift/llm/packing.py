@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,22 +60,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.pieces = ByteCache(self.word), ByteCache(self.piece)
+        self.words = ByteCache(self.word, 48 << 20)  # of words, and of the pieces that the pattern makes of them
         self.letters = _byte_letters()
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"])
 
     def piece(self, p: str) -> bytes:
         s = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-        return np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def word(self, w: str) -> bytes:
         low = w.lower()
         if w.isascii() and w.isalpha():
-            return self.pieces[low]
+            return self.piece(w) if low == w else self.words[low]
         if ("<|" not in w and max(low) < self.BEYOND_LATIN and w.isprintable()
                 and (w.isascii() or unicodedata.is_normalized("NFC", w))):
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(low)))
+            pieces = self.split.findall(low)
+            if pieces == [w]:
+                return self.piece(w)
+            return b"".join(map(self.words.__getitem__, pieces))
         return self.whole(w)
 
     def whole(self, text: str) -> bytes:
@@ -126,7 +130,6 @@ def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 arrays.append(pa.array(ids_out, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         tok.words.clear()
-        tok.pieces.clear()
 
     return body.mapInArrow(run, schema)
 
