@@ -130,3 +130,54 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+RUNS = r"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1)
+                                     ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) t(i)),
+given AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT rid, doc_id, w, CAST(len(w) AS BIGINT) AS n,
+                  xor(list_reduce(CASE WHEN k = '' THEN CAST([] AS BIGINT[]) ELSE list_transform(string_split(k, ''),
+                      lambda x: CAST(ascii(x) AS BIGINT)) END,
+                      lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) AS h
+           FROM given, crc),
+cut AS (SELECT *, (h // 10) % greatest(n, 1) AS a, (h // 10) % 8 AS g8 FROM hashed),
+docs AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+                  w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g8)) END) + 1]) ELSE w END AS w
+         FROM cut),
+sixes AS (SELECT rid, n, unnest(list_transform(range(1, greatest(n - 4, 1)), lambda i: hash(w[i:i + 5]))) AS k,
+                 unnest(range(0, greatest(n - 5, 0))) AS i FROM docs WHERE n >= 12),
+same AS (SELECT x.rid, x.i, y.i - x.i AS q FROM sixes x JOIN sixes y
+         ON x.rid = y.rid AND x.k = y.k AND y.i > x.i AND y.i - x.i <= x.n // 2),
+isles AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM same),
+spans AS (SELECT rid, q, min(i) AS s, count(*) + 5 + q AS l FROM isles GROUP BY rid, q, isle),
+long AS (SELECT * FROM spans WHERE l >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.rid = x.rid AND y.q < x.q
+         AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+sums AS (SELECT rid, count(*) AS n_runs, arg_min({'s': s, 'l': l, 'q': q}, {'a': -l, 'b': s, 'c': q}) AS best,
+                string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM runs),
+words AS (SELECT rid, unnest(w) AS w, unnest(range(n)) AS i FROM docs SEMI JOIN sums USING (rid)),
+rest AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start,
+       CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+       CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(CASE WHEN n_runs IS NULL THEN coalesce(array_to_string(w, ' '), '') ELSE kept END) AS collapsed_sha256
+FROM docs LEFT JOIN sums USING (rid) LEFT JOIN rest USING (rid)
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, c.vec_id AS b, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+r AS (SELECT p.a, p.b, p.score AS ps, s.b AS n, s.score AS ns,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id,
+       ps AS positive_score, ns AS negative_score FROM r WHERE rank <= 3
+"""

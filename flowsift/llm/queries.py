@@ -3,12 +3,16 @@ over its whole table, with production parameters."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import (chat_format, decontaminate, lang_backoff, line_dedup, mtree_search, near_dup, oracles,
-                          packing, pii_bootstrap, quality_nbsvm, shard_tree)
+from flowsift.llm import (chat_format, decontaminate, hard_negatives, lang_backoff, line_dedup, mtree_search,
+                          near_dup, oracles, packing, period_runs, pii_bootstrap, quality_nbsvm, shard_tree,
+                          token_store)
 from flowsift.llm.base import ORACLES, QUERIES, fold_of, query, table
+from flowsift.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -85,3 +89,38 @@ def op9_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup", oracles.LINES)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_token_store")
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"token_store/{uuid.uuid4().hex}")
+    token_store.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return token_store.read_documents(spark, path)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: documents whose id's crc32 h is divisible by 10 repeat, from word a
+    = g % n on (g = h div 10), the first p = 1 + (n - a) div (3 + g % 8) words."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    n = F.size("w")
+    body = (docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(h % 10 == 0, words))
+            .withColumn("g", F.expr("h div 10")).withColumn("n", n)
+            .withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+            .withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))")))
+    times = F.expr("int((n - a + p - 1) div p)")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    made = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), tail)
+    return body.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_period_runs", oracles.RUNS)
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digest(with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+@query("op13_hard_negatives", oracles.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), lambda v: v % 50 == 0)

@@ -25,7 +25,7 @@ def test_plans_without_python(spark, name):
 
 def test_every_operator_is_registered():
     names = E.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, tmp_path):
