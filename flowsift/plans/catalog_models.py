@@ -167,6 +167,20 @@ def q_smote_class_counts(spark, d):
                                     F.count_if(F.col("synthetic") == 1).alias("synthetic"))
 
 
+@query("knn_minority", """WITH m AS (SELECT vec_id, embedding FROM embeddings WHERE label < 2),
+d AS (SELECT a.vec_id AS uid, b.vec_id AS neighbour, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+      AS distance FROM m a JOIN m b ON a.vec_id <> b.vec_id)
+SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY distance, neighbour) AS INTEGER) AS rank, neighbour, distance
+FROM d QUALIFY rank <= 5""", ["distance"])
+def q_knn_minority(spark, d):
+    """the five nearest neighbours of every minority row (label < 2) in its class."""
+    from flowsift.operators.knn import nearest_neighbours
+    rows = read_table(spark, d, "embeddings").filter("label < 2").select(F.col("vec_id").alias("uid"), "embedding")
+    near = nearest_neighbours(rows, "uid", "embedding", k=5, cell_rows=100)
+    return near.select("uid", F.posexplode("near").alias("at", "near")).select(
+        "uid", (F.col("at") + 1).alias("rank"), F.col("near.id").alias("neighbour"), F.sqrt("near.d").alias("distance"))
+
+
 @query("mlp_training_history")
 def q_mlp_training_history(spark, d):
     """Loss per training iteration of the network."""

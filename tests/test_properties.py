@@ -137,15 +137,63 @@ def test_smote_blocks_with_duplicates(spark):
     assert all(0 <= a <= 2 and abs(a - b) < 1e-12 for a, b in pts)
 
 
-def test_smote_neighbours_are_exact_above_one_block(spark):
-    from flowsift.operators.smote import _neighbours
-    x = np.random.default_rng(5).normal(size=(200, 6))
-    df = spark.createDataFrame([(f"r{i:03}", v.tolist()) for i, v in enumerate(x)], "uid string, _x array<double>")
-    got = {r.uid: np.array(r._nn) for r in _neighbours(df, "uid", 5, 200, 23).collect()}
+def brute_neighbours(ids, x, k):
+    """{id: [(squared distance, id)]}; ids ascending."""
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
-    want = np.argsort(d, axis=1)[:, :5]
-    assert len(got) == 200 and all(np.array_equal(got[f"r{i:03}"], x[want[i]]) for i in range(200))
+    return {i: [(d[n, m], ids[m]) for m in np.argsort(d[n], kind="stable")[:k] if m != n] for n, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("cell_rows, block_rows, asking", [(10, 4, 7), (50, 4000, 20_000), (1000, 4000, 20_000), (1000, 23, 50)])
+def test_neighbours_equal_brute_force_over_many_cells(spark, monkeypatch, cell_rows, block_rows, asking):
+    from flowsift.operators import knn
+    monkeypatch.setattr(knn, "ASKING_ROWS", asking)
+    rng = np.random.default_rng(cell_rows)
+    x = np.concatenate([rng.normal(size=(120, 6)), 50 + 0.1 * rng.normal(size=(60, 6)), np.full((20, 6), 3.0),
+                        rng.integers(0, 2, (40, 6)).astype(float), 1e6 + rng.normal(size=(10, 6))])
+    ids = [f"r{i:03}" for i in range(len(x))]
+    rows = [*zip(ids, x.tolist()), ("bad", [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 6), ("inf", [float("inf")] * 6)]
+    df = spark.createDataFrame(rows, "uid string, v array<double>").withColumn("x", F.lit(0)).withColumn("cell", F.lit(1))
+    got = {r.uid: [(n.d, n.id) for n in r.near] for r in knn.nearest_neighbours(
+        df, "uid", "v", 5, cell_rows, block_rows).collect()}
+    assert got == brute_neighbours(ids, x, 5)
+
+
+def test_neighbours_within_classes(spark):
+    from flowsift.operators.knn import nearest_neighbours
+    rng = np.random.default_rng(8)
+    x, cls = rng.normal(size=(150, 4)), rng.choice(["a", "b", "c"], 150)
+    df = spark.createDataFrame([(i, v.tolist(), None if c == "c" else str(c)) for i, (v, c) in enumerate(zip(x, cls))],
+                               "uid long, v array<double>, y string")
+    got = {r.uid: [(n.d, n.id) for n in r.near] for r in nearest_neighbours(df, "uid", "v", 3, 9, 5, within="y").collect()}
+    want = {}
+    for c in "abc":
+        at = np.flatnonzero(cls == c)
+        want |= brute_neighbours(at.tolist(), x[at], 3)
+    assert got == want
+
+
+def test_neighbours_of_few_rows(spark):
+    from flowsift.operators.knn import nearest_neighbours
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [1.0])], "uid long, v array<double>")
+    got = {r.uid: [n.id for n in r.near] for r in nearest_neighbours(df, "uid", "v", 5).collect()}
+    assert got == {1: [2, 3], 2: [3, 1], 3: [2, 1]}
+    assert nearest_neighbours(df.limit(0), "uid", "v", 5).count() == 0
+    assert [r.near for r in nearest_neighbours(df.limit(1), "uid", "v", 5).collect()] == [[]]
+
+
+def test_neighbour_search_prunes_clustered_rows(spark):
+    """Of clustered rows far fewer distances are computed than pairs, and the share falls with the size."""
+    from flowsift.operators.knn import nearest_neighbours
+    rng = np.random.default_rng(3)
+    share = []
+    for n in (2_000, 8_000):
+        x = np.repeat(rng.uniform(0, 100, (n // 100, 8)), 100, axis=0) + rng.normal(size=(n, 8))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, v array<double>")
+        got = nearest_neighbours(df, "uid", "v", 5, cell_rows=100).agg(F.sum("compared"), F.count("*")).first()
+        assert got[1] == n
+        share.append(got[0] / (n * (n - 1)))
+    assert share[0] < 0.25 and share[1] < share[0] / 2
 
 
 def test_auc_trapezoid_is_rank_plus_half_ties(spark):
