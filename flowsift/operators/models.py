@@ -22,7 +22,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
@@ -176,30 +175,3 @@ def f1_evaluator(label: str = "target") -> MulticlassClassificationEvaluator:
     """F1 of class 1 (the reference's ``scoring='f1'``), not the weighted F1."""
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
                                              metricName="fMeasureByLabel", metricLabel=1.0)
-
-
-# L5
-def random_search(pipeline: Pipeline, space: dict, train: DataFrame, label: str = "target", draws: int = 20,
-                  fold_col: str = "fold", seed: int = 42, parallelism: int = 4):
-    """Seeded random draws of parameter maps, k-fold CV on a precomputed
-    (stratified) fold column, F1 of class 1, best model refitted on all rows.
-
-    ``space``: {Param: list of values | (low, high) int range | ('uniform', a, b)}.
-    Returns (CrossValidatorModel, list of (param map, mean F1)).
-    """
-    rng = np.random.default_rng(seed)
-    maps = []
-    for _ in range(draws):
-        pm = {}
-        for p, dom in space.items():
-            if isinstance(dom, tuple) and dom and dom[0] == "uniform":
-                pm[p] = float(rng.uniform(dom[1], dom[2]))
-            elif isinstance(dom, tuple):
-                pm[p] = int(rng.integers(dom[0], dom[1]))
-            else:
-                pm[p] = dom[int(rng.integers(0, len(dom)))]
-        maps.append(pm)
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=f1_evaluator(label),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
-    return model, list(zip(maps, model.avgMetrics))

@@ -250,7 +250,7 @@ def gap_stats(df: DataFrame, key: str, ts: str, mean_out: str = "time_delta_mean
     if max_broadcast_rows is not None:
         from flowsift.session import maybe_broadcast
         stats = maybe_broadcast(stats, max_broadcast_rows)
-    return df.join(stats, key, "left")
+    return join_null_safe(df, stats, [key], "left")  # a NULL source is a source
 
 
 # G4

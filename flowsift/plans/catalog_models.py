@@ -6,12 +6,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowsift.operators import encode as J
 from flowsift.operators import evaluate as N
 from flowsift.operators import models as L
 from flowsift.operators import reduce as K
 from flowsift.operators import sample as I
+from flowsift.operators import search as R
 from flowsift.operators import stats as S
-from flowsift.plans.modelling import fit_and_score, prepare_flows
+from flowsift.operators.epochs import train_network
+from flowsift.plans import oracle_views as V
+from flowsift.plans.modelling import balanced_training, fit_and_score, prepare_flows
 from flowsift.plans.registry import query
 from flowsift.sources.views import read_table
 
@@ -64,31 +68,44 @@ def q_rf_feature_importance(spark, d):
     return L.feature_importance(model, feats).limit(15)
 
 
-@query("gbt_random_search")
-def q_gbt_random_search(spark, d):
-    """Seeded random search over the boosting ranges, 3 stratified folds,
-    F1 of class 1; 4 draws here (the reference draws 20)."""
+def _search(spark, d, space, build):
     data, feats = prepare_flows(spark, d)
-    train = data.filter(F.col("split") == "train")
-    pipe = L.gradient_boosting(feats, "target", rounds=20)
-    gbt = pipe.getStages()[-1]
-    space = {gbt.maxIter: (10, 30), gbt.maxDepth: (3, 6), gbt.stepSize: ("uniform", 0.01, 0.21),
-             gbt.subsamplingRate: ("uniform", 0.7, 1.0)}
-    cvm, trials = L.random_search(pipe, space, train, "target", draws=4, fold_col="fold")
-    rows = [(i, str({p.name: v for p, v in pm.items()}), float(m)) for i, (pm, m) in enumerate(trials)]
-    return spark.createDataFrame(rows, "draw int, params string, mean_f1 double")
+    return R.random_search(data.filter(F.col("split") == "train"), feats, space, build, draws=20, parallelism=8).trials
+
+
+@query("rf_random_search")
+def q_rf_random_search(spark, d):
+    """L5 for the forest: 20 draws from the reference's ranges, 5 stratified folds, F1
+    of class 1, each trial kept in the ledger, the best setting refitted."""
+    return _search(spark, d, R.FOREST_SPACE, R.forest)
 
 
 @query("rfecv_flows")
 def q_rfecv_flows(spark, d):
-    """K5: recursive elimination with CV on a forest, two features per round."""
+    """K5: an elimination path in each of 5 folds, one feature a step, the standard
+    forest; then down to the best number of features on all training rows."""
     data, feats = prepare_flows(spark, d)
-    best, hist = K.rfecv(data.filter(F.col("split") == "train"), feats, "target", step=2, num_trees=10,
-                         max_depth=8)
-    return spark.createDataFrame([(n, f1, n == len(best)) for n, f1 in hist],
+    found = K.rfecv(data.filter(F.col("split") == "train"), feats, "target", parallelism=5)
+    return spark.createDataFrame([(n, f1, n == len(found.chosen)) for n, f1 in found.history],
                                  "n_features int, mean_f1 double, chosen boolean")
 
 
+@query("rf_scores_balanced")
+def q_rf_scores_balanced(spark, d):
+    """I6 + L1: the forest fitted on the training split balanced by SMOTE, test rows scored."""
+    return _scores("rf", balance=True)(spark, d)
+
+
+@query("balanced_training", f"""WITH {V.LABELED}, t AS (SELECT CAST(label = 'Malicious' AS INTEGER) AS target, count(*) AS n
+FROM labeled WHERE label IN ('Benign', 'Malicious') GROUP BY 1)
+SELECT target, CAST(round(n * 0.75) AS BIGINT) AS n, CAST((SELECT max(round(n * 0.75)) FROM t) AS BIGINT) AS balanced FROM t""")
+def q_balanced_training(spark, d):
+    """Rows of each class in the training split before and after balancing."""
+    data, feats = prepare_flows(spark, d)
+    out = balanced_training(data, feats)
+    return out.groupBy("target").agg(F.count_if(F.col("synthetic") == 0).alias("n"), F.count("*").alias("balanced"))
+
+
 @query("correlation_filter")
 def q_correlation_filter(spark, d):
     """K4: of each feature pair with |r| > 0.9 keep the one closer to the target."""
@@ -183,11 +200,13 @@ def q_knn_minority(spark, d):
 
 @query("mlp_training_history")
 def q_mlp_training_history(spark, d):
-    """Loss per training iteration of the network."""
+    """Loss and accuracy of the network on the training and the validation split
+    by epoch; the best epoch is marked, training stops when it no longer improves."""
     data, feats = prepare_flows(spark, d)
-    model, _ = fit_and_score("mlp", data, feats)
-    hist = L.training_history(model)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+    x = I.stratified_split(data.drop("split"), "target", (0.6, 0.15, 0.25), ("train", "validation", "test"), id_col="uid")
+    train = x.filter("split = 'train'")
+    x = J.apply_scaler(x, J.fit_scaler(train, feats))
+    return train_network(x.filter("split = 'train'"), x.filter("split = 'validation'"), feats).history
 
 
 @query("gbt_early_stopping")
@@ -216,20 +235,3 @@ def q_pca_flows(spark, d):
     from flowsift.plans.catalog_core import raw
     r = raw(spark, d)
     return K.pca(r, [c for c in PCA_FLOW_COLUMNS if c in r.columns], 2, keep=("uid", "label")).projected
-
-
-@query("rf_random_search")
-def q_rf_random_search(spark, d):
-    """L5 for the forest over the reference's ranges (trees 50-299, depth
-    5-45 or unlimited -> Spark's cap 30, leaf size 1-9, feature subsets,
-    bootstrap), 3 stratified folds, F1 of class 1; 3 draws here."""
-    data, feats = prepare_flows(spark, d)
-    train = data.filter(F.col("split") == "train")
-    pipe = L.random_forest(feats, "target", num_trees=100)
-    rf = pipe.getStages()[-1]
-    depths = [L.MAX_TREE_DEPTH] + [min(v, L.MAX_TREE_DEPTH) for v in range(5, 50, 5)]
-    space = {rf.numTrees: (50, 300), rf.maxDepth: depths, rf.minInstancesPerNode: (1, 10),
-             rf.featureSubsetStrategy: ["sqrt", "log2", "all"], rf.bootstrap: [True, False]}
-    cvm, trials = L.random_search(pipe, space, train, "target", draws=3, fold_col="fold", parallelism=3)
-    rows = [(i, str({p.name: v for p, v in pm.items()}), float(m)) for i, (pm, m) in enumerate(trials)]
-    return spark.createDataFrame(rows, "draw int, params string, mean_f1 double")

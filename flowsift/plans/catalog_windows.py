@@ -58,7 +58,7 @@ SELECT f.uid, s.time_delta_mean, s.time_delta_std FROM flows f LEFT JOIN s ON f.
        doubles=("time_delta_mean", "time_delta_std"))
 def q_gap_stats(spark, d):
     """Inter-arrival mean / sample std per source, on every row (chunked by day)."""
-    return G.gap_stats(flows(spark, d), "orig_h", "event_time", chunk_seconds=DAY).select(
+    return G.gap_stats(flows(spark, d), "orig_h", "event_time").select(
         "uid", "time_delta_mean", "time_delta_std")
 
 

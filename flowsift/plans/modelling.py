@@ -22,12 +22,15 @@ from flowsift.operators import models as L
 from flowsift.operators import sample as I
 from flowsift.operators import windows as G
 from flowsift.plans.preprocess import binary_flows, clean_flows, raw_log_from_view
+from flowsift.operators.smote import smote
 from flowsift.session import cut_lineage
+from flowsift.sources.logs import file_versions
 from flowsift.sources.views import flows
 
 # fixed values: columns that are never model inputs
 NOT_FEATURES = ("uid", "label", "detailed_label", "source_file", "target", "split", "fold", "weight")
 CATEGORIES = ("proto", "conn_state", "service")
+FOLDS = 5
 
 
 _PREPARED: dict = {}
@@ -37,8 +40,10 @@ def prepare_flows(spark: SparkSession, sf_dir: str, window_seconds: float = 86_4
                   test_frac: float = 0.25) -> tuple[DataFrame, list[str]]:
     """The checkpointed modelling table and its feature names. Within one
     session the checkpoint is reused (it lives in the reliable checkpoint
-    folder, so it survives lost executors)."""
-    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, window_seconds, test_frac)
+    folder, so it survives lost executors) as long as the files it was made of
+    are the same."""
+    files = file_versions(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, files, window_seconds, test_frac)
     if key not in _PREPARED:
         _PREPARED[key] = _prepare_flows(spark, sf_dir, window_seconds, test_frac)
     return _PREPARED[key]
@@ -49,19 +54,28 @@ def _prepare_flows(spark: SparkSession, sf_dir: str, window_seconds: float,
     raw = raw_log_from_view(flows(spark, sf_dir))
     w = G.source_window_features(raw, "orig_h", "event_time", "resp_p", window_seconds,
                                  "conn_rate", "port_scan_score")
-    w = G.gap_stats(w, "orig_h", "event_time", chunk_seconds=window_seconds)
+    w = G.gap_stats(w, "orig_h", "event_time")
     clean = clean_flows(w, drop=("orig_h", "resp_h", "ts", "tunnel_parents", "timestamp", "event_time"))
     data = binary_flows(clean)
     data, _ = J.label_encode(data, list(CATEGORIES))
     data = I.stratified_split(data, "target", (1 - test_frac, test_frac), id_col="uid")
-    data = I.assign_folds(data, "target", 3, id_col="uid")
+    data = I.assign_folds(data, "target", FOLDS, id_col="uid")
     data = cut_lineage(data)
     return data, J.feature_columns(data, NOT_FEATURES)
 
 
-def fit_and_score(kind: str, data: DataFrame, features: Sequence[str], label: str = "target", **params):
-    """Fit on the training split, score the test split. -> (model, scored test rows)."""
+def balanced_training(data: DataFrame, features: Sequence[str], label: str = "target") -> DataFrame:
+    """The training split and SMOTE rows that bring every class to the largest one's size."""
+    train = data.filter(F.col("split") == "train")
+    return smote(train, features, label, "uid")
+
+
+def fit_and_score(kind: str, data: DataFrame, features: Sequence[str], label: str = "target", balance: bool = False,
+                  **params):
+    """Fit on the training split (balanced, if asked for), score the test split. -> (model, scored test rows)."""
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    if balance:
+        train = cut_lineage(balanced_training(data, features, label))
     if kind in ("svm", "mlp"):
         sc = J.fit_scaler(train, features)
         train, test = J.apply_scaler(train, sc), J.apply_scaler(test, sc)

@@ -32,24 +32,33 @@ def normalise_name(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
-def _list_files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under ``path`` (a file, folder or glob), via the Hadoop file system."""
+def _file_status(spark: SparkSession, path: str) -> list:
+    """Hadoop's status of the data files under ``path`` (a file, folder or glob), by name."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
-    stats = fs.globStatus(p) or []
     out = []
-    for st in stats:
+    for st in fs.globStatus(p) or []:
         if st.isDirectory():
             it = fs.listFiles(st.getPath(), True)
             while it.hasNext():
-                f = it.next().getPath()
-                if not f.getName().startswith(("_", ".")):
-                    out.append(f.toString())
+                f = it.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    out.append(f)
         else:
-            out.append(st.getPath().toString())
-    return sorted(out)
+            out.append(st)
+    return sorted(out, key=lambda f: f.getPath().toString())
+
+
+def _list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files under ``path``, via the Hadoop file system."""
+    return [f.getPath().toString() for f in _file_status(spark, path)]
+
+
+def file_versions(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of every data file under ``path``: changes when they do."""
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in _file_status(spark, path))
 
 
 def _header(spark: SparkSession, file: str) -> str:

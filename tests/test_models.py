@@ -12,6 +12,7 @@ from flowsift.operators import evaluate as N
 from flowsift.operators import models as L
 from flowsift.operators import reduce as K
 from flowsift.plans.modelling import fit_and_score, prepare_flows
+from flowsift.session import cut_lineage
 from flowsift.sources import logs
 from flowsift.sources.views import read_table
 
@@ -82,13 +83,96 @@ def test_pca_explained_and_signs(spark):
         assert res.loadings[np.abs(res.loadings[:, j]).argmax(), j] > 0
 
 
-def test_random_search_and_folds(spark, prepared):
-    data, feats = prepared
-    pipe = L.gradient_boosting(feats, "target", rounds=5)
-    gbt = pipe.getStages()[-1]
-    cvm, trials = L.random_search(pipe, {gbt.maxDepth: (2, 4)}, data.filter("split = 'train'"), "target",
-                                  draws=2, fold_col="fold")
-    assert len(trials) == 2 and all(0 <= m <= 1 for _, m in trials)
+def small_problem(spark, n=240):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, n)
+    rows = [(int(t), float(t + rng.normal(0, .3)), float(rng.normal()), float(t * .5 + rng.normal()), int(i % 5))
+            for i, t in enumerate(y)]
+    return spark.createDataFrame(rows, "target int, good double, noise double, weak double, fold int").repartition(2)
+
+
+def test_draws_stay_in_their_ranges(spark):
+    from flowsift.operators import search as R
+    for space in (R.FOREST_SPACE, R.BOOSTING_SPACE):
+        trials = R.draw(space, 300, 1)
+        assert trials == R.draw(space, 300, 1) and trials != R.draw(space, 300, 2)
+        for name, kind in space.items():
+            values = {t[name] for t in trials}
+            if isinstance(kind, list):
+                assert values == set(kind)
+            elif kind[0] == "int":
+                assert min(values) >= kind[1] and max(values) < kind[2] and len(values) > min(4, kind[2] - kind[1] - 1)
+            else:
+                assert min(values) >= kind[1] and max(values) <= kind[1] + kind[2]
+    params = dict(R.FOREST_SPACE, n_estimators=50, max_depth=None, min_samples_split=9, min_samples_leaf=2,
+                  max_features=None, bootstrap=False, class_weight="balanced")
+    rf = R.forest(params, ["a"], "y").getStages()[-1]
+    assert (rf.getMaxDepth(), rf.getMinInstancesPerNode(), rf.getFeatureSubsetStrategy(), rf.getWeightCol()) == (30, 5, "all", "weight")
+    gbt = R.boosting(R.draw(R.BOOSTING_SPACE, 1)[0], ["a"], "y").getStages()[-1]
+    assert 50 <= gbt.getMaxIter() < 300 and gbt.getMinInfoGain() >= 0 and 0.7 <= float(gbt.getFeatureSubsetStrategy()) <= 1
+
+
+def test_search_continues_from_its_ledger(spark, tmp_path, monkeypatch):
+    from flowsift.operators import search as R
+    data, features, fits = small_problem(spark), ["good", "noise"], []
+    space = {"depth": ("int", 1, 4), "rounds": [2, 3]}
+
+    def build(params, features, label, seed=42):
+        fits.append(params)
+        if len(fits) == stop:
+            raise RuntimeError("lost")
+        return L.gradient_boosting(features, label, rounds=params["rounds"], max_depth=params["depth"], seed=seed)
+
+    stop = 8
+    with pytest.raises(RuntimeError):
+        R.random_search(data, features, space, build, draws=3, parallelism=1, ledger=str(tmp_path))
+    stop = -1
+    fits.clear()
+    found = R.random_search(data, features, space, build, draws=3, parallelism=2, ledger=str(tmp_path))
+    assert 15 - 8 + 1 <= len(fits) <= 15 - 7 + 1  # what was missing, and the best one on all rows
+    rows = found.trials.orderBy("trial").collect()
+    assert len(rows) == 3 and all(r.folds == 5 for r in rows) and sum(r.best for r in rows) == 1
+    assert max(r.mean_f1 for r in rows) == next(r.mean_f1 for r in rows if r.best) > 0.85
+    fits.clear()
+    again = R.random_search(data, features, space, build, draws=3, ledger=str(tmp_path))
+    assert len(fits) == 1 and again.trials.collect() == found.trials.collect()
+    R.random_search(data.limit(200), features, space, build, draws=1, ledger=str(tmp_path))  # other rows: another ledger
+    assert len(fits) == 1 + 5 + 1
+
+
+def test_elimination_paths_do_not_see_their_held_out_fold(spark, tmp_path):
+    """A feature that tells the label in fold 0 only: the path that holds fold 0 out must not favour it."""
+    df = cut_lineage(small_problem(spark).withColumn("leak", F.when(F.col("fold") == 0, F.col("target")).otherwise(F.rand(3))))
+    got = K.rfecv(df, ["good", "noise", "weak", "leak"], num_trees=20, max_depth=6, ledger=str(tmp_path))
+    assert [n for n, _ in got.history] == [4, 3, 2, 1] and len(got.paths) == 5
+    assert all([len(x["features"]) for x in p] == [4, 3, 2, 1] for p in got.paths.values())
+    assert got.paths[0][-1]["features"] == ["good"] and "good" in got.chosen
+    assert "leak" not in got.paths[0][2]["features"] or got.paths[0][0]["order"].index("leak") < 3
+    assert got.history == K.rfecv(df, ["good", "noise", "weak", "leak"], num_trees=20, max_depth=6,
+                                  ledger=str(tmp_path)).history
+
+
+def test_network_training_resumes_and_keeps_its_best_epoch(spark, tmp_path):
+    from flowsift.operators import epochs as E
+    data = small_problem(spark, 300)
+    train, held = data.filter("fold > 0"), data.filter("fold = 0")
+
+    def run(n, **more):
+        return E.train_network(train, held, ["good", "weak"], hidden=(6,), epochs=n, steps=3, ledger=str(tmp_path), **more)
+
+    first = run(3, patience=50)
+    then = run(7, patience=50)
+    rows = then.history.collect()
+    assert first.ran == 3 and then.ran == 4 and [r.epoch for r in rows] == list(range(1, 8))
+    assert [tuple(r)[:5] for r in rows[:3]] == [tuple(r)[:5] for r in first.history.collect()]
+    assert rows[-1].train_loss < rows[0].train_loss and sum(r.best for r in rows) == 1
+    best = next(r for r in rows if r.best)
+    loss, accuracy = E.measured(then.model.stages[-1], then.model.stages[0].transform(held), "target")
+    assert abs(loss - best.val_loss) < 1e-9 and accuracy == best.val_accuracy > 0.85
+    assert run(7, patience=50).ran == 0
+    stopped = run(200, patience=2, least_gain=0.5)  # no epoch gains that much: it stops at once
+    assert stopped.ran == 0 and len(stopped.history.collect()) == 7
 
 
 def test_write_and_load_dataset(spark, prepared):
