@@ -136,12 +136,26 @@ def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
 
 # C7
 def cardinality(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """column, n_distinct (NULL not counted). ``exact=False``: HyperLogLog++ (one pass, no expand)."""
+    """column, n_distinct (NULL not counted). ``exact=False``: HyperLogLog++ (one pass, no expand).
+
+    The exact form is two aggregations over narrow (column, value) rows, combined
+    before the shuffle, so no task holds a column's values."""
     cols = list(cols) if cols is not None else list(df.columns)
-    fn = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.01))
-    one = df.agg(*[fn(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)])
-    return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
-                       for i, c in enumerate(cols)])
+    if not exact:
+        one = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"d{i}") for i, c in enumerate(cols)])
+        return _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
+                           for i, c in enumerate(cols)])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in cols])))
+    counts = (long.filter(F.col("value").isNotNull()).distinct()
+              .groupBy("column").agg(F.count(F.lit(1)).alias("n")))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(F.broadcast(counts), "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n_distinct"))
+
+
+def _text(df: DataFrame, c: str) -> Column:
+    """A column's value as text, equal for equal values (-0.0 is 0.0)."""
+    x = F.col(f"`{c}`")
+    return (x + 0.0 if df.schema[c].dataType.typeName() in ("double", "float") else x).cast("string")
 
 
 # C8

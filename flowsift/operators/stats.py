@@ -11,11 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.columns import present
 
+MAX_GENERATED = 32  # columns up to which correlations are generated code
+
 
 def pivot_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
     """Distinct non-null values of ``col`` in order (for pivots); bounded."""
@@ -91,14 +95,6 @@ def volume_series(df: DataFrame, ts: str = "event_time", label: str = "label",
             .agg(*[F.count_if(F.col(label) == F.lit(v)).alias(n) for v, n in zip(values, _names(values))]))
 
 
-def _pair_corr(a: str, b: str):
-    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    # pairwise-complete Pearson r; NULL for a constant column instead of an ANSI error
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
-
-
 def _centered_corr(df: DataFrame, cols: Sequence[str], means: dict) -> DataFrame:
     """Null-free columns: one pass of plain sums of centred products (stable,
     cheap to generate code for), r = S_ab / sqrt(S_aa · S_bb)."""
@@ -116,6 +112,51 @@ def _centered_corr(df: DataFrame, cols: Sequence[str], means: dict) -> DataFrame
     return sums.select(F.inline(F.array(*structs)))
 
 
+def _gram(df: DataFrame, cols: Sequence[str], shift: Sequence[float]) -> DataFrame:
+    """(kind, a, sums): for each column ``a`` the sums over rows, against every column b, of
+    0: both present, 1: a where b is present, 2: a squared where b is present, 3: a times b.
+
+    Each task adds up matrix products of its batches (NULL and NaN masked) and sends
+    4 rows a column; these are added by column. The work is one scan whatever the
+    number of columns, and no expression grows with the number of pairs."""
+    d, at = len(cols), np.array([float(x) for x in shift])
+
+    def part(batches):
+        total = np.zeros((4, d, d))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns]) - at
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        kind, a = np.divmod(np.arange(4 * d, dtype=np.int32), d)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(list(total.reshape(4 * d, d)))],
+                                         names=["kind", "a", "sums"])
+
+    def add(key, table):
+        sums = table.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, d).sum(axis=0)
+        return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "a": pa.array([key[1].as_py()], pa.int32()),
+                         "sums": pa.array([sums])})
+
+    schema = "kind int, a int, sums array<double>"
+    parts = df.select(*[F.col(f"`{c}`").cast("double") for c in cols]).mapInArrow(part, schema)
+    return parts.groupBy("kind", "a").applyInArrow(add, schema)
+
+
+def _pairwise(df: DataFrame, cols: Sequence[str], shift: Sequence[float]) -> np.ndarray:
+    """Pearson r of every two columns over the rows that have both (NaN: undefined)."""
+    sums = np.zeros((4, len(cols), len(cols)))
+    for r in _gram(df, cols, shift).collect():  # 4 rows a column
+        sums[r.kind, r.a] = r.sums
+    n, x, xx, xy = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = xy - x * x.T / n
+        var = xx - x * x / n  # of a, where b is present
+        # differences that are rounding alone are constant columns
+        var = np.where(var <= 1e-13 * xx, 0.0, var)
+        r = cov / np.sqrt(var * var.T)
+    return np.where(np.isfinite(r), np.clip(r, -1.0, 1.0), np.nan)
+
+
 # E6
 def correlation_matrix(df: DataFrame, cols: Sequence[str], target: str | None = None,
                        top: int = 15) -> DataFrame:
@@ -124,34 +165,31 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], target: str | None =
     and a target, keeps the ``top`` columns with the largest |r(target)|
     (ties by name).
 
-    One small pass counts NULLs and takes means. Without NULLs the matrix is
-    one pass of centred product sums; otherwise every pair gets its own
-    masked covariance and deviations."""
+    One small pass counts missing values and takes means. Few columns without
+    any are one pass of centred product sums in generated code; otherwise masked
+    Gram matrices give all pairs in one pass."""
     cols = present(df, cols)
     allc = cols + ([target] if target and target not in cols else [])
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(allc)],
-                 *[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(allc)]).first()
-    no_nulls = all(one[f"c{i}"] == one["_n"] for i in range(len(allc)))
+    real = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in allc]
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(x).alias(f"c{i}") for i, x in enumerate(real)],
+                 *[F.avg(x).alias(f"m{i}") for i, x in enumerate(real)]).first()
+    means = {c: one[f"m{i}"] or 0.0 for i, c in enumerate(allc)}
+    plain = len(allc) <= MAX_GENERATED and all(one[f"c{i}"] == one["_n"] for i in range(len(allc)))
+    matrix = None if plain else _pairwise(df, allc, [means[c] for c in allc])
     if target is not None and len(cols) > top:
-        if no_nulls:
-            tr = {r["a"]: r["r"] for r in _centered_corr(df, allc, {c: one[f"m{i}"] for i, c in enumerate(allc)})
-                  .filter(F.col("b") == target).collect()}
+        if plain:
+            tr = {r["a"]: r["r"] for r in _centered_corr(df, allc, means).filter(F.col("b") == target).collect()}
         else:
-            row = df.agg(*[_pair_corr(c, target).alias(f"r{i}") for i, c in enumerate(cols)]).first()
-            tr = {c: row[f"r{i}"] for i, c in enumerate(cols)}
+            tr = dict(zip(allc, matrix[:, allc.index(target)].tolist()))
         ranked = sorted(cols, key=lambda c: (-(abs(tr[c]) if tr.get(c) is not None and not math.isnan(tr[c])
                                                else -1.0), c))
         cols = ranked[:top]
-    if no_nulls:
-        return _centered_corr(df, cols, {c: one[f"m{allc.index(c)}"] for c in cols})
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one_row = df.agg(*[_pair_corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("r")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"p{k}").alias("r")))
-    return one_row.select(F.inline(F.array(*structs)))
+    if plain:
+        return _centered_corr(df, cols, means)
+    at = [allc.index(c) for c in cols]
+    rows = [(a, b, None if math.isnan(r) else r) for i, a in zip(at, cols) for j, b in zip(at, cols)
+            for r in [float(matrix[i, j])]]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 # E7

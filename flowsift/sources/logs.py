@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from flowsift.functions.columns import LOG_NUMERIC_COLUMNS, coerce_numeric
 INT_FIELDS = {"orig_p": "int", "resp_p": "int", "orig_pkts": "bigint", "resp_pkts": "bigint",
               "orig_ip_bytes": "bigint", "resp_ip_bytes": "bigint", "missed_bytes": "bigint"}
 
+HEADERS_AT_ONCE = 32
+
 
 def normalise_name(name: str) -> str:
     """'id.orig_h' -> 'orig_h', 'detailed-label' -> 'detailed_label'."""
@@ -83,7 +86,7 @@ def read_flows(spark: SparkSession, path: str, sep: str = "|", typed: bool = Tru
     Adds ``source_file``; renames dotted / hyphenated names; types known
     numeric fields (unparsable -> NULL) and the timestamp. With
     ``mixed_headers`` the header line of every file is read (a short read
-    per file on the driver) and files are grouped by header; without it, the
+    per file, many at a time) and files are grouped by header; without it, the
     folder is one CSV scan under the first file's header, and a file with
     another header is an error.
     """
@@ -92,8 +95,9 @@ def read_flows(spark: SparkSession, path: str, sep: str = "|", typed: bool = Tru
         raise FileNotFoundError(path)
     groups: dict[str, list[str]] = {}
     if mixed_headers:
-        for f in files:
-            groups.setdefault(_header(spark, f), []).append(f)
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:  # waits for the store, not for the processor
+            for f, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
+                groups.setdefault(header, []).append(f)
     else:
         groups[_header(spark, files[0])] = files
     parts = []

@@ -244,3 +244,70 @@ def test_rolling_count_prefix_equals_halo(spark):
     from collections import Counter
     key = ["l_orderkey", "l_linenumber", "n"]
     assert Counter(tuple(r) for r in a.select(*key).collect()) == Counter(tuple(r) for r in b.select(*key).collect())
+
+
+@pytest.mark.parametrize("d", [5, 60])
+def test_pairwise_complete_correlations_equal_numpy(spark, d):
+    from flowsift.operators import stats
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) + 1e4
+    x[:, 1] = 7.0                                  # constant
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2], x[:150, 3], x[150:, 4] = np.nan, np.nan, np.nan  # empty; two that never meet
+    names = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([tuple(None if i % 2 and np.isnan(v) else float(v) for i, v in enumerate(r)) for r in x],
+                               ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r.a, r.b): r.r for r in stats.correlation_matrix(df, names).collect()}
+    assert len(got) == d * d
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            u, v = x[both, i], x[both, j]
+            if both.sum() < 2 or u.std() < 1e-9 or v.std() < 1e-9:
+                assert got[a, b] is None
+            else:
+                assert abs(got[a, b] - np.corrcoef(u, v)[0, 1]) < 1e-9
+
+
+def test_stored_sketches_scan_new_files_only(spark, tmp_path):
+    from flowsift.operators import sketches as K
+    from flowsift.operators.profile import cardinality
+    rng = np.random.default_rng(2)
+    rows = [(f"f{i % 4}", float(v), None if i % 9 == 0 else f"t{i % 700}", None) for i, v in enumerate(rng.normal(size=8000))]
+    df = spark.createDataFrame(rows, "source_file string, x double, t string, n double")
+    read = []
+
+    def of(files):
+        read.append(sorted(files))
+        return df.filter(F.col("source_file").isin(files))
+
+    store = str(tmp_path / "store")
+    assert K.update_store(spark, store, ["f0", "f1"], of) == ["f0", "f1"]
+    assert K.update_store(spark, store, ["f0", "f1", "f2", "f3"], of) == ["f2", "f3"]
+    assert K.update_store(spark, store, ["f3"], of) == [] and read == [["f0", "f1"], ["f2", "f3"]]
+    got = {r.column: r for r in K.merged_profile(spark.read.parquet(store)).collect()}
+    x = np.array([r[1] for r in rows])
+    assert got["x"].rows == 8000 and got["x"].files == 4 and got["x"].min == x.min() and got["x"].max == x.max()
+    for p, v in ((0.25, got["x"].q25), (0.5, got["x"].q50), (0.75, got["x"].q75)):
+        assert abs((x <= v).mean() - p) < 0.02
+    assert abs(got["x"].n_distinct - 8000) < 400 and abs(got["t"].n_distinct - 700) < 35
+    assert got["t"].missing == sum(r[2] is None for r in rows) and got["t"].q50 is None
+    assert got["n"].missing == 8000 and got["n"].n_distinct == 0 and got["n"].q50 is None
+    exact = {r["column"]: r["n_distinct"] for r in cardinality(df).collect()}
+    assert exact == {"source_file": 4, "x": len(set(x)), "t": len({r[2] for r in rows if r[2]}), "n": 0}
+
+
+def test_many_small_logs_of_several_headers(spark, tmp_path):
+    import gzip
+    from flowsift.sources.logs import read_flows
+    for i in range(120):
+        text = ["uid|duration|id.orig_h\nC{0}|{0}.5|h\n", "id.orig_h|uid|duration\nh|C{0}|-\n", "uid|proto\nC{0}|tcp\n"][i % 3].format(i)
+        if i % 5:
+            (tmp_path / f"{i}.log").write_text(text)
+        else:
+            with gzip.open(tmp_path / f"{i}.log.gz", "wt") as f:
+                f.write(text)
+    rows = read_flows(spark, str(tmp_path)).collect()
+    assert {r.uid for r in rows} == {f"C{i}" for i in range(120)} and len(rows) == 120
+    assert all((r.duration == int(r.uid[1:]) + .5) == (int(r.uid[1:]) % 3 == 0) for r in rows)
+    assert {r.proto for r in rows} == {None, "tcp"} and len({r.source_file for r in rows}) == 120
