@@ -69,16 +69,12 @@ class ByteCache(dict):
     def __missing__(self, key):
         got = self.make(key)
         if len(key) <= self.LONG:
-            self.keep(key, got)
+            self.held += self.OVERHEAD + len(key) + (len(got) if isinstance(got, bytes) else 0)
+            if self.held > self.limit:
+                self.clear()
+            self[key] = got
         return got
 
-    def keep(self, key, got) -> None:
-        size = self.OVERHEAD + len(key) + (len(got) if isinstance(got, bytes) else 0)
-        if self.held + size > self.limit:
-            self.clear()
-        self[key] = got
-        self.held += size
-
     def clear(self) -> None:
         super().clear()
         self.held = 0

@@ -20,7 +20,6 @@ by one; a null doc_id is an id like others; an empty table gives an empty result
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from array import array
 
@@ -55,12 +54,13 @@ class WordTokenizer:
 
     # first code point beyond the Latin blocks, for which Python's rules are taken to be the tokenizer's
     BEYOND_LATIN = "\u0250"
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words = ByteCache(self.word, 48 << 20)  # of words, and of the pieces that the pattern makes of them
+        self.words = ByteCache(self.word, 128 << 20)  # of words, and of the pieces that the pattern makes of them
         self.letters = _byte_letters()
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -71,14 +71,14 @@ class WordTokenizer:
 
     def word(self, w: str) -> bytes:
         low = w.lower()
-        if w.isascii() and w.isalpha():
+        latin = low.isascii() or max(low) < self.BEYOND_LATIN  # these are their own normal form as well
+        if latin and low.isalpha():  # one piece
             return self.piece(w) if low == w else self.words[low]
-        if ("<|" not in w and max(low) < self.BEYOND_LATIN and w.isprintable()
-                and (w.isascii() or unicodedata.is_normalized("NFC", w))):
+        if latin and w[-1] in self.MARKS and low[:-1].isalpha():  # letters and a mark: two
+            return self.words[low[:-1]] + self.words[w[-1]]
+        if latin and "<|" not in w and w.isprintable():
             pieces = self.split.findall(low)
-            if pieces == [w]:
-                return self.piece(w)
-            return b"".join(map(self.words.__getitem__, pieces))
+            return self.piece(w) if pieces == [w] else b"".join(map(self.words.__getitem__, pieces))
         return self.whole(w)
 
     def whole(self, text: str) -> bytes:

@@ -43,23 +43,24 @@ from pyspark.sql import types as T
 
 from flowsift.llm.base import quoted
 from flowsift.llm.packing import tokenizer_of
+from flowsift.session import maybe_broadcast
 
 END_ID = 2
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18   # a shard's arrays stay within a core's cache
 LEAST_COUNT = 16      # occurrences that a pair must have to become a rule
 LEAST_GAIN = 0.03     # share of the sequence that a round must save for another one
 BLOCK = 1024          # symbols between two entries of the position table
 MAGIC = b"RPG1"
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions whose pair is frequent, the pair's rank there: 0 is the most frequent)."""
+def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions whose pair is frequent, the pair's rank there: 0 is the most frequent, the pairs by rank)."""
     n, bits = len(seq) - 1, int(seq.max()).bit_length()
     key = (seq[:-1].astype(np.uint64) << np.uint64(bits)) | seq[1:]
     places = n.bit_length()
     if 2 * bits + places <= 64:  # pair and position in one number: sorts fast
         both = np.sort((key << np.uint64(places)) | np.arange(n, dtype=np.uint64))
-        order = (both & np.uint64((1 << places) - 1)).astype(np.int64)
+        order = both.view(np.int64) & np.int64((1 << places) - 1)
         key = both >> np.uint64(places)
     else:
         order = np.argsort(key, kind="stable")
@@ -67,12 +68,15 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.append(new, n))
     often = np.flatnonzero(counts >= least)
-    rank = np.full(len(counts), -1, np.int64)
-    rank[often[np.argsort(-counts[often], kind="stable")]] = np.arange(len(often))
-    of = np.empty(n, np.int64)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    key = key[new[often]]
+    pairs = np.c_[key >> np.uint64(bits), key & np.uint64((1 << bits) - 1)].astype(np.uint32)
+    rank = np.full(len(counts), -1, np.int32)
+    rank[often] = np.arange(len(often))
+    of = np.empty(n, np.int32)
     of[order] = np.repeat(rank, counts)
     at = np.flatnonzero(of >= 0)
-    return at, of[at]
+    return at, of[at], pairs
 
 
 def choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -96,24 +100,21 @@ def compress(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN
     base = int(seq.max()) + 1 if len(seq) else 0
     made = 0
     while len(seq) > 1:
-        at, rank = frequent_pairs(seq, least)
+        at, rank, pairs = frequent_pairs(seq, least)
         if not len(at):
             break
         mine = choose(at, rank)
         at, rank = at[mine], rank[mine]
-        uses = np.bincount(rank)
-        worth = uses >= least
+        worth = np.bincount(rank, minlength=len(pairs)) >= least
         keep = worth[rank]
         at, rank = at[keep], rank[keep]
         if not len(at):
             break
-        name = np.cumsum(worth) - 1  # rank -> number of the rule in this round
-        number = name[rank]
-        rule = np.empty((int(worth.sum()), 2), np.uint32)
-        rule[number] = np.c_[seq[at], seq[at + 1]]
+        rule = pairs[worth]
+        name = (np.cumsum(worth) + (base + made - 1)).astype(np.uint32)  # rank -> nonterminal
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq[at] = (base + made + number).astype(np.uint32)
+        seq[at] = name[rank]
         saved, before = len(at), len(seq)
         seq = seq[stay]
         rules.append(rule)
@@ -157,12 +158,15 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.sizes(symbols)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         deep = symbols >= self.base
-        out[at[~deep]] = symbols[~deep]
+        plain = ends[~deep] - 1
+        rest = np.ones(len(out), bool)  # what is no plain symbol's place is the rules', in their order
+        rest[plain] = False
+        out[plain] = symbols[~deep]
         rule = symbols[deep] - np.uint32(self.base)
-        out[_spread(at[deep], size[deep])] = self.flat[_spread(self.starts[rule], self.lengths[rule])]
+        out[rest] = self.flat[_spread(self.starts[rule], self.lengths[rule])]
         return out
 
 
@@ -277,6 +281,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     place = shards.select("part", "shard", "n_ids").withColumn("inside", F.coalesce(inside, F.lit(0)))
     place = place.join(starts, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("start"))
+    place = maybe_broadcast(place)  # three numbers a shard: else the bodies would be shuffled
     schema = T.StructType([T.StructField("doc_id", shards.schema["doc_ids"].dataType.elementType),
                            *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])
     if with_ids:
