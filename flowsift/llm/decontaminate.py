@@ -6,20 +6,24 @@ lengths) and collected in shards of bounded size; each shard is broadcast and
 the texts are scanned once for it (benchmarks of a few MB are one shard). An
 item's impacts are divided by its own threshold, so that a passage is retrieved
 when its score reaches 1. The threshold is the least BM25 score of any passage
-that holds SHARE of the item's shingles: the item's full score less its
-heaviest terms, as many as may be absent then. An item of no more distinct words
-than that (number grids, repeated words) still has so many shingles held that one
-of them weighs as much as the lightest of that rank: this is its threshold. So
-retrieval loses nothing that verification would accept.
+that holds SHARE of the shingles of a part that decides (below): the part's full
+score less its heaviest terms, as many as may be absent then. A part of no more
+distinct words than that (number grids, repeated words) still has so many shingles
+held that one of them weighs as much as the lightest of that rank: this is its
+threshold. The least one over the parts is the item's, so retrieval loses nothing
+of a passage that verification would accept.
 
 A text is cut into passages (twice the longest item, half overlapping), each
 passage is a query. WAND's first bound (sum of list maxima) and the bounds of
 all blocks are evaluated for a batch of passages at once; the pivoting search
 then runs inside the blocks that can reach the threshold.
 
-Verification: the item's distinct five-word shingles (its words as one if
-fewer) in the passage, at least SHARE of them; question (all but the last
-sentence) and answer (the last sentence) overlap are reported.
+Verification: the share of distinct five-word shingles (the words as one if fewer)
+that the document holds of the item, of its question (all but the last sentence)
+and of its answer (the last sentence). A document holds an item if it holds SHARE
+of the whole, question and answer together, or SHARE of the question alone, where
+that has LEAST_QUESTION shingles or more (a shorter one is no evidence). All three
+shares are reported.
 
 Words are lower-cased runs of letters, digits and underscores. Nulls and ties:
 null or empty texts and items without words match nothing; equal items are all
@@ -32,6 +36,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -41,13 +46,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.llm.base import quoted
+from flowsift.session import cut_lineage
 
 K1, B = 1.2, 0.75
-SHARE = 0.8            # of an item's shingles that a passage must hold
+SHARE = 0.8            # of the shingles of an item, or of its question, that must be held
+LEAST_QUESTION = 8     # shingles of a question that decides alone
 SHINGLE = 5
 BLOCK = 8              # items in a block of the index
 SHARD_BYTES = 16 << 20  # text of the items in a broadcast shard
 MIN_PASSAGE = 128      # words
+BOUNDS = 1 << 22       # block bounds that are added up at once
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -76,9 +84,22 @@ class Vocabulary(dict):
         return -1
 
 
+def least_score(part: set[str], weight: dict[str, float]) -> float:
+    """The least score of a passage that holds SHARE of a part's shingles."""
+    lost = int((1 - SHARE) * len(part) + 1e-9)
+    heavy = sorted((weight[w] for w in {w for s in part for w in s.split(" ")}), reverse=True)
+    # every absent term takes a shingle of its own with it, so at most `lost` terms may be absent
+    if lost < len(heavy):
+        return sum(heavy[lost:])
+    # few words in many shingles: the terms of the shingles that must be held
+    sums = sorted(sum(weight[w] for w in sorted(set(s.split(" ")))) for s in part)
+    return sums[len(part) - lost - 1]
+
+
 class IndexShard:
     """Inverted index of some items: posting lists by item with impacts over the
-    item's threshold, their maxima, and maxima by block of items."""
+    item's threshold, their maxima, and for each list the blocks of items it has,
+    with the maxima there."""
 
     def __init__(self, items: list[tuple]):
         """items: (item_id, text, terms, impacts)."""
@@ -89,17 +110,13 @@ class IndexShard:
         for at, (_, text, terms, impacts) in enumerate(items):
             ws = words(text)
             whole = shingles(ws)
-            q, a = question_and_answer(text)
-            self.parts.append((whole, shingles(words(q)), shingles(words(a)), min(SHINGLE, len(ws))))
+            q, a = (shingles(words(x)) for x in question_and_answer(text))
+            self.parts.append((whole, q, a))
             longest = max(longest, len(ws))
-            lost = int((1 - SHARE) * len(whole) + 1e-9)
-            heavy = sorted(impacts, reverse=True)
-            # every absent term takes a shingle of its own with it, so at most `lost` terms may be absent
-            threshold = sum(heavy[lost:])
-            if lost >= len(heavy):  # few words in many shingles: the terms of the shingles that must be held
-                weight = dict(zip(terms, impacts))
-                sums = sorted(sum(weight[w] for w in sorted(set(s.split(" ")))) for s in whole)
-                threshold = sums[len(whole) - lost - 1]
+            weight = dict(zip(terms, impacts))
+            threshold = least_score(whole, weight)
+            if len(q) >= LEAST_QUESTION:
+                threshold = min(threshold, least_score(q, weight))
             for t, w in zip(terms, impacts):
                 k = self.vocabulary.get(t)
                 if k is None:
@@ -107,15 +124,21 @@ class IndexShard:
                     lists.append([])
                 lists[k].append((at, w / threshold))
         self.stride = max(MIN_PASSAGE // 2, longest)
-        n = len(lists)
         self.items = [[i for i, _ in x] for x in lists]
         self.impact = [[w for _, w in x] for x in lists]
         self.top = np.array([max(x) for x in self.impact], np.float64)
-        self.block_top = np.zeros((n, -(-len(items) // BLOCK)), np.float32)
-        for k, x in enumerate(lists):
-            for i, w in x:
-                # rounded up: a bound may only be too large
-                self.block_top[k, i // BLOCK] = max(self.block_top[k, i // BLOCK], np.float32(w * (1 + 1e-6)))
+        self.n_blocks = -(-len(items) // BLOCK)
+        self.blocks: list[list[int]] = []        # of each list
+        self.block_top: list[list[float]] = []
+        for x in lists:
+            best: dict[int, float] = {}
+            for i, w in x:  # rounded up: a bound may only be too large
+                best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), w * (1 + 1e-6))
+            self.blocks.append(sorted(best))
+            self.block_top.append([best[k] for k in self.blocks[-1]])
+        self.list_at = np.cumsum([0, *map(len, self.blocks)])
+        self.all_blocks = np.array([k for x in self.blocks for k in x], np.int64)
+        self.all_tops = np.array([w for x in self.block_top for w in x], np.float64)
 
     def search(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND over the blocks whose bound reaches 1: (item, score) of
@@ -129,10 +152,10 @@ class IndexShard:
             lo, hi = block * BLOCK, (block + 1) * BLOCK
             lists = []  # [next item, its place, list, impacts, block maximum]
             for t in terms:
-                top = self.block_top[t, block]
-                if top:
+                k = bisect_left(self.blocks[t], block)
+                if k < len(self.blocks[t]) and self.blocks[t][k] == block:
                     at = bisect_left(self.items[t], lo)
-                    lists.append([self.items[t][at], at, self.items[t], self.impact[t], float(top)])
+                    lists.append([self.items[t][at], at, self.items[t], self.impact[t], self.block_top[t][k]])
             while lists:
                 lists.sort(key=itemgetter(0))
                 bound, pivot = 0.0, hi
@@ -185,32 +208,44 @@ class IndexShard:
         if len(win):
             starts = np.flatnonzero(np.r_[True, win[1:] != win[:-1]])
             ends = np.r_[starts[1:], len(win)]
-            for lo in range(0, len(starts), 4096):  # block bounds, a slice of passages at a time
-                s, e = starts[lo:lo + 4096], ends[lo:lo + 4096]
-                sums = np.add.reduceat(self.block_top[term[s[0]:e[-1]]], s - s[0], axis=0)
-                for k in np.flatnonzero(sums.max(axis=1) >= 1 - 1e-4):
-                    out[owner[win[s[k]]]] = term[s[k]:e[k]].tolist(), np.flatnonzero(sums[k] >= 1 - 1e-4).tolist()
+            at_once = max(1, BOUNDS // self.n_blocks)
+            for lo in range(0, len(starts), at_once):  # block bounds, a slice of passages at a time
+                s, e = starts[lo:lo + at_once], ends[lo:lo + at_once]
+                t, row = term[s[0]:e[-1]], np.repeat(np.arange(len(s)), e - s)
+                for cut in np.array_split(np.arange(len(t)), max(1, int((self.list_at[t + 1] - self.list_at[t]).sum()) // BOUNDS + 1)):
+                    size = self.list_at[t[cut] + 1] - self.list_at[t[cut]]
+                    upto = np.cumsum(size)
+                    place = np.repeat(self.list_at[t[cut]] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+                    key = np.repeat(row[cut], size) * self.n_blocks + self.all_blocks[place]
+                    part = np.bincount(key, self.all_tops[place], len(s) * self.n_blocks)
+                    sums = part if cut[0] == 0 else sums + part
+                sums = sums.reshape(len(s), self.n_blocks)
+                for k in np.flatnonzero(sums.max(axis=1) >= 1 - 1e-6):
+                    out[owner[win[s[k]]]] = term[s[k]:e[k]].tolist(), np.flatnonzero(sums[k] >= 1 - 1e-6).tolist()
         return all_words, out
 
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple]]:
-        """Per text: item -> (score, shared shingles, question and answer overlap), verified."""
-        out: list[dict[int, tuple]] = [{} for _ in texts]
+        """Per text: item -> (best score, overlap of the whole, the question and the answer), verified."""
+        scores: list[dict[int, float]] = [{} for _ in texts]
         all_words, live = self.passages(texts)
-        for (n, p), (terms, blocks) in live.items():
-            held: dict[int, set[str]] = {}
-            ws = all_words[n][p * self.stride:(p + 2) * self.stride]
+        for (n, _), (terms, blocks) in live.items():
             for item, score in self.search(terms, blocks):
-                whole, q, a, k = self.parts[item]
-
-                def share(part: set[str]) -> float:
-                    size = min((s.count(" ") + 1 for s in part), default=1)
-                    if size not in held:
-                        held[size] = shingles(ws, size)
-                    return len(part & held[size]) / max(1, len(part))
-
-                own = share(whole)
-                if own >= SHARE - 1e-12 and own > out[n].get(item, (0, 0))[1]:
-                    out[n][item] = (score, own, share(q), share(a))
+                scores[n][item] = max(score, scores[n].get(item, 0.0))
+        out: list[dict[int, tuple]] = [{} for _ in texts]
+        for n, found in enumerate(scores):
+            held: dict[int, set[str]] = {}  # the document's shingles by size
+
+            def share(part: set[str]) -> float:
+                size = min((s.count(" ") + 1 for s in part), default=1)
+                if size not in held:
+                    held[size] = shingles(all_words[n], size)
+                return len(part & held[size]) / max(1, len(part))
+
+            for item, score in found.items():
+                whole, q, a = self.parts[item]
+                shares = share(whole), share(q), share(a)
+                if shares[0] >= SHARE - 1e-12 or (len(q) >= LEAST_QUESTION and shares[1] >= SHARE - 1e-12):
+                    out[n][item] = (score, *shares)
         return out
 
 
@@ -229,14 +264,14 @@ def _terms(batches):
                                           pa.array(cols[4], pa.int64())], names=["n", "text", "length", "term", "tf"])
 
 
-def build_index(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[IndexShard]:
-    """The index shards of a benchmark: statistics over all items by Spark."""
+def build_index(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[IndexShard]:
+    """The index shards of a benchmark, one at a time: statistics over all items by Spark."""
     numbered = items.select(quoted(item_id).alias("item_id"), quoted(text).alias("text"),
                             F.xxhash64(quoted(item_id), quoted(text)).alias("n"))
     rows = numbered.select("n", "text").distinct().mapInArrow(_terms, "n long, text string, length long, term string, tf long")
     n, total = rows.groupBy("n").agg(F.first("length").alias("length")).agg(F.count("*"), F.sum("length")).first()
     if not n:
-        return []
+        return
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (total / n)))
@@ -244,12 +279,12 @@ def build_index(items: DataFrame, item_id: str = "item_id", text: str = "text")
         "term", impact.alias("w")))).alias("t")).join(numbered, "n"))
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    out = []
-    for k in range(shards):  # a shard at a time: the driver holds one, of bounded size
+    if shards > 1:
+        made = cut_lineage(made)
+    for k in range(shards):  # the driver holds one, of bounded size
         got = made.filter(F.pmod("n", F.lit(shards)) == k).orderBy("item_id", "text").collect()
         if got:
-            out.append(IndexShard([(r.item_id, r.text, [x.term for x in r.t], [x.w for x in r.t]) for r in got]))
-    return out
+            yield IndexShard([(r.item_id, r.text, [x.term for x in r.t], [x.w for x in r.t]) for r in got])
 
 
 def contaminated_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",

@@ -110,15 +110,28 @@ FROM sizes JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) ON id = doc_
 
 DECONTAMINATION = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-i5 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
-              lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM iw WHERE len(w) >= 5),
-d5 AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3),
-              lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM dw WHERE len(w) >= 5),
-size AS (SELECT item_id, count(*) AS n FROM i5 GROUP BY item_id)
-SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS overlap
-FROM d5 JOIN i5 USING (k) JOIN size USING (item_id)
-GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+said AS (SELECT item_id, text, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'),
+                lambda x: regexp_matches(x, '[\p{L}\p{N}_]')) AS s FROM benchmark WHERE text IS NOT NULL),
+parts AS (SELECT item_id, 'whole' AS part, text FROM said
+          UNION ALL SELECT item_id, 'question', CASE WHEN len(s) > 1 THEN array_to_string(s[:-2], ' ') ELSE text END FROM said
+          UNION ALL SELECT item_id, 'answer', CASE WHEN len(s) > 1 THEN s[-1] ELSE text END FROM said),
+pw AS (SELECT item_id, part, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM parts),
+pk AS (SELECT DISTINCT item_id, part, least(5, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+              lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS k FROM pw WHERE len(w) > 0),
+dk AS (SELECT DISTINCT doc_id, t.n, unnest(list_transform(range(1, len(w) - t.n + 2),
+              lambda i: array_to_string(w[i:i + t.n - 1], ' '))) AS k
+       FROM dw, (SELECT DISTINCT n FROM pk) t WHERE len(w) >= t.n),
+size AS (SELECT item_id, part, count(*) AS total FROM pk GROUP BY ALL),
+held AS (SELECT doc_id, item_id, part, count(*) AS c FROM dk JOIN pk USING (n, k) GROUP BY ALL),
+met AS (SELECT DISTINCT doc_id, item_id FROM held),
+shares AS (SELECT m.doc_id, m.item_id, s.part, s.total, coalesce(h.c, 0) / s.total AS share
+           FROM met m JOIN size s USING (item_id) LEFT JOIN held h USING (doc_id, item_id, part)),
+pairs AS (SELECT doc_id, item_id, max(share) FILTER (part = 'whole') AS overlap,
+                 max(share) FILTER (part = 'question') AS question_overlap, max(total) FILTER (part = 'question') AS q,
+                 max(share) FILTER (part = 'answer') AS answer_overlap FROM shares GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, round(overlap, 6) AS overlap, round(question_overlap, 6) AS question_overlap,
+       round(answer_overlap, 6) AS answer_overlap
+FROM pairs WHERE overlap >= 0.8 OR (q >= 8 AND question_overlap >= 0.8)
 """
 
 TOP_K = """

@@ -64,7 +64,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bm25_decontamination", oracles.DECONTAMINATION)
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in (
+        "overlap", "question_overlap", "answer_overlap")])
 
 
 @query("op7_contextual_pii")
