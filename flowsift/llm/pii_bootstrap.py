@@ -3,11 +3,19 @@
 Base patterns find emails, IP addresses, payment cards (Luhn) and phone numbers.
 These seeds induce lexical patterns: the word before, the two words before, and
 the word after. The same contexts are taken of other identifier-like strings
-(eight or more letters, digits and ``+/_-`` with a digit). Spark then scores
-the graph of patterns and instances in rounds: a pattern's confidence is the
-share of its instances' scores, among at least MIN_SUPPORT scored instances; an
-unseen instance's score is that of its best confident pattern. After ROUNDS
-rounds, unseen identifiers in a pattern of CONFIDENT or more are found.
+(eight or more letters, digits and ``+/_-`` with a digit). These have a fourth
+pattern besides: the word before with the punctuation between (``token = "``),
+and the string's shape (hexadecimal, mixed case, lower case); numbers alone have
+none, as the base kinds' own checks decide them. Strings of a strong shape (STRONG
+or more hexadecimal digits, or STRONG_MIXED or more characters of all three
+sorts) are seeds of that pattern.
+
+Spark then scores the graph of patterns and instances in rounds: a pattern's
+confidence is the share of its instances' scores, among at least MIN_SUPPORT
+scored instances; an unseen instance's score is that of its best confident
+pattern. After ROUNDS rounds, identifiers in a pattern of CONFIDENT or more are
+found: so a strong string alone is none, and a weaker one in a place where such
+strings stand is.
 
 Offsets count code points. Two patterns are matched on a copy of the text of
 the same length, in which characters that end a match anyway are replaced;
@@ -38,6 +46,8 @@ CARD = r"[0-9][0-9\x20-]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OTHER = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}"
 
+STRONG = 32          # hexadecimal digits, letters among them, that make a seed
+STRONG_MIXED = 20    # characters with both cases and digits that do
 MIN_SUPPORT = 5      # scored instances that a pattern needs
 CONFIDENT = 0.9      # confidence at which a pattern finds unseen identifiers
 ROUNDS = 3
@@ -121,21 +131,37 @@ def spell(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _shape(text: Column) -> tuple[Column, Column]:
+    """(shape of an identifier-like string, NULL of a number; whether it is a strong one)."""
+    low = F.lower(text)
+    digit, hexadecimal = low.rlike("[0-9]"), low.rlike("^[0-9a-f]+$")
+    letter = F.when(hexadecimal, low.rlike("[a-f]")).otherwise(low.rlike("[a-z]"))
+    mixed = text.rlike("[a-z]") & text.rlike("[A-Z]") & digit
+    shape = F.when(~letter, None).when(hexadecimal, "hex").when(mixed, "mixed").otherwise("plain")
+    strong = digit & letter & ((hexadecimal & (F.length(low) >= STRONG)) | (mixed & (F.length(low) >= STRONG_MIXED)))
+    return shape, strong
+
+
 def _graph(mentions: DataFrame) -> DataFrame:
     """Edges (pattern, instance, seed): each context of each mention, once."""
     before, after = F.lower("before"), F.lower("after")
     one = F.regexp_extract(before, r"(\S+)\s*$", 1)
     two = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
     right = F.regexp_extract(after, r"^\S*\s+(\S+)", 1)
-    patterns = F.filter(F.array(*[F.when(x != "", F.concat(F.lit(side), x)) for side, x in (
-        ("1 ", one), ("2 ", two), ("3 ", right))]), lambda p: p.isNotNull())
-    return mentions.withColumn("pattern", F.explode(patterns))
+    shape, strong = _shape(F.col("text"))
+    place = F.regexp_extract(before, r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]*)$", 1)
+    formed = F.when((F.col("kind") == FOUND) & (place != ""), F.concat(place, F.lit("|"), shape))
+    base = F.col("kind") != FOUND
+    patterns = F.filter(F.array(*[F.when(x != "", F.struct(F.concat(F.lit(side), x).alias("pattern"), seed.alias("seed")))
+                                  for side, x, seed in (("1 ", one, base), ("2 ", two, base), ("3 ", right, base),
+                                                        ("4 ", formed, strong))]), lambda p: p.isNotNull())
+    return mentions.withColumn("edge", F.explode(patterns)).select(*mentions.columns, "edge.pattern", "edge.seed")
 
 
 def confident_patterns(mentions: DataFrame) -> DataFrame:
     """(pattern, confidence) after ROUNDS rounds over the graph of ``mentions``."""
     edges = cut_lineage(_graph(mentions).groupBy("pattern", F.lower("text").alias("instance"))
-                        .agg(F.max(F.col("kind") != FOUND).alias("seed")))
+                        .agg(F.max("seed").alias("seed")))
     known = None  # scores of unseen instances
     for _ in range(ROUNDS):
         scored = edges.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
@@ -179,4 +205,4 @@ def personal_data_digest(df: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", *map(count, KINDS),
         F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        spell(F.array_sort(F.concat("base", "found"))).alias("spans"))
+        spell(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
