@@ -1,13 +1,14 @@
 """Quality classifier: Naive Bayes support vectors.
 
-A text's features are indicators of hashed n-grams: its words, and runs of one
-to three word shapes (upper, lower, digits and other characters, repeats
-collapsed; a word that repeats the one before it has a mark). Each indicator is
-scaled by its log-count ratio between the classes, counted by Spark over all
-learning rows; a linear hinge-loss model is fitted on the scaled indicators by
-dual coordinate descent, mixed with its mean weight as usual for this model,
-and its margin becomes a probability by a logistic fit on rows the descent
-hasn't seen.
+A text's features are indicators of hashed n-grams: its words and pairs of words,
+and runs of one to three word shapes (upper, lower, digits and other characters,
+repeats collapsed; a word that repeats the one before it has a mark). Each
+indicator is scaled by its log-count ratio between the classes, counted by Spark
+over all learning rows; a linear hinge-loss model is fitted on the scaled
+indicators by dual coordinate descent and interpolated with Naive Bayes: a scaled
+indicator weighs (1 - MIX) * mean|w| + MIX * w, so an n-gram that no fitted row
+holds keeps its ratio. The margin becomes a probability by a logistic fit on rows
+the descent hasn't seen.
 
 The descent visits one row at a time, so it runs in one process, on at most
 FIT_ROWS learning rows, drawn by a hash of the id (a fifth of them for the
@@ -37,7 +38,7 @@ from flowsift.session import cut_lineage, maybe_broadcast
 BITS = 18             # the feature space has 2 ** BITS indicators
 FIT_ROWS = 20_000     # learning rows that the descent may use
 SMOOTH = 1.0
-MIX = 0.25            # share of the fitted weights, against their mean size
+MIX = 0.25            # share of the fitted weights, against their mean size, which weighs the plain ratios
 COST = 1.0
 EPOCHS = 8
 
@@ -69,7 +70,8 @@ def features(text: str | None) -> np.ndarray:
     form[1:][word[1:] == word[:-1]] ^= np.uint64(0x5555555555555555)
     two = (form[:-1] * _M) ^ form[1:]
     three = (two[:-1] * _M) ^ form[2:]
-    parts = [word + np.uint64(1), form * np.uint64(3), two * np.uint64(5), three * np.uint64(7)]
+    pair = (word[:-1] * _M) ^ word[1:]
+    parts = [word + np.uint64(1), form * np.uint64(3), two * np.uint64(5), three * np.uint64(7), pair * np.uint64(11)]
     h = np.concatenate([p * _M for p in parts]) >> np.uint64(64 - BITS)
     return np.unique(h.astype(np.int32))
 
@@ -125,6 +127,12 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
     return w
 
 
+def interpolated(w: np.ndarray, seen: np.ndarray, mix: float = MIX) -> np.ndarray:
+    """Weights of the scaled indicators between the fitted ones and their mean size over
+    the indicators ``seen`` in learning rows; others have a ratio of about 0 anyway."""
+    return (1 - mix) * float(np.abs(w[seen]).mean() if len(seen) else 0) + mix * w
+
+
 def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(slope, shift) of P(y = 1 | margin), by Newton steps with smoothed targets."""
     n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
@@ -167,8 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
         hold = np.zeros(len(y), bool)  # too few rows to set some aside
     w = descend([f for f, h in zip(rows_f, hold) if not h], y[~hold], scale)
-    w = (1 - MIX) * np.abs(w).mean() * np.sign(w) + MIX * w
-    model = QualityModel(w * scale, scale)
+    model = QualityModel(interpolated(w, counts.f.to_numpy()) * scale, scale)
     on = hold if hold.any() else ~hold
     m = np.array([model.margin(f) for f, o in zip(rows_f, on) if o])
     model.slope, model.shift = logistic(m, y[on])

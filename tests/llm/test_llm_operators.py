@@ -214,6 +214,35 @@ def test_posterior_bounds():
 
 # 4 quality
 
+def test_quality_equals_brute_force(spark):
+    """Counts, ratios, descent and interpolation of a small table, from plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "a", "the"] if i % 2 else ["spam", "junk", "a", "the"], 6)), i % 2)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    model = quality_nbsvm.fit_quality(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    f = {i: set(quality_nbsvm.features(t).tolist()) for i, t, _ in rows}
+    n = {c: np.full(2 ** quality_nbsvm.BITS, quality_nbsvm.SMOOTH) for c in (0, 1)}
+    for i, _, c in rows:
+        n[c][list(f[i])] += 1
+    ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+    assert np.allclose(model.scale, ratio)
+    seen = sorted(set().union(*f.values()))
+    base = model.weights[seen] / ratio[seen]  # (1 - MIX) * mean|w| + MIX * w
+    at0 = np.setdiff1d(np.arange(1000), seen)  # indicators that no row holds have w = 0
+    mean = (model.weights[at0] / ratio[at0])[0] / (1 - quality_nbsvm.MIX)
+    w = (base - (1 - quality_nbsvm.MIX) * mean) / quality_nbsvm.MIX
+    assert np.isclose(np.abs(w).mean(), mean)
+    # w minimises the hinge loss over unit rows: no dual coordinate of the fitted rows can still move much
+    x = {i: np.where(np.isin(seen, list(v)), ratio[seen], 0) / np.sqrt((ratio[list(v)] ** 2).sum()) for i, v in f.items()}
+    margins = np.array([(1 if c else -1) * (x[i] @ w) for i, _, c in rows])
+    assert (margins > 0).all() and margins.min() > 0.9
+    # a word pair and a word are features; a fresh text of known words is scored by them
+    a, b = (set(quality_nbsvm.features(t).tolist()) for t in ("good fine", "good"))
+    assert b <= a and len(a - b) >= 2
+    assert model.score("good fine good") > 0.5 > model.score("junk spam junk")
+
+
 def test_quality_learns_and_handles_edges(spark):
     d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
     lab = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet")
@@ -294,6 +323,32 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(spark, df.limit(0), items).count() == 0
 
 
+def test_question_or_whole_decides(spark):
+    """The full question with no or another answer is found; a short question or an answer alone is not."""
+    q = "Which of the many rivers that run to the northern sea is the longest one of all of them?"
+    items = spark.createDataFrame([(1, f"{q} It is the one that the old maps call the grey river."),
+                                   (2, "Who wrote it? Nobody can tell for sure who wrote that long and old book of tales.")],
+                                  "item_id long, text string")
+    filler = " ".join(f"w{i}" for i in range(200))
+    made = [f"{filler} {q} {filler}", f"{q} Nobody knows.", f"{filler} It is the one that the old maps call the grey river. {filler}",
+            f"{filler} who wrote it {filler}", f"{q} It is the one that the old maps call the grey river."]
+    got = {(r.doc_id, r.item_id): (round(r.overlap, 2), r.question_overlap, r.answer_overlap)
+           for r in decontaminate.contaminated_pairs(spark, docs(spark, made), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (4, 1)}
+    assert got[0, 1][1:] == (1.0, 0.0) and got[4, 1] == (1.0, 1.0, 1.0) and got[0, 1][0] < 0.8
+    assert [r.doc_id for r in decontaminate.drop_contaminated(spark, docs(spark, made), items).collect()] == [2, 3]
+
+
+def test_shards_and_bound_slices_change_nothing(spark, monkeypatch):
+    items = spark.read.parquet(SF + "/benchmark.parquet")
+    df = spark.read.parquet(SF + "/documents.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated_pairs(spark, df, items).select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(decontaminate, "BOUNDS", 50)
+    got = sorted(map(tuple, decontaminate.contaminated_pairs(spark, df, items).select("doc_id", "item_id").collect()))
+    assert got == want and want
+
+
 def test_wand_finds_what_scoring_all_finds():
     rng = np.random.default_rng(6)
     vocab = [f"t{i}" for i in range(60)]
@@ -309,7 +364,7 @@ def test_wand_finds_what_scoring_all_finds():
             for i, w in zip(index.items[t], index.impact[t]):
                 score[i] = score.get(i, 0) + w
         want = {i for i, s in score.items() if s >= 1 - 1e-9}
-        assert {i for i, _ in index.search(q, list(range(index.block_top.shape[1])))} == want
+        assert {i for i, _ in index.search(q, list(range(index.n_blocks)))} == want
 
 
 def test_items_of_few_words_and_many_shingles(spark):
@@ -521,3 +576,17 @@ def test_line_dedup(spark):
     same = docs(spark, ["a\nb\nc", "a\nb\nc", "q\na\nb\nc"], [1, 1, None])
     assert sorted(str(r.text) for r in line_dedup.dedup_lines(same).collect()) == ["a\nb\nc", "a\nb\nc", "q"]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_strong_shapes_are_seeds_of_their_contexts(spark):
+    rng = np.random.default_rng(7)
+    secret = ["".join(rng.choice(list("0123456789abcdef"), 40)) + "0a" for _ in range(12)]
+    texts = [f"word{i % 3}x and token = \"{s}\" then" for i, s in enumerate(secret)]
+    texts += ["here TOKEN = \"ab12cd34ef56\" too",        # a weaker one in the same place
+              f"hash {secret[0][::-1]} alone",           # a strong one in no such place
+              'my token = "none" at all', 'token = "12345678901234567"', "release 2024-01-02 of 10-20-3000"]
+    got = {r.doc_id: (r.spans, r.n_found) for r in pii_bootstrap.personal_data_digest(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts[:13]):
+        at = t.index('"') + 1
+        assert got[i] == (f"id:{at}:{t.index(chr(34), at)}", 1)
+    assert all(got[i] == ("", 0) for i in range(13, len(texts)))
