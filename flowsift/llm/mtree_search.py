@@ -11,12 +11,14 @@ are split, and each group is loaded into an M-tree by one task: pages of at
 most PAGE entries with a router, a covering radius and every entry's distance
 to it. The pages are rows of a table that is written once.
 
-Queries come in blocks of about QUERY_BLOCK, broadcast one block at a time, and
-search each tree best-first: the page with the highest possible score next,
-until it can't reach the k-th best. A page's stored distances give each
+A tree and a block of queries (QUERY_BLOCK at most, about; fewer where tasks would
+be idle) meet in a group of their own; queries stay in Spark. Each query searches
+best-first: the page with the highest possible score next, until it can't reach
+the k-th best. A page's stored distances give each
 entry's bound |d(q, router) - d(router, entry)| before any distance is computed;
 only entries that can still reach the k-th best are computed. All trees' lists
-of a query are merged by score. No pair table exists, results are exact.
+of a query are merged by score. No pair table exists, results are exact: squared
+norms of 2^61 or more, whose sums 64 bits might not hold, raise an error.
 
 Nulls and ties: null vectors, vectors with null or non-finite components, and
 rows of null vec_id take no part; shorter vectors count as padded with zeros;
@@ -43,7 +45,7 @@ SCALE = 64
 PAGE = 512            # entries of a page
 FAN_OUT = 16          # children of an inner node
 TREE_ROWS = 16_000    # entries of a tree, about
-QUERY_BLOCK = 4_096   # queries that are broadcast at once, about
+QUERY_BLOCK = 4_096   # queries that meet a tree in one task, about
 ROUTERS = 64          # groups that entries are dealt to, at most
 
 PAGES = ("tree int, page int, leaf boolean, router binary, radius double, parent_distance double, "
@@ -202,6 +204,8 @@ def top_k(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddin
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n or not dim:
         return empty if not n else _without_components(rows, is_query, k)
+    if norm2 >= 2.0 ** 61:
+        raise ValueError("vectors are too long for exact 64-bit scores")
     dtype = np.float64 if norm2 * 4 < 2 ** 52 else np.int64  # exact either way
     pad = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v")))
     rows = rows.select("vec_id", pad.alias("v"))
@@ -241,29 +245,29 @@ def top_k(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embeddin
                         .groupBy("tree").applyInPandas(load, PAGES))
 
     queries = rows.filter(is_query(F.col("vec_id")))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if not block:
-            continue
-        sent = spark.sparkContext.broadcast(([r.vec_id for r in block], np.array([r.v for r in block], np.int64)))
-
-        got = pages.groupBy("tree").applyInPandas(_searcher(sent, dim, dtype, norm2, k), "query_id long, vec_id long, score long")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
+    asked, busy = queries.count(), 3 * spark.sparkContext.defaultParallelism
+    if not asked:
         return empty
+    blocks = max(math.ceil(asked / QUERY_BLOCK), min(math.ceil(asked / 64), math.ceil(busy / first)))
+    every_tree = F.explode(F.sequence(F.lit(0), F.lit(first - 1))).alias("tree")
+    queries = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every_tree)
+    copies = pages.withColumnRenamed("tree", "of_tree").withColumn(
+        "of_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = queries.groupBy("tree", "block").cogroup(copies.groupBy("of_tree", "of_block")).applyInPandas(
+        _searcher(dim, dtype, norm2, k), "query_id long, vec_id long, score long")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (found.withColumn("rank", best).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _searcher(sent, dim: int, dtype, norm2: float, k: int):
-    def look(key, rows):
-        tree, (ids, vectors), out = _unpack_pages(rows, dim, dtype), sent.value, []
-        for own, q in zip(ids, vectors.astype(dtype)):
-            out += [(own, v, s) for s, v in search(tree, q, own, norm2, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+def _searcher(dim: int, dtype, norm2: float, k: int):
+    def look(queries, rows):
+        out = []
+        if len(queries) and len(rows):
+            tree = _unpack_pages(rows, dim, dtype)
+            for own, q in zip(queries["vec_id"].tolist(), queries["v"]):
+                out += [(own, v, s) for s, v in search(tree, np.asarray(q, np.int64).astype(dtype), own, norm2, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
     return look
 
 
