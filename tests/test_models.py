@@ -116,7 +116,7 @@ def test_draws_stay_in_their_ranges(spark):
 def test_search_continues_from_its_ledger(spark, tmp_path, monkeypatch):
     from flowsift.operators import search as R
     data, features, fits = small_problem(spark), ["good", "noise"], []
-    space = {"depth": ("int", 1, 4), "rounds": [2, 3]}
+    space = {"depth": ("int", 1, 4), "rounds": [2, 3], "step": ("uniform", 0.1, 0.2)}
 
     def build(params, features, label, seed=42):
         fits.append(params)
@@ -137,8 +137,10 @@ def test_search_continues_from_its_ledger(spark, tmp_path, monkeypatch):
     fits.clear()
     again = R.random_search(data, features, space, build, draws=3, ledger=str(tmp_path))
     assert len(fits) == 1 and again.trials.collect() == found.trials.collect()
-    R.random_search(data.limit(200), features, space, build, draws=1, ledger=str(tmp_path))  # other rows: another ledger
+    R.random_search(data, features, space, build, draws=4, ledger=str(tmp_path))  # one draw more, and the refit
     assert len(fits) == 1 + 5 + 1
+    R.random_search(data.filter("good < 1.2"), features, space, build, draws=1, ledger=str(tmp_path))  # other rows
+    assert len(fits) == 7 + 5 + 1
 
 
 def test_elimination_paths_do_not_see_their_held_out_fold(spark, tmp_path):
