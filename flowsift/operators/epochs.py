@@ -2,9 +2,9 @@
 early stopping, and resumption.
 
 Each epoch goes on from the weights of the one before, for some L-BFGS steps over
-the training rows. Loss and accuracy of both splits are measured, the model is
-saved, and the epoch is recorded in the ledger, in this order, so that a training
-started again goes on after the last whole epoch. The best epoch is the one of the
+the training rows. Loss and accuracy of both splits are measured in one pass and
+recorded in the ledger with the weights, so that a training started again goes on
+after the last whole epoch. The best epoch is the one of the
 least validation loss; training stops when ``patience`` epochs brought no better.
 """
 
@@ -13,10 +13,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +27,13 @@ from flowsift.session import cut_lineage, scratch_path
 LEAST_PROBABILITY = 1e-15
 
 
-def measured(model, rows: DataFrame, label: str) -> tuple[float, float]:
-    """(mean log loss, accuracy) of a model's predictions."""
+def measured(model, rows: DataFrame, label: str, by: str) -> dict:
+    """{value of ``by``: (mean log loss, accuracy) of a model's predictions there}."""
     p = vector_to_array("probability")[F.col(label).cast("int")]
     hit = (F.col("prediction") == F.col(label)).cast("double")
-    loss, share = model.transform(rows).agg(F.avg(-F.log(F.greatest(p, F.lit(LEAST_PROBABILITY)))), F.avg(hit)).first()
-    return (math.nan, math.nan) if loss is None else (float(loss), float(share))
+    got = model.transform(rows).groupBy(by).agg(
+        F.avg(-F.log(F.greatest(p, F.lit(LEAST_PROBABILITY)))).alias("loss"), F.avg(hit).alias("accuracy")).collect()
+    return {r[0]: (float(r.loss), float(r.accuracy)) for r in got}
 
 
 class Training:
@@ -47,19 +49,23 @@ def train_network(train: DataFrame, validation: DataFrame, features: Sequence[st
     """Train at most ``epochs`` epochs (those of the ledger among them); ``ran`` counts the ones done now."""
     spark = train.sparkSession
     vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    rows, held = (cut_lineage(vector.transform(x).select("features", label)) for x in (train, validation))
+    both = [vector.transform(x).select("features", label, F.lit(held).alias("held"))
+            for x, held in ((train, False), (validation, True))]
+    rows = cut_lineage(both[0].unionByName(both[1]))
+    learned = rows.filter(~F.col("held"))
     layers = [len(features), *hidden, 2]
     book = Ledger(spark, ledger or scratch_path(spark, "epochs"), {
         "layers": layers, "steps": steps, "seed": seed, "block": block_size, "features": list(features), "label": label,
-        "train": fingerprint(rows.select(vector_to_array("features"), label)),
-        "validation": fingerprint(held.select(vector_to_array("features"), label))})
+        "rows": fingerprint(rows.select(vector_to_array("features").alias("x"), label, "held"))})
     done, ran = book.done(), 0
     past: list[dict] = []
     while f"epoch-{len(past)}" in done:
         past.append(done[f"epoch-{len(past)}"])
 
-    def saved(epoch: int) -> str:
-        return f"{book.folder}/models/epoch-{epoch}"
+    def network(steps: int, start) -> MultilayerPerceptronClassifier:
+        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers, maxIter=steps,
+                                             blockSize=block_size, seed=seed, solver="l-bfgs")
+        return net if start is None else net.setInitialWeights(Vectors.dense(start))
 
     def best() -> int:
         top = 0
@@ -68,22 +74,17 @@ def train_network(train: DataFrame, validation: DataFrame, features: Sequence[st
                 top = e
         return top
 
-    weights = MultilayerPerceptronClassificationModel.load(saved(len(past) - 1)).weights if past else None
     while len(past) < epochs and (not past or len(past) - 1 - best() < patience):
-        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers, maxIter=steps,
-                                             blockSize=block_size, seed=seed, solver="l-bfgs")
-        if weights is not None:
-            net.setInitialWeights(weights)
-        model = net.fit(rows)
-        weights = model.weights
-        (tl, ta), (vl, va) = measured(model, rows, label), measured(model, held, label)
-        model.write().overwrite().save(saved(len(past)))
-        row = {"train_loss": tl, "train_accuracy": ta, "val_loss": vl, "val_accuracy": va}
-        book.record(f"epoch-{len(past)}", row)
-        past.append(row)
+        model = network(steps, past[-1]["weights"] if past else None).fit(learned)
+        at = measured(model, rows, label, "held")
+        (tl, ta), (vl, va) = at[False], at.get(True, (math.nan, math.nan))
+        past.append({"train_loss": tl, "train_accuracy": ta, "val_loss": vl, "val_accuracy": va,
+                     "weights": model.weights.toArray().tolist()})
+        book.record(f"epoch-{len(past) - 1}", past[-1])
         ran += 1
     top = best()
     history = spark.createDataFrame(
         [(e + 1, r["train_loss"], r["train_accuracy"], r["val_loss"], r["val_accuracy"], e == top) for e, r in enumerate(past)],
         "epoch int, train_loss double, train_accuracy double, val_loss double, val_accuracy double, best boolean")
-    return Training(PipelineModel([vector, MultilayerPerceptronClassificationModel.load(saved(top))]), history, ran)
+    model = network(0, past[top]["weights"]).fit(learned.limit(1))  # no step: the weights as they are
+    return Training(PipelineModel([vector, model]), history, ran)

@@ -170,7 +170,8 @@ def test_network_training_resumes_and_keeps_its_best_epoch(spark, tmp_path):
     assert [tuple(r)[:5] for r in rows[:3]] == [tuple(r)[:5] for r in first.history.collect()]
     assert rows[-1].train_loss < rows[0].train_loss and sum(r.best for r in rows) == 1
     best = next(r for r in rows if r.best)
-    loss, accuracy = E.measured(then.model.stages[-1], then.model.stages[0].transform(held), "target")
+    marked = then.model.stages[0].transform(held).withColumn("all", F.lit(1))
+    loss, accuracy = E.measured(then.model.stages[-1], marked, "target", "all")[1]
     assert abs(loss - best.val_loss) < 1e-9 and accuracy == best.val_accuracy > 0.85
     assert run(7, patience=50).ran == 0
     stopped = run(200, patience=2, least_gain=0.5)  # no epoch gains that much: it stops at once
