@@ -334,7 +334,9 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     (ax + ay) - (1 - p) * |B|) / (1 + p). If x isn't linked with B, dx + p * ax
     > (1 - p) * |B|, hence s > (dy + p * ay) / (1 + p), and x holds one of y's
     first ``dy + ay - s + 1`` changes in any order (second filter; here those
-    that the fewest unlinked members hold come first). An x that holds less than
+    that the fewest unlinked members hold come first). In the same order the first
+    common change is among x's first ``dx + ax - s + 1`` as well, with s >= dx + p *
+    ax - (1 - p) * |B|, as dy + p * ay >= p * s. An x that holds less than
     it lacks shares most of its changes with others of its kind: it is proposed
     by the prefix filter of whole sets instead, the |x| - p * |x| + 1 shingles
     that the fewest members of the pivot hold, one of which must be among the
@@ -379,12 +381,21 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     share = F.floor((100 * lost + percent * own) / (100 + percent)).cast("int") + 1
     linked = 100 * (F.col("n") - lost) >= percent * (F.col("n") + own)
     few = ~linked & (size < own + lost)
+    # what x alone says of s: dy + p * ay >= p * s, so s >= dx + p * ax - (1 - p) * |B|
+    least = F.ceil((100 * lost + percent * own - (100 - percent) * F.col("n")) / 100).cast("int")
     x = cut_lineage(plain.filter(~linked & ~few).select(
-        F.col("rep").alias("a"), F.col("label").alias("la"), size.alias("na"), "pivot", F.explode(changes).alias("e")))
+        F.col("rep").alias("a"), F.col("label").alias("la"), size.alias("na"), "pivot", (own + lost - least + 1).alias("k"),
+        F.explode(changes).alias("e")))
+    seldom = cut_lineage(x.groupBy("pivot", "e").agg(F.count("*").alias("c")))
+    # the same order on both sides: x's first changes, too, must hold one of a partner's
+    x = (x.join(seldom, ["pivot", "e"]).groupBy("a", "la", "na", "pivot", "k")
+         .agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("r"))
+         .select("a", "la", "na", "pivot", F.explode(F.slice("r", F.lit(1), F.col("k"))).alias("r"))
+         .select("a", "la", "na", "pivot", F.col("r.e").alias("e")))
     first = F.greatest(own + lost - share + 1, F.lit(0))
     # of y's changes those that the fewest x hold; what none holds proposes nothing
     rows = (plain.select("rep", "label", size.alias("size"), "pivot", first.alias("k"), F.explode(changes).alias("e"))
-            .join(x.groupBy("pivot", "e").agg(F.count("*").alias("c")), ["pivot", "e"], "left"))
+            .join(seldom, ["pivot", "e"], "left"))
     y = (rows.groupBy("rep", "label", "size", "pivot", "k")
          .agg(F.count_if(F.col("c").isNull()).alias("none"),
               F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "e")))).alias("r"))
