@@ -213,7 +213,8 @@ def q_mlp_training_history(spark, d):
     x = I.stratified_split(data.drop("split"), "target", (0.6, 0.15, 0.25), ("train", "validation", "test"), id_col="uid")
     train = x.filter("split = 'train'")
     x = J.apply_scaler(x, J.fit_scaler(train, feats))
-    return train_network(x.filter("split = 'train'"), x.filter("split = 'validation'"), feats).history
+    return train_network(x.filter("split = 'train'"), x.filter("split = 'validation'"), feats, steps=10,
+                         patience=3, least_gain=1e-3).history
 
 
 @query("gbt_early_stopping")
