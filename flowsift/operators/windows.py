@@ -154,66 +154,72 @@ def _window_features(df: DataFrame, key: str, ts: str, val: str, seconds: float,
 # G1 + G2, bounded tasks for any density
 def source_window_features_prefix(df: DataFrame, key: str, ts: str, val: str | None, seconds: float = 300,
                                   rate_out: str = "conn_rate_5min", distinct_out: str = "port_scan_score",
-                                  chunk_seconds: float = 60.0, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                                  chunk_seconds: float = 60.0) -> DataFrame:
     """Same results as ``source_window_features``, with no lower bound on the
     rows a task must hold (the halo form needs one window of a source's rows
     per task; a source with millions of connections per window breaks that).
 
-    Both features are running sums of delta streams evaluated at each row's
-    time: the count gets +1 at t and -1 at t + window + 1µs; the distinct
-    count gets the sweep pieces' +1/-1. Time is cut into short chunks; a
-    running sum inside (source, chunk) plus the sum of all earlier chunks of
-    the source (a prefix over the small table of per-chunk totals) gives the
-    value. The next occurrence of a value is found inside (source, value,
-    chunk) and, for the last one of a chunk, from the value's next non-empty
-    chunk (a per-(source, value) table of chunk minima).
+    Both features are running sums of deltas evaluated at each row's time: a
+    row adds 1 to both at t; the count gets -1 at t + window + 1µs, the
+    distinct count -1 where the sweep piece ends (one delta where both meet).
+    Time is cut into short chunks. The sum over all earlier chunks of the
+    source (a prefix over the per-chunk totals) is one more delta at the start
+    of each chunk, so a running sum inside (source, chunk) gives the value and
+    nothing is joined. The next occurrence of a value is found inside (source,
+    value, chunk); the first one of the value's next non-empty chunk is a
+    marker row there, for the last one of a chunk.
     """
     outs = [rate_out] + ([distinct_out] if val is not None else [])
     return _and_untimed(df, ts, lambda x: _prefix_features(x, key, ts, val, seconds, rate_out, distinct_out,
-                                                           chunk_seconds, max_broadcast_rows), *outs)
+                                                           chunk_seconds), *outs)
 
 
 def _prefix_features(df: DataFrame, key: str, ts: str, val: str | None, seconds: float, rate_out: str,
-                     distinct_out: str | None, chunk_seconds: float, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                     distinct_out: str | None, chunk_seconds: float) -> DataFrame:
     w_us, c_us = int(round(seconds * US)), max(int(round(chunk_seconds * US)), 1)
-    inf = F.lit(2 ** 62)
-    x = df.withColumn("_t", micros(ts, df)).withColumn("_c", F.floor(F.col("_t") / c_us))
-    rate = x.select(key, F.inline(F.array(
-        F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_dr"), F.lit(0).alias("_dd")),
-        F.struct((F.col("_t") + (w_us + 1)).alias("_at"), F.lit(-1).alias("_dr"), F.lit(0).alias("_dd")))))
+    x = df.withColumn("_t", micros(ts, df))
+    close = F.col("_t") + (w_us + 1)
     if val is None:  # the count alone
-        return _prefix_eval(x, rate, key, c_us, rate_out, None, max_broadcast_rows)
-    occ = x.filter(F.col(val).isNotNull()).select(key, val, "_t", "_c")
-    inner = occ.withColumn("_nx", F.lead("_t").over(Window.partitionBy(key, val, "_c").orderBy("_t")))
+        ends = x.select(key, close.alias("_at"), F.lit(-1).alias("_dr"), F.lit(0).alias("_dd"))
+        return _prefix_eval(x, ends, key, F.lit(0), c_us, rate_out, None)
+    occ = x.filter(F.col(val).isNotNull()).select(key, val, "_t", F.floor(F.col("_t") / c_us).alias("_c"))
     firsts = occ.groupBy(key, val, "_c").agg(F.min("_t").alias("_first"))
-    nxt_chunk = firsts.withColumn("_nxc", F.lead("_first").over(Window.partitionBy(key, val).orderBy("_c"))) \
-        .select(key, val, "_c", "_nxc")
-    pieces = join_null_safe(inner, nxt_chunk, [key, val, "_c"], "left").withColumn(
-        "_end", F.least(F.coalesce("_nx", "_nxc", inf), F.col("_t") + (w_us + 1)))
-    deltas = pieces.select(key, F.inline(F.array(
-        F.struct(F.col("_t").alias("_at"), F.lit(0).alias("_dr"), F.lit(1).alias("_dd")),
-        F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_dr"), F.lit(-1).alias("_dd")))))
-    return _prefix_eval(x, deltas.unionByName(rate), key, c_us, rate_out, distinct_out, max_broadcast_rows)
-
-
-def _prefix_eval(x: DataFrame, deltas: DataFrame, key: str, c_us: int, rate_out: str, distinct_out: str | None,
-                 max_broadcast_rows: int) -> DataFrame:
-    """Running sums of the delta streams at every row's time: inside (key,
-    chunk) plus the key's earlier chunks (prefix over per-chunk totals)."""
-    rows = x.withColumn("_at", F.col("_t")).withColumn("_dr", F.lit(0)).withColumn("_dd", F.lit(0)) \
-        .withColumn("_row", F.lit(1)).drop("_c")
-    stream = rows.unionByName(deltas.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    stream = stream.withColumn("_c", F.floor(F.col("_at") / c_us))
-    totals = stream.groupBy(key, "_c").agg(F.sum("_dr").alias("_tr"), F.sum("_dd").alias("_td"))
+    later = F.lead("_first").over(Window.partitionBy(key, val).orderBy("_c"))
+    markers = firsts.withColumn("_t", later).filter(F.col("_t").isNotNull()).select(key, val, "_t", "_c", F.lit(0).alias("_occ"))
+    nxt = F.lead("_t").over(Window.partitionBy(key, val, "_c").orderBy("_t"))
+    pieces = (occ.withColumn("_occ", F.lit(1)).unionByName(markers)
+              .withColumn("_end", F.least(F.coalesce(nxt, F.lit(2 ** 62)), close)).filter(F.col("_occ") == 1))
+
+    def delta(at, dr, dd):
+        return F.struct(at.alias("_at"), F.lit(dr).alias("_dr"), F.lit(dd).alias("_dd"))
+
+    ends = pieces.select(key, F.inline(F.when(F.col("_end") == close, F.array(delta(close, -1, -1)))
+                                       .otherwise(F.array(delta(F.col("_end"), 0, -1), delta(close, -1, 0)))))
+    ends = ends.unionByName(x.filter(F.col(val).isNull()).select(key, F.inline(F.array(delta(close, -1, 0)))))
+    return _prefix_eval(x, ends, key, F.col(val).isNotNull().cast("int"), c_us, rate_out, distinct_out)
+
+
+def _prefix_eval(x: DataFrame, ends: DataFrame, key: str, counted: Column, c_us: int, rate_out: str,
+                 distinct_out: str | None) -> DataFrame:
+    """Running sums at every row's time of the rows' own deltas (1, ``counted``) and of
+    ``ends``: inside (key, chunk), where the key's earlier chunks are one delta."""
+    rows = x.withColumn("_at", F.col("_t")).withColumn("_dr", F.lit(1)).withColumn("_dd", counted) \
+        .withColumn("_row", F.lit(1))
+    ends = ends.withColumn("_row", F.lit(0))
+    chunk = F.floor(F.col("_at") / c_us)
+    totals = (rows.select(key, "_at", "_dr", "_dd", "_row").unionByName(ends).groupBy(key, chunk.alias("_c"))
+              .agg(F.sum("_dr").alias("_tr"), F.sum("_dd").alias("_td"), F.max("_row").alias("_any")))
     before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_c", F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_or"),
-                            F.coalesce(F.sum("_td").over(before), F.lit(0)).alias("_od"))
-    j = join_null_safe(stream, maybe_broadcast(offsets, max_broadcast_rows), [key, "_c"])
+    earlier = totals.select(key, (F.col("_c") * c_us).alias("_at"), F.sum("_tr").over(before).alias("_dr"),
+                            F.sum("_td").over(before).alias("_dd"), F.lit(0).alias("_row"), "_any")
+    earlier = earlier.filter((F.col("_any") == 1) & F.col("_dr").isNotNull()).drop("_any")
+    stream = (rows.unionByName(ends, allowMissingColumns=True).unionByName(earlier, allowMissingColumns=True)
+              .withColumn("_c", chunk))
     run = Window.partitionBy(key, "_c").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    out = j.withColumn(rate_out, F.col("_or") + F.sum("_dr").over(run))
+    out = stream.withColumn(rate_out, F.sum("_dr").over(run))
     if distinct_out:
-        out = out.withColumn(distinct_out, F.col("_od") + F.sum("_dd").over(run))
-    return out.filter(F.col("_row") == 1).drop("_t", "_c", "_at", "_dr", "_dd", "_row", "_or", "_od")
+        out = out.withColumn(distinct_out, F.sum("_dd").over(run))
+    return out.filter(F.col("_row") == 1).drop("_t", "_c", "_at", "_dr", "_dd", "_row")
 
 
 # G2
