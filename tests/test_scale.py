@@ -3,6 +3,7 @@
 from collections import Counter
 from datetime import datetime, timedelta
 
+from flowsift.operators import sample as I
 from flowsift.operators import windows as G
 
 DAY = 86_400
@@ -26,3 +27,49 @@ def test_prefix_windows_join_nothing_and_equal_brute_force(spark):
     assert Counter(tuple(r) for r in got.select("id", "source", "port", "n", "d").collect()) == want
     one = G.rolling_count(df, "source", "at", DAY, "n", method="prefix", chunk_seconds=DAY / 5)
     assert Counter((r.id, r.n) for r in one.select("id", "n").collect()) == Counter((r[0], len(near(r))) for r in rows)
+
+
+def write_events(spark, folder, n=400):
+    kinds = ("click", "error", "purchase", "signup", "view")
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=7 * i), i % 9, kinds[i * i % 5], 1.25 + i % 37, f'{{"k": {i % 50}}}')
+            for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_modelling_passes_read_the_window_features_once_made(spark, tmp_path, monkeypatch):
+    from flowsift.plans import modelling as M
+    seen, clean = [], M.clean_flows
+    monkeypatch.setattr(M, "clean_flows", lambda df, **more: seen.append(df) or clean(df, **more))
+    data, feats = M.prepare_flows(spark, write_events(spark, tmp_path))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # a scan and the join of the sources' gaps
+    again = I.assign_folds(I.stratified_split(data.drop("split", "fold"), "target", (0.75, 0.25)), "target", 5)
+    at = lambda df: {r.uid: (r.split, r.fold) for r in df.select("uid", "split", "fold").collect()}
+    assert at(data) == at(again) and data.count() == 400
+
+
+def test_a_fit_has_more_tasks_when_rows_are_more(spark, tmp_path, monkeypatch):
+    from flowsift import session
+    from flowsift.operators import models as L
+    from flowsift.plans import modelling as M
+    monkeypatch.setattr(session, "TASK_BYTES", 50_000)
+    data, feats = M.prepare_flows(spark, write_events(spark, tmp_path))
+    assert data.rdd.getNumPartitions() == 400 * L.ROW_BYTES // 50_000
+    assert max(data.rdd.glom().map(len).collect()) < 60
+    parts, forest = [], L.random_forest
+
+    class Seen:
+        def __init__(self, *given, **params):
+            self.pipe = forest(*given, **params)
+
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            return self.pipe.fit(df)
+
+    monkeypatch.setattr(L, "random_forest", Seen)
+    M.fit_and_score("rf", data, feats, num_trees=20, max_depth=3)
+    M.fit_and_score("rf", data, feats, num_trees=200, max_depth=2)
+    size = [L.row_bytes("rf", len(feats), num_trees=n) for n in (20, 200)]
+    assert parts == [max(4, -(-300 * s // 50_000)) for s in size] and parts[1] > parts[0]
