@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.ledger import Ledger, fingerprint
-from flowsift.session import cut_lineage, scratch_path
+from flowsift.operators.models import row_bytes
+from flowsift.session import cut_lineage, merged, scratch_path, tasks_for
 
 LEAST_PROBABILITY = 1e-15
 
@@ -51,7 +52,8 @@ def train_network(train: DataFrame, validation: DataFrame, features: Sequence[st
     vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     both = [vector.transform(x).select("features", label, F.lit(held).alias("held"))
             for x, held in ((train, False), (validation, True))]
-    rows = cut_lineage(both[0].unionByName(both[1]))
+    both = both[0].unionByName(both[1])
+    rows = cut_lineage(merged(both, tasks_for(spark, both.count(), row_bytes("mlp", len(features)))))
     learned = rows.filter(~F.col("held"))
     layers = [len(features), *hidden, 2]
     book = Ledger(spark, ledger or scratch_path(spark, "epochs"), {
