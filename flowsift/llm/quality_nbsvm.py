@@ -24,6 +24,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,36 @@ COST = 1.0
 EPOCHS = 8
 
 _RUNS = re.compile(r"(.)\1+", re.S)
+_HASH = struct.Struct("<Q")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Kinds(dict):
+    """The kind of every character met so far, by its code point."""
+
+    def __missing__(self, at: int) -> str:
+        c = chr(at)
+        kind = self[at] = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def shape(word: str) -> str:
-    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return _RUNS.sub(r"\1", s)
+    return _RUNS.sub(r"\1", word.translate(_KINDS))
+
+
+def _form(kinds: str) -> bytes:
+    return _HASH.pack(xxhash.xxh64_intdigest(_RUNS.sub(r"\1", kinds).encode("utf-8", "surrogatepass")))
+
+
+_FORMS = ByteCache(_form)  # words never seen have few kinds of shapes
 
 
 def _token(w: str) -> bytes:
     """A word's hash and its shape's hash, 16 bytes."""
-    return np.array([xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")),
-                     xxhash.xxh64_intdigest(shape(w).encode("utf-8", "surrogatepass"))], "<u8").tobytes()
+    return _HASH.pack(xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass"))) + _FORMS[w.translate(_KINDS)]
 
 
 _TOKENS = ByteCache(_token)

@@ -73,3 +73,15 @@ def test_a_fit_has_more_tasks_when_rows_are_more(spark, tmp_path, monkeypatch):
     M.fit_and_score("rf", data, feats, num_trees=200, max_depth=2)
     size = [L.row_bytes("rf", len(feats), num_trees=n) for n in (20, 200)]
     assert parts == [max(4, -(-300 * s // 50_000)) for s in size] and parts[1] > parts[0]
+
+
+def test_words_of_one_shape_are_hashed_once():
+    from flowsift.llm import quality_nbsvm as Q
+    kind = lambda c: "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+    words = ["Abba", "Ottokar", "ÄßǅX99-_٣²", "Ⅻa", "\U0001F600z", "\ud800b", *(f"Zz{'y' * (i % 40)}" for i in range(400))]
+    for w in words:
+        kinds = "".join(map(kind, w))
+        assert Q.shape(w) == "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
+    Q._TOKENS.clear(), Q._FORMS.clear()
+    Q.features(" ".join(f"Zz{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)))
+    assert len(Q._TOKENS) == 400 and len(Q._FORMS) == 1
