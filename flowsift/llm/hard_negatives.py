@@ -14,12 +14,14 @@ within BASE^(l-1) of it; entries beyond FAN centres go to pages of that level.
 Nodes keep their actual covering radius and their label, if they have but one.
 
 A request asks for the k best scores in a window [lo, hi] of the same or of
-other labels. Best-first descent takes the node with the highest possible score
-in the window next, skips nodes wholly outside the window, below the k-th best
-or of the wrong label only, and computes a leaf's scores exactly. First each
-request searches the tree where it can score best; the k-th best found there
-rules out other trees by their roots, and the rest are searched. A request and
-a tree meet in a group (tree, chunk of requests), so the work of a tree is split
+other labels. The requests that meet a tree descend it together: a node's bounds
+are one matrix product for all that it is open to, and nodes wholly outside a
+window or of the wrong label only are skipped. Each request looks into its most
+promising leaf first; the k-th best so far then rules out others. A leaf's scores
+are exact and made once for all requests of one anchor. First each request
+searches the tree where it can score best; the k-th best found there rules out
+other trees by their roots and is the least score in the rest. A request and
+a tree meet in a group (tree, chunk of anchors), so the work of a tree is split
 as well; requests stay in Spark.
 
 ``mine`` asks twice: for each anchor's best rows of its label, the positives,
@@ -127,48 +129,92 @@ class CoverTree:
         node(np.arange(len(x)), int(middle))
         return np.array(order), nodes
 
-    def bounds(self, nodes: np.ndarray, q: np.ndarray, total: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(least, greatest) possible scores of entries of some nodes."""
-        scores = (self.vectors[self.centre[nodes]] @ q).astype(np.float64)
+    def bounds(self, nodes: np.ndarray, q: np.ndarray, total, slack) -> tuple[np.ndarray, np.ndarray]:
+        """(least, greatest) possible scores of entries of some nodes, with one query or (as rows) several."""
+        scores = (q @ self.vectors[self.centre[nodes]].T).astype(np.float64)
         return score_bounds(scores, self.radius[nodes], total, slack)
 
     def search(self, q: np.ndarray, own: int, label: int, same: bool, lo: int, hi: int, k: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score) in the window, of the same or of other labels."""
-        best: list[tuple[int, int]] = []  # heap of (score, -vec_id), the worst on top
-        total = float((q.astype(np.float64) ** 2).sum()) + self.norm2
+        one = [np.array([x]) for x in (0, own, label, same, lo, hi)]
+        return self.search_all(q[None], *one, k)[0]
+
+    def search_all(self, q: np.ndarray, of: np.ndarray, own: np.ndarray, label: np.ndarray, same: np.ndarray,
+                   lo: np.ndarray, hi: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """What ``search`` gives for each of several requests; request r asks with the vector q[of[r]].
+
+        All descend together: a node is met once, by the requests that it is open
+        to. Each looks into its most promising leaf first."""
+        total = ((q.astype(np.float64) ** 2).sum(axis=1) + self.norm2)[:, None]
+        best: list[list[tuple[int, int]]] = [[] for _ in of]  # heaps of (score, -vec_id), the worst on top
+        least = lo.copy()  # what a result must score at least
+        leaves, most = self._open_leaves(q, of, total, label, same, lo, hi)
+        first = np.full(len(of), -1)
+        top = np.full(len(of), -np.inf)
+        for at, (_, who) in enumerate(leaves):
+            better = most[at] > top[who]
+            first[who[better]], top[who[better]] = at, most[at][better]
+        for at, (n, who) in enumerate(leaves):
+            self._look_into(n, who[first[who] == at], q, of, own, label, same, least, hi, k, best)
+        # the leaves that promise most to any request come first
+        for at in sorted(range(len(leaves)), key=lambda i: -most[i].max()):
+            n, who = leaves[at]
+            self._look_into(n, who[(first[who] != at) & (most[at] >= least[who])], q, of, own, label, same, least, hi, k, best)
+        return [[(-v, s) for s, v in sorted(x, reverse=True)] for x in best]
+
+    def _open_leaves(self, q, of, total, label, same, lo, hi) -> tuple[list, list]:
+        """(leaf, requests it is open to) of every such leaf, and the greatest scores they can have there."""
+        out, most = [], []
         slack = 1e-9 * (total + 1)
-        root = np.zeros(1, np.int64)
-        low, high = self.bounds(root, q, total, slack)
-        queue = [(-min(high[0], hi), 0)] if low[0] <= hi and high[0] >= lo else []
-        while queue:
-            top, n = heapq.heappop(queue)
-            least = max(lo, best[0][0]) if len(best) == k else lo
-            if -top < least:
-                break
-            if len(self.kids[n]):
-                kids = self.kids[n]
-                low, high = self.bounds(kids, q, total, slack)
-                wrong = ~self.mixed[kids] & ((self.label[kids] == label) != same)
-                for i in np.flatnonzero((low <= hi) & (high >= least) & ~wrong):
-                    heapq.heappush(queue, (-min(high[i], hi), int(kids[i])))
+        low, high = self.bounds(np.zeros(1, np.int64), q, total, slack)
+        inside = np.flatnonzero((low[of, 0] <= hi) & (high[of, 0] >= lo))
+        stack = [(0, inside, high[of[inside], 0])]
+        while stack:
+            n, who, upper = stack.pop()
+            if not len(who):
                 continue
-            a, b = self.first[n], self.end[n]
-            scores = self.vectors[a:b] @ q
-            good = np.flatnonzero((scores >= least) & (scores <= hi) & ((self.labels[a:b] == label) == same))
-            for i in good[np.argsort(-scores[good], kind="stable")]:
-                s = int(scores[i])
-                if len(best) == k and s < best[0][0]:
-                    break
-                for v in self.ids[a + i]:
-                    if v == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -v))
-                    elif (s, -v) > best[0]:
-                        heapq.heapreplace(best, (s, -v))
-                    else:
-                        break  # ids ascend: the rest is no better
-        return [(-v, s) for s, v in sorted(best, reverse=True)]
+            if not len(self.kids[n]):
+                out.append((n, who))
+                most.append(np.minimum(upper, hi[who]))
+                continue
+            kids = self.kids[n]
+            mine, row = np.unique(of[who], return_inverse=True)
+            low, high = self.bounds(kids, q[mine], total[mine], slack[mine])
+            for i, kid in enumerate(kids.tolist()):
+                inside = (low[row, i] <= hi[who]) & (high[row, i] >= lo[who])
+                if not self.mixed[kid]:
+                    inside &= (self.label[kid] == label[who]) == same[who]
+                stack.append((kid, who[inside], high[row[inside], i]))
+        return out, most
+
+    def _look_into(self, n, who, q, of, own, label, same, least, hi, k, best) -> None:
+        """Take a leaf's entries into the best of some requests."""
+        if not len(who):
+            return
+        mine, row = np.unique(of[who], return_inverse=True)
+        for a in range(self.first[n], self.end[n], PAGE):
+            b = min(a + PAGE, self.end[n])
+            scores = (q[mine] @ self.vectors[a:b].T)[row]
+            good = (scores >= least[who][:, None]) & (scores <= hi[who][:, None])
+            good &= (self.labels[a:b] == label[who][:, None]) == same[who][:, None]
+            for j in np.flatnonzero(good.any(axis=1)).tolist():
+                r = int(who[j])
+                heap, at = best[r], np.flatnonzero(good[j])
+                for i in at[np.argsort(-scores[j, at], kind="stable")]:
+                    s = int(scores[j, i])
+                    if len(heap) == k and s < heap[0][0]:
+                        break
+                    for v in self.ids[a + i]:
+                        if v == own[r]:
+                            continue
+                        if len(heap) < k:
+                            heapq.heappush(heap, (s, -v))
+                        elif (s, -v) > heap[0]:
+                            heapq.heapreplace(heap, (s, -v))
+                        else:
+                            break  # ids ascend: the rest is no better
+                if len(heap) == k:
+                    least[r] = max(least[r], heap[0][0])
 
 
 def lift(x: np.ndarray, norm2: float) -> np.ndarray:
@@ -268,7 +314,7 @@ class Forest:
         """The k best rows that each request finds in each of its trees."""
         busy = 3 * self.spark.sparkContext.defaultParallelism
         chunks = max(math.ceil(n_requests / CHUNK), min(math.ceil(n_requests / 64), math.ceil(busy / self.n_trees)), 1)
-        chunk = F.pmod(F.xxhash64(*KEY), F.lit(chunks)).alias("chunk")
+        chunk = F.pmod(F.xxhash64(*KEY[:2]), F.lit(chunks)).alias("chunk")  # an anchor's requests stay together
         asked = requests.join(pairs.select(*KEY, "tree"), list(KEY)).select("tree", chunk, *requests.columns)
         bodies = pairs.select("tree", chunk).distinct().join(self.trees.select("tree", "body"), "tree")
         bodies = bodies.select(F.col("tree").alias("of_tree"), F.col("chunk").alias("of_chunk"), "body")
@@ -279,10 +325,14 @@ class Forest:
             if len(asked) and len(bodies):
                 tree = pickle.loads(bodies["body"].iloc[0])
                 tree.vectors = tree.vectors.astype(dtype)
-                for r in asked.itertuples():
-                    q = np.asarray(r.v, np.int64).astype(dtype)
-                    out += [(r.anchor_id, r.akey, r.positive_id, v, s) for v, s in tree.search(
-                        q, r.anchor_id, r.label, r.same, r.lo, r.hi, k)]
+                # requests of one anchor ask with one vector
+                asked = asked.sort_values(["anchor_id", "akey", "positive_id"], ignore_index=True)
+                new = ~asked.duplicated(["anchor_id", "akey"]).to_numpy()
+                q = np.stack(asked["v"][new].to_numpy()).astype(np.int64).astype(dtype)
+                column = {c: asked[c].to_numpy() for c in ("anchor_id", "label", "same", "lo", "hi")}
+                results = tree.search_all(q, np.cumsum(new) - 1, *column.values(), k)
+                for key, got in zip(asked[list(KEY)].itertuples(index=False, name=None), results):
+                    out += [(*key, v, s) for v, s in got]
             return pd.DataFrame(out, columns=["anchor_id", "akey", "positive_id", "vec_id", "score"]).astype("int64")
 
         return asked.groupBy("tree", "chunk").cogroup(bodies.groupBy("of_tree", "of_chunk")).applyInPandas(found, FOUND)
@@ -295,11 +345,12 @@ class Forest:
         first = pairs.groupBy(*KEY).agg(F.max_by("tree", F.struct("upper", -F.col("far"), "tree")).alias("tree"))
         found = cut_lineage(self.look(requests, first, k, n))
         if self.n_trees > 1:  # the k-th best so far rules out trees
-            floor = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+            floor = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
             rest = pairs.join(first.withColumnRenamed("tree", "done"), list(KEY)).filter("tree != done")
-            rest = rest.join(floor, list(KEY), "left").filter(F.coalesce(F.col("n"), F.lit(0)) < k)  \
-                .unionByName(rest.join(floor, list(KEY)).filter((F.col("n") >= k) & (F.col("upper") >= F.col("kth"))))
-            found = found.unionByName(self.look(requests, rest.select(*KEY, "tree"), k, n))
+            rest = rest.join(floor, list(KEY), "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
+            raised = requests.join(floor.select(*KEY, "kth"), list(KEY), "left").withColumn(
+                "lo", F.greatest("lo", "kth")).select(*requests.columns)
+            found = found.unionByName(self.look(raised, cut_lineage(rest.select(*KEY, "tree")), k, n))
         rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -241,3 +241,27 @@ def test_cover_tree_bounds_and_search(monkeypatch):
         for same, lo, hi in ((True, -hard_negatives.ALL, hard_negatives.ALL), (False, int(scores.max() // 2), int(scores.max() * .9))):
             ok = [(-int(scores[i]), i) for i in range(n) if i != a and (label[i] == label[a]) == same and lo <= scores[i] <= hi]
             assert tree.search(q, a, label[a], same, lo, hi, 4) == [(i, -s) for s, i in sorted(ok)[:4]]
+
+
+def test_requests_of_one_anchor_share_a_leafs_scores(monkeypatch):
+    """Requests that meet a tree look into a leaf together: far fewer looks than requests times leaves."""
+    monkeypatch.setattr(hard_negatives, "PAGE", 16)
+    rng = np.random.default_rng(8)
+    v = np.unique(rng.integers(-200, 200, (600, 8)), axis=0)
+    n, looks = len(v), []
+    label, norm2 = rng.integers(0, 3, n), float((v ** 2).sum(axis=1).max())
+    tree = hard_negatives.CoverTree(v, label, [[i] for i in range(n)], norm2)
+    inner = tree._look_into
+    monkeypatch.setattr(tree, "_look_into", lambda leaf, who, *rest: (looks.append(len(who)), inner(leaf, who, *rest)))
+    anchors = np.arange(0, n, 20)
+    of = np.repeat(np.arange(len(anchors)), 5)
+    own, top = anchors[of], np.array([int((v @ v[a]).max()) for a in anchors])[of]
+    lo, hi = top * np.tile([10, 20, 30, 40, 50], len(anchors)) // 100, top * 9 // 10
+    same = np.arange(len(of)) % 2 == 0
+    got = tree.search_all(v[anchors].astype(np.float64), of, own, label[own], same, lo, hi, 3)
+    for r, a in enumerate(own):
+        s = v @ v[a]
+        ok = [(-int(s[i]), i) for i in range(n) if i != a and (label[i] == label[a]) == same[r] and lo[r] <= s[i] <= hi[r]]
+        assert got[r] == [(i, -x) for x, i in sorted(ok)[:3]]
+    leaves = sum(not len(k) for k in tree.kids)
+    assert len(looks) <= 2 * leaves < sum(looks) / 10
