@@ -36,6 +36,7 @@ from flowsift.session import cut_lineage
 CAPACITY = 2048
 SEPARATOR = 0
 BLOCK_PIECES = 25_000
+WORD_BYTES = 128 << 20  # of the words whose ids a worker keeps
 ROUNDS = 4  # sweeps of the local search over the underfull bins
 
 
@@ -56,11 +57,11 @@ class WordTokenizer:
     BEYOND_LATIN = "\u0250"
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, word_bytes: int = WORD_BYTES):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words = ByteCache(self.word, 128 << 20)  # of words, and of the pieces that the pattern makes of them
+        self.words = ByteCache(self.word, word_bytes)  # of words, and of the pieces that the pattern makes of them
         self.letters = _byte_letters()
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -92,14 +93,14 @@ class WordTokenizer:
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
-    """One tokenizer (and cache) for each worker process and file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer_of(path: str, word_bytes: int = WORD_BYTES) -> WordTokenizer:
+    """One tokenizer (and cache of about ``word_bytes``) for each worker process and file."""
+    if (path, word_bytes) not in _TOKENIZERS:
+        _TOKENIZERS[path, word_bytes] = WordTokenizer(path, word_bytes)
+    return _TOKENIZERS[path, word_bytes]
 
 
 def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

@@ -50,6 +50,7 @@ SHARD_IDS = 1 << 18   # a shard's arrays stay within a core's cache
 LEAST_COUNT = 16      # occurrences that a pair must have to become a rule
 LEAST_GAIN = 0.03     # share of the sequence that a round must save for another one
 BLOCK = 1024          # symbols between two entries of the position table
+WORD_BYTES = 192 << 20  # of the words whose ids a worker keeps
 MAGIC = b"RPG1"
 
 
@@ -239,7 +240,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                            T.StructField("body", T.BinaryType())])
 
     def run(batches):
-        tok, part, shard = tokenizer_of(tokenizer), TaskContext.get().partitionId(), 0
+        tok, part, shard = tokenizer_of(tokenizer, WORD_BYTES), TaskContext.get().partitionId(), 0
         names, docs, held = [], [], 0
         end = np.array([end_id], "<u4")
 
@@ -264,7 +265,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
             names.append(b.column(0).slice(since))
         if docs:
             yield flush()
-        tok.words.clear()
+        # the words stay for the worker's next task: they are bounded, and new ones cost more than all else here
 
     body.select("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
 

@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.llm import hard_negatives, period_runs, queries, token_store
+from flowsift.llm import hard_negatives, packing, period_runs, queries, token_store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,6 +80,19 @@ def test_token_store_equals_the_library(spark, tmp_path, shard_ids):
     assert sorted(((r[0] is not None, r[0] or 0), r[4]) for r in got) == want
 
 
+def test_a_workers_next_task_finds_its_words(spark, tmp_path):
+    df = docs(spark, [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)])
+    token_store.write_shards(df.repartition(8), str(tmp_path / "store"), queries.tokenizer_file())
+
+    def held(batches):
+        for b in batches:
+            words = len(packing.tokenizer_of(path, token_store.WORD_BYTES).words)
+            yield pa.RecordBatch.from_arrays([pa.array([words] * b.num_rows, pa.int64())], names=["words"])
+
+    path = queries.tokenizer_file()
+    assert max(r.words for r in df.repartition(8).mapInArrow(held, "words long").collect()) > 0
+
+
 def test_token_store_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_shards(docs(spark, []), path, queries.tokenizer_file())
