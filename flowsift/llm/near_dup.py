@@ -23,7 +23,8 @@ pairs across components only. Buckets of more than SPLIT members make no pairs
 of their own: exact prefix filters on what each member has beyond its hub
 propose them (see ``_residual_pairs``); members that lie almost wholly within
 different hubs are paired by two bands (a pair agrees in fewer than two of
-the 35 bands with probability < 2e-5). No bucket is capped. Hot hubs and hot sets are one row on
+the 35 bands with probability < 2e-5), and by the same filters, with a hub of
+their own, where more than SPLIT agree in the same two. No bucket is capped. Hot hubs and hot sets are one row on
 their side of a join, whose other side is split as a skewed join.
 
 Nulls and ties: no words, or a null text: empty set, linked with nothing. Rows
@@ -280,8 +281,8 @@ def _components_of(docs: DataFrame, words_per_shingle: int, percent: int, by_row
               .select("rep", "label", "k", F.posexplode("k").alias("at", "k1"))
               .select("rep", "label", F.explode(F.expr("transform(slice(k, at + 2, size(k)), x -> xxhash64(k1, x))"))
                       .alias("key")))
-    apart = _mixed(second)
-    across = (_across(small.select("key", "rep", "label")).unionByName(_across(apart)).unionByName(sharing)
+    apart = _apart_pairs(_mixed(second), docs, words_per_shingle, percent, by_row)
+    across = (_across(small.select("key", "rep", "label")).unionByName(apart).unionByName(sharing)
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = _verified(across, classes, docs, words_per_shingle, percent, by_row)
     # contract: links between the labels so far
@@ -317,6 +318,25 @@ def _across(rows: DataFrame) -> DataFrame:
     return (rows.toDF("key", "a", "la").join(rows.toDF("key", "b", "lb"), "key").filter("la < lb").select("a", "b"))
 
 
+def _apart_pairs(rows: DataFrame, docs: DataFrame, words: int, percent: int, by_row: bool = False) -> DataFrame:
+    """Candidates (a, b) across labels of rows (key, rep, label, n): all pairs of a key of
+    SPLIT rows or fewer; of a larger key each row with the key's hub, and what the
+    residual filters propose with that hub as the pivot of all its rows. Two rows that are
+    both linked with the hub are joined by it and needn't be a pair."""
+    rows = cut_lineage(rows)
+    small = _across(rows.filter(F.col("n") <= SPLIT).select("key", "rep", "label"))
+    large = rows.filter(F.col("n") > SPLIT)
+    if large.isEmpty():
+        return small
+    meets = large.groupBy("rep").agg(F.sum("n").alias("meets"))
+    hubs = (large.join(meets, "rep").groupBy("key").agg(F.max(F.struct("meets", "rep")).alias("m"))
+            .select("key", F.col("m.rep").alias("pivot")))
+    members = cut_lineage(large.join(cut_lineage(hubs), "key").filter("rep <> pivot").select("rep", "label", "pivot").distinct())
+    sharing, _ = _residual_pairs(members, docs, words, percent, by_row)
+    star = members.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    return small.unionByName(star).unionByName(sharing)
+
+
 def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int,
                     by_row: bool = False) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b) across labels among members (rep, label, pivot) of large

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.llm import hard_negatives, packing, period_runs, queries, token_store
+from flowsift.llm import hard_negatives, near_dup, packing, period_runs, queries, token_store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -279,3 +279,41 @@ def test_requests_of_one_anchor_share_a_leafs_scores(monkeypatch):
         assert got[r] == [(i, -x) for x, i in sorted(ok)[:3]]
     leaves = sum(not len(k) for k in tree.kids)
     assert len(looks) <= 2 * leaves < sum(looks) / 10
+
+
+# 3 two-band buckets
+
+def test_large_two_band_buckets_make_no_square_of_pairs(spark):
+    """Copies of one origin agree in two bands, few of them are linked with each other:
+    the filters propose far fewer pairs than the bucket has, and lose no link."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    origin = [word() for _ in range(160)]
+    texts = [" ".join(origin)]
+    for n in range(120):
+        w = list(origin)
+        for j in rng.choice(160, rng.integers(3, 12), replace=False):
+            w[j] = word()
+        texts.append(" ".join(w))
+        if n % 5 == 0:
+            texts.append(" ".join(w[:-1] + [word()]))  # a near copy of the last one
+    texts += [" ".join(word() for _ in range(40)) for _ in range(5)]
+    df, n = docs(spark, texts), len(texts)
+    sets = [set(near_dup.shingle_set(t).tolist()) for t in texts]
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    rows = [(1, i, i, n - 5) for i in range(n - 5)] + [(2, i, i % 2, 5) for i in range(n - 5, n)]
+    rows.append((3, 0, 0, 30))  # the origin meets most others
+    pairs = near_dup._apart_pairs(spark.createDataFrame(rows, "key long, rep long, label long, n long"),
+                                  df.select("doc_id", "text"), 4, 80)
+    got = {tuple(sorted(p)) for p in pairs.distinct().collect()}
+    assert {p for p in got if p[1] >= n - 5} == {(a, b) for a in range(n - 5, n) for b in range(a + 1, n) if (a - b) % 2}
+
+    def classes(edges):
+        root = list(range(n))
+        for a, b in sorted(edges):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if link(a, b)]
+    assert len(want) > 20 and classes(p for p in got if link(*p)) == classes(want)
+    assert len(got) < n * n / 8, (len(got), n)
