@@ -25,6 +25,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 BLOCK_PIECES = 25_000
 WORD_BYTES = 128 << 20  # of the words whose ids a worker keeps
+CHUNK_BYTES = 8 << 20   # of texts whose distinct words are looked up together
 ROUNDS = 4  # sweeps of the local search over the underfull bins
 
 
@@ -92,6 +94,40 @@ class WordTokenizer:
             return np.frombuffer(self.whole(text), "<u4")
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
 
+    def distinct(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of some words; those that differ only in ASCII case or a last mark
+        are looked up together."""
+        plain = pc.match_substring_regex(words, f"^[A-Za-z]+[{self.MARKS}]?$")
+        stems = pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words), self.MARKS), words).dictionary_encode()
+        own = [self.words[w] if w else b"" for w in stems.dictionary.to_numpy(zero_copy_only=False)]
+        last = pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(list(self.MARKS), words.type))
+        last = pc.fill_null(pc.if_else(plain, last, -1), -1)
+        marks = [*map(self.words.__getitem__, self.MARKS), b""]  # -1: none
+        return [own[i] + marks[j] for i, j in zip(stems.indices.to_numpy().tolist(), last.to_numpy().tolist())]
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after another, and each text's number of ids; every
+        distinct word is looked up once."""
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            parts = [self.ids(t) for t in texts.to_pylist()]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        split = pc.utf8_split_whitespace(texts)  # of the same white space as Python's
+        words = split.flatten().dictionary_encode()
+        found = self.distinct(words.dictionary)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = words.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        where = np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return np.frombuffer(b"".join(found), "<u4")[where], np.diff(np.append(0, ends)[split.offsets.to_numpy()])
+
+
+def slices(texts: pa.Array, size: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """Stretches (first, end) of texts of about ``size`` bytes, of one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)])) if len(texts) else []
+
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 

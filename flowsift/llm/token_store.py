@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.llm.base import quoted
-from flowsift.llm.packing import tokenizer_of
+from flowsift.llm.packing import slices, tokenizer_of
 from flowsift.session import maybe_broadcast
 
 END_ID = 2
@@ -51,13 +51,21 @@ LEAST_COUNT = 16      # occurrences that a pair must have to become a rule
 LEAST_GAIN = 0.03     # share of the sequence that a round must save for another one
 BLOCK = 1024          # symbols between two entries of the position table
 WORD_BYTES = 192 << 20  # of the words whose ids a worker keeps
+SLOT_BITS = 17        # of a pair's hash, by which rare pairs are told before the sort
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MAGIC = b"RPG1"
 
 
 def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions whose pair is frequent, the pair's rank there: 0 is the most frequent, the pairs by rank)."""
-    n, bits = len(seq) - 1, int(seq.max()).bit_length()
+    bits = int(seq.max()).bit_length()
     key = (seq[:-1].astype(np.uint64) << np.uint64(bits)) | seq[1:]
+    # a frequent pair's slot is frequent too: positions of the other slots are not sorted
+    slot = ((key * SPREAD) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+    place = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])
+    if not len(place):
+        return place, np.empty(0, np.int32), np.empty((0, 2), np.uint32)
+    key, n = key[place], len(place)
     places = n.bit_length()
     if 2 * bits + places <= 64:  # pair and position in one number: sorts fast
         both = np.sort((key << np.uint64(places)) | np.arange(n, dtype=np.uint64))
@@ -77,7 +85,7 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     of = np.empty(n, np.int32)
     of[order] = np.repeat(rank, counts)
     at = np.flatnonzero(of >= 0)
-    return at, of[at], pairs
+    return place[at], of[at], pairs
 
 
 def choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -254,14 +262,16 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
 
         for b in batches:
             since = 0
-            for n, t in enumerate(b.column(1)):
-                ids = np.concatenate([tok.ids(t.as_py()), end])
-                if docs and held + len(ids) > shard_ids:
-                    names.append(b.column(0).slice(since, n - since))
-                    yield flush()
-                    names, docs, held, since, shard = [], [], 0, n, shard + 1
-                docs.append(ids)
-                held += len(ids)
+            for lo, hi in slices(b.column(1)):
+                flat, sizes = tok.many(b.column(1).slice(lo, hi - lo))
+                for n, ids in enumerate(np.split(flat, np.cumsum(sizes)[:-1]), lo):
+                    ids = np.concatenate([ids, end])
+                    if docs and held + len(ids) > shard_ids:
+                        names.append(b.column(0).slice(since, n - since))
+                        yield flush()
+                        names, docs, held, since, shard = [], [], 0, n, shard + 1
+                    docs.append(ids)
+                    held += len(ids)
             names.append(b.column(0).slice(since))
         if docs:
             yield flush()

@@ -60,6 +60,35 @@ def test_pairs_are_replaced_by_frequency():
     assert token_store.compress(np.array([4, 3, 2], np.uint32))[1].shape == (0, 2)
 
 
+def test_words_of_one_stem_are_looked_up_once(monkeypatch):
+    tok = packing.WordTokenizer(queries.tokenizer_file())
+    texts = [None, "", "Hend, HEND. hend it's It'LL.", "  K, \u212a \u0130x! a.. B?! \xe9. \xc9, 12. x1; ., .\n",
+             "\x85x\u3000y\xa0z", "a\x1cb A\x1fb", "<|endoftext|> A.", "hend; Hend! " * 50]
+    for batch in (pa.array(texts), pa.array([t for t in texts if "\x1c" not in (t or "")]), pa.array(texts).slice(2, 2),
+                  pa.array(texts).cast(pa.large_string()), pa.array([], pa.string()), pa.array([None], pa.string())):
+        flat, sizes = tok.many(batch)
+        want = [tok.ids(t) for t in batch.to_pylist()]
+        assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [int(i) for x in want for i in x]
+    made, tok = [], packing.WordTokenizer(queries.tokenizer_file())
+    monkeypatch.setattr(tok.words, "make", lambda w: made.append(w) or tok.word(w))
+    tok.many(pa.array(["Hend, hend. HEND!", "hend hend; Hend"]))
+    assert sorted(w for w in made if w not in tok.MARKS) == ["hend"]
+    cuts = packing.slices(pa.array(texts), 40)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(texts) and all(a[1] == b[0] and a[0] < a[1] for a, b in zip(cuts, cuts[1:]))
+
+
+def test_rare_pairs_are_not_sorted(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 40_000, 50_000).astype(np.uint32)
+    ids[::100], ids[1::100] = 7, 8
+    sorted_rows, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x, *a, **k: sorted_rows.append(len(x)) or sort(x, *a, **k))
+    at, rank, pairs = token_store.frequent_pairs(ids, 16)
+    assert (ids[at] == 7).all() and (rank == 0).all() and pairs.tolist() == [[7, 8]] and len(at) == 500
+    assert max(sorted_rows) < 5_000
+    monkeypatch.setattr(token_store, "SLOT_BITS", 1)  # slots that pairs share propose more, with the same result
+    assert all(np.array_equal(a, b) for a, b in zip(token_store.frequent_pairs(ids, 16), (at, rank, pairs)))
+
+
 @pytest.mark.parametrize("shard_ids", [1, 300, 1 << 20])
 def test_token_store_equals_the_library(spark, tmp_path, shard_ids):
     from tokenizers import Tokenizer
