@@ -85,3 +85,22 @@ def test_words_of_one_shape_are_hashed_once():
     Q._TOKENS.clear(), Q._FORMS.clear()
     Q.features(" ".join(f"Zz{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)))
     assert len(Q._TOKENS) == 400 and len(Q._FORMS) == 1
+
+
+def test_tasks_fill_the_cores(monkeypatch):
+    from flowsift import session
+    monkeypatch.setattr(session, "TASK_BYTES", 1000)
+    assert [session.tasks_for(None, n, 100, least=4) for n in (0, 1, 40, 41, 80, 81)] == [4, 4, 4, 8, 8, 12]
+
+
+def test_models_are_compared_on_rows_scored_once(spark):
+    from flowsift.operators import evaluate as N
+    from flowsift.plans import catalog_models as C
+    from flowsift.plans.modelling import fit_and_score
+    rows = [(f"u{i}", float(i % 7), float(i % 3), int(i % 7 > 3), "test" if i % 4 == 0 else "train") for i in range(200)]
+    data = spark.createDataFrame(rows, "uid string, a double, b double, target int, split string").cache()
+    params = {"rf": {"num_trees": 3, "max_depth": 3}, "gbt": {"rounds": 2}}
+    out = C._compared(data, ["a", "b"], ("rf", "gbt"), **params)
+    assert "mllib" not in (plan := out._jdf.queryExecution().analyzed().toString()) and "UDF" not in plan
+    want = N.comparison_table({k: fit_and_score(k, data, ["a", "b"], **params[k])[1] for k in params}, "target")
+    assert out.orderBy("seq").collect() == want.orderBy("seq").collect()
