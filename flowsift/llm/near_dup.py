@@ -315,7 +315,14 @@ def _mixed(rows: DataFrame, *more: str) -> DataFrame:
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of one key and different labels."""
     rows = cut_lineage(rows.select("key", "rep", "label"))
-    return (rows.toDF("key", "a", "la").join(rows.toDF("key", "b", "lb"), "key").filter("la < lb").select("a", "b"))
+    return _cut_pairs(rows.toDF("key", "a", "la").join(rows.toDF("key", "b", "lb"), "key").filter("la < lb"))
+
+
+def _cut_pairs(pairs: DataFrame) -> DataFrame:
+    """The distinct (a, b), computed now. Each way of proposing pairs is a plan of its own:
+    in one plan of them all the driver would plan, compile and broadcast for dozens of
+    exchanges at once, and hold what that takes."""
+    return cut_lineage(pairs.select("a", "b").distinct())
 
 
 def _apart_pairs(rows: DataFrame, docs: DataFrame, words: int, percent: int, by_row: bool = False) -> DataFrame:
@@ -364,6 +371,8 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
 
     Copies of one origin, or documents around one passage, have that in the
     pivot: these indexes stay sparse where band buckets are dense."""
+    if members.isEmpty():
+        return (members.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), members.select("rep", "pivot"))
     need_sets = members.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct()
     sets = _sets(docs, need_sets, words, by_row)
     held = members.join(sets.toDF("rep", "tx"), "rep").join(sets.toDF("pivot", "tp"), "pivot")
@@ -393,7 +402,7 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
     # only the ones that a key asks for are looked up
     asked = (keys.select("e").distinct().join(in_pivot, "e").groupBy("pivot").agg(F.collect_set("e").alias("asked")))
     shared = held.join(asked, "pivot").select(*partner, F.explode(F.array_intersect("tx", "asked")).alias("e"))
-    pairs = (keys.drop("pivot").join(own_rows.unionByName(shared), "e").filter("la <> lb").filter(fits).select("a", "b"))
+    pairs = _cut_pairs(keys.drop("pivot").join(own_rows.unionByName(shared), "e").filter("la <> lb").filter(fits))
 
     plain = held.filter(need <= 0)
     # a missing shingle is another element than the same shingle added
@@ -422,7 +431,7 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
          .select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), "pivot",
                  F.explode(F.slice("r", F.lit(1), F.greatest(F.col("k") - F.col("none"), F.lit(0)).cast("int"))).alias("r"))
          .select("b", "lb", "nb", "pivot", F.col("r.e").alias("e")))
-    near = x.join(y, ["pivot", "e"]).filter("la <> lb").filter(fits).select("a", "b")
+    near = _cut_pairs(x.join(y, ["pivot", "e"]).filter("la <> lb").filter(fits))
 
     whole = (plain.join(plain.filter(few).select("pivot").distinct(), "pivot", "left_semi")
              .select("rep", "label", size.alias("size"), few.alias("few"), "pivot", F.explode("tx").alias("e")))
@@ -434,9 +443,9 @@ def _residual_pairs(members: DataFrame, docs: DataFrame, words: int, percent: in
                 F.explode(F.slice("r", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")))
                 .alias("r"))
         .filter("r.c > 1").select("rep", "label", "size", "few", "pivot", F.col("r.e").alias("e")))
-    small = (prefix.filter("few").selectExpr("rep AS a", "label AS la", "size AS na", "pivot", "e")
-             .join(prefix.selectExpr("rep AS b", "label AS lb", "size AS nb", "pivot", "e"), ["pivot", "e"])
-             .filter("la <> lb").filter(fits).select("a", "b"))
+    small = _cut_pairs(prefix.filter("few").selectExpr("rep AS a", "label AS la", "size AS na", "pivot", "e")
+                       .join(prefix.selectExpr("rep AS b", "label AS lb", "size AS nb", "pivot", "e"), ["pivot", "e"])
+                       .filter("la <> lb").filter(fits))
     return pairs.unionByName(near).unionByName(small), plain.select("rep", "pivot")
 
 

@@ -346,3 +346,45 @@ def test_large_two_band_buckets_make_no_square_of_pairs(spark):
     want = [(a, b) for a in range(n) for b in range(a + 1, n) if link(a, b)]
     assert len(want) > 20 and classes(p for p in got if link(*p)) == classes(want)
     assert len(got) < n * n / 8, (len(got), n)
+
+
+# 3 the driver's memory
+
+def test_no_plan_of_near_duplicates_is_wide(spark, monkeypatch):
+    """Every plan that the driver runs joins a few tables: what it plans, compiles and
+    broadcasts at once is bounded, and links are those of brute force."""
+    monkeypatch.setattr(near_dup, "SPLIT", 4)
+    cut, wide = near_dup.cut_lineage, []
+
+    def counted(df):
+        wide.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(near_dup, "cut_lineage", counted)
+    rng = np.random.default_rng(22)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    origin = [word() for _ in range(120)]
+    texts = [" ".join(origin)]
+    for _ in range(60):
+        w = list(origin)
+        for j in rng.choice(120, rng.integers(1, 14), replace=False):
+            w[j] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(origin[:120 - n]) for n in range(6, 60, 6)]
+    texts += [" ".join([word() for _ in range(20)] + origin[:60]) for _ in range(20)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert len(wide) > 20 and max(wide) <= 6, wide
+    sets = [set(near_dup.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert [got[i] for i in range(len(texts))] == root
+
+
+def test_residual_pairs_of_no_members(spark):
+    members = spark.createDataFrame([], "rep long, label long, pivot long")
+    pairs, plain = near_dup._residual_pairs(members, docs(spark, ["a b c d e"]).select("doc_id", "text"), 4, 80)
+    assert pairs.columns == ["a", "b"] and plain.columns == ["rep", "pivot"] and not pairs.count() + plain.count()
