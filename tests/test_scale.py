@@ -104,3 +104,25 @@ def test_models_are_compared_on_rows_scored_once(spark):
     assert "mllib" not in (plan := out._jdf.queryExecution().analyzed().toString()) and "UDF" not in plan
     want = N.comparison_table({k: fit_and_score(k, data, ["a", "b"], **params[k])[1] for k in params}, "target")
     assert out.orderBy("seq").collect() == want.orderBy("seq").collect()
+
+
+def test_registered_searches_do_all_twenty_draws(spark, monkeypatch):
+    """The registered queries over a table of their own: a trial for each of the reference's 20 draws, all folds fitted."""
+    from flowsift.operators import models as L
+    from flowsift.operators import search as R
+    from flowsift.plans import catalog_models as C
+    rows = [(float(i % 7), int(i % 7 > 3), i % 2, "train") for i in range(60)]
+    data = spark.createDataFrame(rows, "a double, target int, fold int, split string").cache()
+    monkeypatch.setattr(C, "prepare_flows", lambda spark, d: (data, ["a"]))
+    for name, query, space in (("forest", C.q_rf_random_search, R.FOREST_SPACE), ("boosting", C.q_gbt_random_search, R.BOOSTING_SPACE)):
+        asked = []
+
+        def build(params, features, label, seed=42):
+            asked.append(params)
+            return L.random_forest(features, label, num_trees=1, max_depth=1, seed=seed)
+
+        build.__name__ = f"tiny-{name}"
+        monkeypatch.setattr(R, name, build)
+        got = query(spark, "").orderBy("trial").collect()
+        assert [r.trial for r in got] == list(range(20)) and all(r.folds == 2 for r in got)
+        assert len(asked) == 20 * 2 + 1 and all(d in asked for d in R.draw(space, 20))
