@@ -10,9 +10,9 @@ least validation loss; training stops when ``patience`` epochs brought no better
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.ledger import Ledger, fingerprint
+from flowsift.operators import network as W
 from flowsift.operators.models import row_bytes
 from flowsift.session import cut_lineage, merged, scratch_path, tasks_for
 
@@ -76,12 +77,14 @@ def train_network(train: DataFrame, validation: DataFrame, features: Sequence[st
                 top = e
         return top
 
+    held = W.blocks(rows.filter("held"), label, len(features), block_size, "held")
+    shown = W.blocks(learned, label, len(features), block_size)
+    objective = W.Objective(shown, layers, block_size)
     while len(past) < epochs and (not past or len(past) - 1 - best() < patience):
-        model = network(steps, past[-1]["weights"] if past else None).fit(learned)
-        at = measured(model, rows, label, "held")
-        (tl, ta), (vl, va) = at[False], at.get(True, (math.nan, math.nan))
-        past.append({"train_loss": tl, "train_accuracy": ta, "val_loss": vl, "val_accuracy": va,
-                     "weights": model.weights.toArray().tolist()})
+        start = past[-1]["weights"] if past else network(0, None).fit(learned.limit(1)).weights.toArray()
+        weights = W.minimise(objective, np.array(start, dtype=float), steps)
+        (tl, ta), (vl, va) = (W.measured(x, weights, layers, LEAST_PROBABILITY) for x in (shown, held))
+        past.append({"train_loss": tl, "train_accuracy": ta, "val_loss": vl, "val_accuracy": va, "weights": weights.tolist()})
         book.record(f"epoch-{len(past) - 1}", past[-1])
         ran += 1
     top = best()

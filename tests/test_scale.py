@@ -126,3 +126,38 @@ def test_registered_searches_do_all_twenty_draws(spark, monkeypatch):
         got = query(spark, "").orderBy("trial").collect()
         assert [r.trial for r in got] == list(range(20)) and all(r.folds == 2 for r in got)
         assert len(asked) == 20 * 2 + 1 and all(d in asked for d in R.draw(space, 20))
+
+
+def test_network_steps_are_mllibs_over_packed_rows(spark, tmp_path, monkeypatch):
+    """Three partitions whose last blocks are not full: loss, gradient and steps as MLlib's, without a fit on all rows."""
+    import numpy as np
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from flowsift.operators import epochs as E
+    from flowsift.operators import network as W
+    rows = [(((i * 37) % 101) / 50 - 1, ((i * 53) % 97) / 48 - 1, int((i * 37) % 101 > 40)) for i in range(700)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, b double, target int").repartition(3)).cache()
+    layers = [2, 5, 2]
+    net = lambda steps: MultilayerPerceptronClassifier(labelCol="target", layers=layers, maxIter=steps, blockSize=16, seed=5)
+    want = net(12).fit(df)
+    start = net(0).fit(df.limit(1)).weights.toArray()
+    monkeypatch.setattr(W, "ROWS_AT_ONCE", 40)  # not a multiple of the block
+    data = W.blocks(df, "target", 2, 16)
+    f = W.Objective(data, layers, 16)
+    assert f.blocks == sum(-(-n // 16) for n in df.rdd.glom().map(len).collect())
+    values = []
+    got = W.minimise(lambda w: values.append(f(w)[0]) or f(w), start, 12)
+    assert np.allclose(got, want.weights.toArray(), rtol=1e-7, atol=1e-9)
+    assert abs(f(got)[0] - want.summary().objectiveHistory[-1]) < 1e-9 and f(got)[0] < values[0]
+    w, e = got.copy(), 1e-6
+    w[3] += e
+    assert abs((f(w)[0] - f(got)[0]) / e - f(got)[1][3]) < 1e-4
+    loss, accuracy = W.measured(data, got, layers, E.LEAST_PROBABILITY)
+    assert np.allclose((loss, accuracy), E.measured(want, df.selectExpr("*", "1 as all"), "target", "all")[1], atol=1e-7)
+
+    seen, fit = [], MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    table = df.drop("features")
+    E.train_network(table, table.limit(90), ["a", "b"], hidden=(5,), epochs=2, steps=2, ledger=str(tmp_path))
+    assert seen and max(seen) == 1
