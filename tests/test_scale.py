@@ -161,3 +161,14 @@ def test_network_steps_are_mllibs_over_packed_rows(spark, tmp_path, monkeypatch)
     table = df.drop("features")
     E.train_network(table, table.limit(90), ["a", "b"], hidden=(5,), epochs=2, steps=2, ledger=str(tmp_path))
     assert seen and max(seen) == 1
+
+
+def test_node_statistics_of_all_tasks_fit_an_executor(spark, monkeypatch):
+    """A deep forest fills what it is given in every task: two tasks of 1,024 MB do not fit 1,800 MB."""
+    from flowsift.operators import models as L
+    managed, tasks = L.executor_memory()
+    assert managed > 0 and tasks == 4
+    given = lambda: L.random_forest(["a"]).getStages()[-1].getMaxMemoryInMB()
+    for (mb, cores), want in {(900, 2): 225, (100, 4): 32, (64_000, 2): 1024}.items():
+        monkeypatch.setattr(L, "executor_memory", lambda: (mb << 20, cores))
+        assert given() == want
