@@ -77,7 +77,7 @@ def train_network(train: DataFrame, validation: DataFrame, features: Sequence[st
                 top = e
         return top
 
-    held = W.blocks(rows.filter("held"), label, len(features), block_size, "held")
+    held = W.blocks(rows.filter("held"), label, len(features), block_size, "held", learned=False)
     shown = W.blocks(learned, label, len(features), block_size)
     objective = W.Objective(shown, layers, block_size)
     while len(past) < epochs and (not past or len(past) - 1 - best() < patience):

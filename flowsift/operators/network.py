@@ -29,9 +29,12 @@ LEAST_FALL, LEAST_FLAT = 1e-4, 0.9
 VALUES_KEPT = 20
 
 
-def blocks(rows: DataFrame, label: str, n: int, block_size: int, name: str = "blocks") -> DataFrame:
+def blocks(rows: DataFrame, label: str, n: int, block_size: int, name: str = "blocks", learned: bool = True) -> DataFrame:
     """``rows`` (features, label) as packed numbers, about ``ROWS_AT_ONCE`` rows a record: n values, the
-    label and the row's share of its block. Written once."""
+    label and the row's share of its block. Written once.
+
+    learned: as in MLlib's fit, a value or label that is no finite number is an error; other
+    rows only need a label to be measured."""
     step = max(ROWS_AT_ONCE // block_size, 1) * block_size
 
     def packed(batches):
@@ -42,6 +45,8 @@ def blocks(rows: DataFrame, label: str, n: int, block_size: int, name: str = "bl
 
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n + 1)], axis=1)
+            if learned and not (np.isfinite(x).all() and (x[:, n] >= 0).all() and (x[:, n] % 1 == 0).all()):
+                raise ValueError("features must be finite numbers, labels whole numbers from 0")
             left = np.concatenate([left, x])
             whole = len(left) - len(left) % block_size
             for at in range(0, whole, step):
@@ -52,6 +57,7 @@ def blocks(rows: DataFrame, label: str, n: int, block_size: int, name: str = "bl
 
     x = vector_to_array("features")
     flat = rows.select(*[x[i].alias(f"x{i}") for i in range(n)], F.col(label).cast("double"))
+    flat = flat if learned else flat.filter(F.col(flat.columns[n]).isNotNull())
     return stored(flat.mapInArrow(packed, "rows long, numbers binary"), name)
 
 

@@ -1,8 +1,11 @@
 """Figures that must not outgrow the input: rows computed once, tasks of bounded size, nothing joined twice."""
 
+import math
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
+
 from flowsift.operators import sample as I
 from flowsift.operators import windows as G
 
@@ -162,6 +165,15 @@ def test_network_steps_are_mllibs_over_packed_rows(spark, tmp_path, monkeypatch)
     E.train_network(table, table.limit(90), ["a", "b"], hidden=(5,), epochs=2, steps=2, ledger=str(tmp_path))
     assert seen and max(seen) == 1
 
+    nan = table.limit(5).selectExpr("double('NaN') as a", "b", "target").union(table)
+    bare = table.limit(5).selectExpr("a", "b", "int(null) as target").union(table)
+    for broken in (nan, bare):  # a fit does not learn from what is no number
+        with pytest.raises(Exception, match="finite|NaN|Null"):
+            E.train_network(broken, table, ["a", "b"], hidden=(5,), epochs=1, steps=1, ledger=str(tmp_path))
+    one = lambda held: E.train_network(table, held, ["a", "b"], hidden=(5,), epochs=1, steps=1, ledger=str(tmp_path)).history.first()
+    assert math.isnan(one(nan).val_loss)  # more partitions, other blocks: the weights are not the same to the digit
+    assert abs(one(bare).val_loss - one(table).val_loss) < 1e-3 and one(bare).val_accuracy == one(table).val_accuracy
+
 
 def test_node_statistics_of_all_tasks_fit_an_executor(spark, monkeypatch):
     """A deep forest fills what it is given in every task: two tasks of 1,024 MB do not fit 1,800 MB."""
